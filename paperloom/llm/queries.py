@@ -2,6 +2,47 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from paperloom.llm import packing, splitting
 from paperloom.plans.registry import Registry
+from paperloom.sources.tables import chunks_flat, last_wins, table
 
 REGISTRY = Registry()
+query = REGISTRY.query
+
+CURRENT = """
+WITH cur AS (SELECT id, text, metadata.category AS category, metadata.article AS article, line_no FROM (
+  SELECT *, rank() OVER (PARTITION BY id ORDER BY line_no DESC) AS rn FROM chunks
+  WHERE id IS NOT NULL AND line_no IS NOT NULL) WHERE rn = 1)
+"""
+
+
+def current(spark, d, *columns):
+    return last_wins(chunks_flat(spark, d), "id", "line_no").select(*columns)
+
+
+@query("p2_found", CURRENT + r"""
+, long AS (SELECT id, text FROM cur WHERE length(text) > 1800),
+heads AS (SELECT id, unnest(regexp_extract_all(text,
+  '(?im)^[ \t\r\f\v\x{a0}\x{1680}\x{2000}-\x{200d}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]*pasal[ \t\r\f\v\x{a0}\x{1680}\x{2000}-\x{200d}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]+\d+[a-z]?[ \t\r\f\v\x{a0}\x{1680}\x{2000}-\x{200d}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]*(?:\.?[ \t\r\f\v\x{a0}\x{1680}\x{2000}-\x{200d}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]*$|[-\x{2010}-\x{2015}\x{2212}][ \t\r\f\v\x{a0}\x{1680}\x{2000}-\x{200d}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]*\S|\(1\))')) AS h FROM long)
+SELECT DISTINCT id, 'Pasal ' || upper(regexp_extract(h, '\d+[A-Za-z]?')) AS article FROM heads
+UNION ALL SELECT id, '' FROM long WHERE id NOT IN (SELECT id FROM heads)""")
+def p2_found(spark, d):
+    long = last_wins(chunks_flat(spark, d).select("line_no", "id", "text", "article"), "id", "line_no")
+    return splitting.opened_articles(splitting.split_long(long))
+
+
+@query("p2_pieces")
+def p2_pieces(spark, d):
+    return splitting.split_oversized(current(spark, d, "id", "text", "article"))
+
+
+@query("p7_found", "SELECT doc_id FROM documents WHERE strlen(text) + 1 > 4096")
+def p7_found(spark, d):
+    return packing.oversized(table(spark, d, "documents"), packing.byte_tokens(F.col("text")))
+
+
+@query("p7_containers")
+def p7_containers(spark, d):
+    return packing.pack(table(spark, d, "documents"), packing.byte_tokens(F.col("text")))
