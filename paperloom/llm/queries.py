@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.llm import packing, splitting
+from paperloom.llm import boilerplate, packing, splitting
 from paperloom.plans.registry import Registry
 from paperloom.sources.tables import chunks_flat, last_wins, table
 
@@ -46,3 +46,38 @@ def p7_found(spark, d):
 @query("p7_containers")
 def p7_containers(spark, d):
     return packing.pack(table(spark, d, "documents"), packing.byte_tokens(F.col("text")))
+
+
+P6_SQL = r"""
+, rows AS (SELECT id, split_part(id, '-', 1) AS file, category, text FROM cur WHERE category IS NOT NULL),
+split AS (SELECT id, file, category, string_split(text, chr(10)) AS ls FROM rows WHERE text IS NOT NULL),
+pos AS (SELECT id, file, category, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS p FROM split),
+forms AS (SELECT id, file, category, p, trim(regexp_replace(lower(line), '\P{L}+', ' ', 'g')) AS form FROM pos),
+big AS (SELECT category, form, count(DISTINCT id) AS n_rows, count(DISTINCT file) AS n_files FROM forms
+  WHERE length(form) >= 25 GROUP BY category, form),
+total AS (SELECT category, count(*) AS total FROM rows GROUP BY category),
+lines AS (SELECT category, form, n_rows, n_files FROM big JOIN total USING (category) WHERE n_files >= 5 AND n_rows * 100 >= total * 3)
+"""
+
+
+def categorised(spark, d):
+    return current(spark, d, "id", "file", F.col("category").alias("source"), "text")
+
+
+@query("p6_found", CURRENT + P6_SQL + """
+SELECT DISTINCT id, CAST(p AS INTEGER) AS line_pos FROM forms JOIN lines USING (category, form)""")
+def p6_found(spark, d):
+    return boilerplate.removed_lines(categorised(spark, d))[0]
+
+
+@query("p6_lines", CURRENT + P6_SQL + """
+SELECT category, form, n_rows, n_files FROM lines""")
+def p6_lines(spark, d):
+    return boilerplate.removed_lines(categorised(spark, d))[1].select(
+        F.col("source").alias("category"), "form", F.col("rows").alias("n_rows"), F.col("files").alias("n_files"))
+
+
+@query("p6_clean_texts")
+def p6_clean_texts(spark, d):
+    rows = categorised(spark, d)
+    return boilerplate.strip_lines(rows, boilerplate.removed_lines(rows)[0]).select("id", "text")
