@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.llm import boilerplate, packing, splitting
+from paperloom.llm import boilerplate, leakage, packing, splitting
 from paperloom.plans.registry import Registry
 from paperloom.sources.tables import chunks_flat, last_wins, table
 
@@ -81,3 +81,15 @@ def p6_lines(spark, d):
 def p6_clean_texts(spark, d):
     rows = categorised(spark, d)
     return boilerplate.strip_lines(rows, boilerplate.removed_lines(rows)[0]).select("id", "text")
+
+
+@query("p8_found")
+def p8_found(spark, d):
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+@query("p8_near")
+def p8_near(spark, d):
+    """Passages that leaked with up to one word edit in 13, with the number of item windows found."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), max_edits=1, sample=10, recall=0.95).groupBy(
+        "doc_id", "item_id").agg(F.countDistinct("item_pos").alias("item_windows"), F.countDistinct("doc_pos").alias("doc_windows"))
