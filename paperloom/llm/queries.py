@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.llm import boilerplate, leakage, packing, splitting
+from paperloom.llm import boilerplate, leakage, neighbours, packing, splitting
 from paperloom.plans.registry import Registry
 from paperloom.sources.tables import chunks_flat, last_wins, table
 
@@ -93,3 +93,16 @@ def p8_near(spark, d):
     """Passages that leaked with up to one word edit in 13, with the number of item windows found."""
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), max_edits=1, sample=10, recall=0.95).groupBy(
         "doc_id", "item_id").agg(F.countDistinct("item_pos").alias("item_windows"), F.countDistinct("doc_pos").alias("doc_windows"))
+
+
+@query("p3_found")
+def p3_found(spark, d):
+    near = neighbours.most_similar(table(spark, d, "chunk_vectors")).where("cosine >= 0.85")
+    return near.select(F.least("row_no", "other").alias("row_a"), F.greatest("row_no", "other").alias("row_b")).distinct()
+
+
+@query("p3_neighbours")
+def p3_neighbours(spark, d):
+    """The search form: every row whose number is divisible by 50, against all rows."""
+    return neighbours.most_similar(table(spark, d, "chunk_vectors"), queries=F.col("row_no") % 50 == 0).select(
+        "row_no", "other", F.round("cosine", 6).alias("cosine"), "rank")
