@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import xxhash
 
 #: A word: a longest run of letters and digits.
 WORD = re.compile(r"[^\W_]+")
@@ -23,3 +24,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+class Hasher:
+    """64-bit symbols of words, remembered within a worker."""
+
+    def __init__(self, most: int = 500_000) -> None:
+        self.seen: dict[str, int] = {}
+        self.most = most
+
+    def __call__(self, ws: list[str]) -> np.ndarray:
+        seen = self.seen
+        for w in set(ws):
+            if w not in seen:
+                if len(seen) >= self.most:
+                    seen.clear()
+                    return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in ws), np.uint64, len(ws))
+                seen[w] = xxhash.xxh3_64_intdigest(w)
+        return np.fromiter(map(seen.__getitem__, ws), np.uint64, len(ws))

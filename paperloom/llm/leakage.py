@@ -19,11 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import WORD, mix64, words
+from paperloom.llm.common import WORD, Hasher, mix64, words
 from paperloom.session import cut
 
 #: Item windows sent to the tasks at once, about 200 bytes each.
@@ -156,24 +155,6 @@ def repetitions(window: int, sample: int, max_edits: int, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - max(min(p, 0.999), 1e-3))))
 
 
-class Hasher:
-    """64-bit symbols of words, remembered within a worker."""
-
-    def __init__(self, most: int = 500_000) -> None:
-        self.seen: dict[str, int] = {}
-        self.most = most
-
-    def __call__(self, ws: list[str]) -> np.ndarray:
-        seen = self.seen
-        for w in set(ws):
-            if w not in seen:
-                if len(seen) >= self.most:
-                    seen.clear()
-                    return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in ws), np.uint64, len(ws))
-                seen[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(seen.__getitem__, ws), np.uint64, len(ws))
-
-
 def item_windows(items: DataFrame, item: str, text: str, window: int) -> DataFrame:
     """(item, pos, ws): every run of ``window`` words of every item. Shorter items have none."""
     kind = items.schema[item].dataType.simpleString()

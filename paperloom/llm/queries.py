@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.llm import boilerplate, leakage, neighbours, packing, splitting
+from paperloom.llm import boilerplate, leakage, neardup, neighbours, packing, splitting
 from paperloom.plans.registry import Registry
 from paperloom.sources.tables import chunks_flat, last_wins, table
 
@@ -106,3 +106,17 @@ def p3_neighbours(spark, d):
     """The search form: every row whose number is divisible by 50, against all rows."""
     return neighbours.most_similar(table(spark, d, "chunk_vectors"), queries=F.col("row_no") % 50 == 0).select(
         "row_no", "other", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+def similar_chunks(spark, d):
+    return neardup.Similar(current(spark, d, "id", "text"), threshold=0.7, words=3)
+
+
+@query("p5_found")
+def p5_found(spark, d):
+    return neardup.id_pairs(similar_chunks(spark, d))
+
+
+@query("p5_groups")
+def p5_groups(spark, d):
+    return neardup.groups(similar_chunks(spark, d))
