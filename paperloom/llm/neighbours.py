@@ -114,6 +114,7 @@ def most_similar(vectors: DataFrame, key: str = "row_no", embedding: str = "embe
         F.col(key).alias("key"), F.col(embedding).alias("v"),
         (queries if queries is not None else F.lit(True)).alias("ask"))
     real = np.float32 if vectors.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
+    vectors = cut(vectors.dropDuplicates(["key"]))
     rows = vectors.count()
     schema = f"{key} {kind}, other {kind}, cosine double, rank int"
     if rows < 2:
@@ -161,7 +162,7 @@ def most_similar(vectors: DataFrame, key: str = "row_no", embedding: str = "embe
             best.sort(axis=1)
             cos = np.einsum("qd,qnd->qn", q, base[best])
             cos[ids[best] == who[:, None]] = -2  # not the row itself
-            top = np.argsort(-cos, axis=1, kind="stable")[:, : min(k + 4, n)]
+            top = np.argsort(-cos, axis=1, kind="stable")[:, : min(k, n)]
             row = np.repeat(np.arange(len(q)), top.shape[1])
             out.append(pd.DataFrame({"key": who[row], "other": ids[best[row, top.ravel()]], "cosine": cos[row, top.ravel()]}))
         got = pd.concat(out)
@@ -171,6 +172,6 @@ def most_similar(vectors: DataFrame, key: str = "row_no", embedding: str = "embe
         search, f"key {kind}, other {kind}, cosine double")
     w = Window.partitionBy("key").orderBy(F.desc("cosine"), F.asc("other"))
     return (
-        found.groupBy("key", "other").agg(F.max("cosine").alias("cosine")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         .select(F.col("key").alias(key), "other", "cosine", "rank")
     )
