@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.llm import boilerplate, leakage, neardup, neighbours, packing, splitting
+from paperloom.llm import boilerplate, leakage, neardup, neighbours, packing, splitting, truncation
 from paperloom.plans.registry import Registry
 from paperloom.sources.tables import chunks_flat, last_wins, table
 
@@ -120,3 +120,13 @@ def p5_found(spark, d):
 @query("p5_groups")
 def p5_groups(spark, d):
     return neardup.groups(similar_chunks(spark, d))
+
+
+@query("p9_found")
+def p9_found(spark, d):
+    return truncation.scores(table(spark, d, "documents")).where("score > 0.5").select("doc_id").distinct()
+
+
+@query("p9_rates")
+def p9_rates(spark, d):
+    return truncation.rates(truncation.scores(table(spark, d, "documents")))
