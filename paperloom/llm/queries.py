@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.llm import boilerplate, leakage, neardup, neighbours, packing, splitting, truncation
+from paperloom.llm import boilerplate, leakage, neardup, neighbours, packing, scans, splitting, truncation
 from paperloom.plans.registry import Registry
 from paperloom.sources.tables import chunks_flat, last_wins, table
 
@@ -130,3 +130,18 @@ def p9_found(spark, d):
 @query("p9_rates")
 def p9_rates(spark, d):
     return truncation.rates(truncation.scores(table(spark, d, "documents")))
+
+
+def scanned(spark, d):
+    page = F.coalesce(F.expr("try_cast(regexp_extract(id, '-p([0-9]+)-', 1) AS int)"), F.col("page"))
+    return scans.Repair(current(spark, d, "id", "file", page.alias("page"), "text"))
+
+
+@query("p4_found")
+def p4_found(spark, d):
+    return scanned(spark, d).items()
+
+
+@query("p4_texts")
+def p4_texts(spark, d):
+    return scanned(spark, d).texts()

@@ -184,8 +184,10 @@ def score(weights: np.ndarray, feats: list[int]) -> float:
 
 
 def model(rows: DataFrame, sample: int = 20_000, seed: int = 11) -> np.ndarray:
-    """Weights fitted on at most ``sample`` records, those with the lowest hashes of their number."""
-    few = rows.where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
+    """Weights fitted on about ``sample`` records, those whose number's hash falls under the share of all that this is."""
+    rows = rows.where("doc_id IS NOT NULL")
+    share = min(1.0, sample / max(rows.count(), 1))
+    few = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(10**9)) < int(share * 10**9))
     got = examples(few, seed).toArrow()
     labels = got.column("label").to_numpy()
     if len(set(labels.tolist())) < 2:
