@@ -32,15 +32,19 @@ COMMON = 30_000
 #: Files with repeated lines up to this many are sent to every task; more are joined by a shuffle.
 BROADCAST_FILES = 200_000
 
-HYPHENS = "-‐¬­"
+HYPHENS = "-\u2010\u00ac\u00ad"
 TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
-BROKEN = re.compile(rf"[^\W_]+(?:-[^\W_]+)*[{HYPHENS}][^\S\n]*\n\s*[^\W_]+")
+WORDISH = re.compile(r"(?:[^\W_]|-)+")
+_ASCII_WORDS = {i: " " for i in range(128) if not chr(i).isalnum() and chr(i) != "-"}
+_ASCII_PARTS = {i: " " for i in range(128) if not chr(i).isalnum()}
+LINE_HYPHEN = re.compile(rf"[{HYPHENS}][^\S\n]*\n")
 OPEN_END = re.compile(rf"([^\W_]+(?:-[^\W_]+)*)[{HYPHENS}]\s*$")
 FIRST = re.compile(r"\s*([^\W_]+(?:-[^\W_]+)*)")
 PAGE_LINE = re.compile(
     r"\W*(?:(?:hal|halaman|hlm|lembar|page|p|pg)\b\W*)?(\d+)(?:\W*(?:dari|of|/)\W*\d+)?\W*", re.I)
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-STOPPED = re.compile(r"[.,;:!?]$")
+STOPS = (".", ",", ";", ":", "!", "?")
+DIGIT = re.compile(r"\d")
 # What scanning makes of a character.
 CONFUSIONS = {
     "a": ["á", "@"], "b": ["6"], "e": ["c", "é"], "g": ["9"], "h": ["b"], "i": ["l", "1"], "k": ["lc"], "l": ["1"],
@@ -104,22 +108,24 @@ def _AGAIN(x: str) -> list[str]:
 # ---------------------------------------------------------------- counts over all texts
 
 def repeated_lines(rows: DataFrame) -> DataFrame:
-    """(file, repeats): per file the keys and row counts of lines on several of its pages and in no other file.
+    """(file_key, repeats): per file the keys and row counts of lines on several of its pages and in no other file.
 
-    A line is compared without its page's number at its start or end, by its skeleton. One aggregate per line,
-    combined on the map side.
+    A line that ends with a stop is none of these. Lines are compared without their page's number at the start or end, by
+    their skeleton. One aggregate of fixed width per line, combined on the map side; the file key is a hash of its name.
     """
-    page, line = F.col("page").cast("string"), F.regexp_replace(F.trim("line"), r"\s+", " ")
-    lines = rows.select("file", "page", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where(F.col("line").rlike(r"\p{L}"))
+    no, size = F.col("page").cast("string"), F.length(F.col("page").cast("string"))
+    lines = rows.select("file", "page", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).withColumn("line", F.trim("line"))
+    lines = lines.where((F.length("line") > 2) & ~F.right("line", F.lit(1)).isin(*STOPS))
+    line = F.regexp_replace("line", r"\s+", " ")
     lines = lines.withColumn("line", line)
-    lines = lines.withColumn("line", F.when(F.col("line").startswith(F.concat(page, F.lit(" "))), F.expr("substr(line, length(cast(page AS string)) + 1)"))
-                             .when(F.col("line").endswith(F.concat(F.lit(" "), page)), F.expr("left(line, length(line) - length(cast(page AS string)))"))
-                             .otherwise(F.col("line")))
-    keyed = lines.select("file", "page", F.xxhash64(skeleton_column(F.regexp_replace("line", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))).alias("key"))
-    per = keyed.groupBy("key").agg(F.min("file").alias("file"), F.max("file").alias("last"), F.min("page").alias("lo"),
+    line = F.when(F.col("line").startswith(F.concat(no, F.lit(" "))), F.substr("line", size + 1)).when(
+        F.col("line").endswith(F.concat(F.lit(" "), no)), F.left(F.col("line"), F.length("line") - size)).otherwise(F.col("line"))
+    key = F.xxhash64(skeleton_column(F.regexp_replace(line, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
+    keyed = lines.where(F.col("line").rlike(r"\p{L}")).select(F.xxhash64("file").alias("file"), "page", key.alias("key"))
+    per = keyed.groupBy("key").agg(F.min("file").alias("file_key"), F.max("file").alias("last"), F.min("page").alias("lo"),
                                    F.max("page").alias("hi"), F.count(F.lit(1)).alias("n"))
     # A file's own lines that repeat: as many as it has different headers, a few.
-    return per.where("file = last AND lo <> hi").groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("repeats"))
+    return per.where("file_key = last AND lo <> hi").groupBy("file_key").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("repeats"))
 
 
 def line_key(line: str, page: int | None) -> int:
@@ -133,20 +139,45 @@ def line_key(line: str, page: int | None) -> int:
     return key - 2**64 if key >= 2**63 else key
 
 
+def plain_words(text: str) -> list[str]:
+    """Words of lower-cased text, still with hyphens in them or at their ends."""
+    return text.translate(_ASCII_WORDS).split() if text.isascii() else WORDISH.findall(text)
+
+
+def whole_lines(text: str) -> str:
+    """The text without the words broken at its line ends."""
+    out, at = [], 0
+    for m in LINE_HYPHEN.finditer(text):
+        lo, hi = m.start(), m.end()
+        while lo > at and (text[lo - 1].isalnum() or text[lo - 1] == "-"):
+            lo -= 1
+        while hi < len(text) and text[hi].isspace():
+            hi += 1
+        while hi < len(text) and text[hi].isalnum():
+            hi += 1
+        out.append(text[at:lo])
+        at = max(hi, at)
+    return " ".join([*out, text[at:]]) if out else text
+
+
 def word_counts(rows: DataFrame) -> DataFrame:
     """(word, n): lower-cased words, those with inner hyphens also as a whole; words broken at a line end are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            count: Counter = Counter()
+            raw: Counter = Counter()
             for t in b["text"]:
-                t = t.lower()
-                if "\n" in t:
-                    t = BROKEN.sub(" ", t)
-                count.update(TOKEN.findall(t))
-            for w in [w for w in count if "-" in w]:
-                for part in w.split("-"):
-                    count[part] += count[w]
+                raw.update(plain_words(whole_lines(t.lower())))
+            count: Counter = Counter()
+            for w, n in raw.items():
+                if "-" in w:
+                    for whole in TOKEN.findall(w):
+                        count[whole] += n
+                        if "-" in whole:
+                            for part in whole.split("-"):
+                                count[part] += n
+                else:
+                    count[w] += n
             yield pd.DataFrame({"word": list(count.keys()), "n": list(count.values())})
 
     return rows.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -202,29 +233,35 @@ class LineModel:
     def __init__(self, start=START, step=STEP, emit=EMIT) -> None:
         self.start, self.step, self.emit = (x / x.sum(-1, keepdims=True) for x in (start, step, emit))
 
-    def path(self, seen: list[int]) -> list[int]:
-        """The most likely states (Viterbi)."""
-        if not seen:
-            return []
-        ls, lt, le = np.log(self.start), np.log(self.step).T.tolist(), np.log(self.emit).T.tolist()
-        best = [ls[s] + le[seen[0]][s] for s in range(4)]
-        back = []
-        for o in seen[1:]:
-            row, new = [], []
-            for s in range(4):
-                into = lt[s]
-                cand = [best[0] + into[0], best[1] + into[1], best[2] + into[2], best[3] + into[3]]
-                k = cand.index(max(cand))
-                row.append(k)
-                new.append(cand[k] + le[o][s])
-            back.append(row)
-            best = new
-        at = best.index(max(best))
-        out = [at]
-        for row in reversed(back):
-            at = row[at]
-            out.append(at)
-        return out[::-1]
+    def paths(self, texts: list[list[int]]) -> list[list[int]]:
+        """The most likely states of every text (Viterbi), for texts of like length together."""
+        step, emit = np.log(self.step), np.log(self.emit).T
+        out: list[list[int]] = [[] for _ in texts]
+        order = sorted((i for i in range(len(texts)) if texts[i]), key=lambda i: len(texts[i]))
+        for lo in range(0, len(order), 512):
+            group = order[lo : lo + 512]
+            size = np.array([len(texts[i]) for i in group])
+            seen = np.zeros((len(group), size[-1]), dtype=np.int64)
+            for k, i in enumerate(group):
+                seen[k, : size[k]] = texts[i]
+            best = np.log(self.start) + emit[seen[:, 0]]
+            back = np.zeros((size[-1], len(group), 4), dtype=np.int8)
+            last = best.argmax(1)
+            for j in range(1, size[-1]):
+                into = best[:, :, None] + step  # from, to
+                back[j] = into.argmax(1)
+                best = into.max(1) + emit[seen[:, j]]
+                last = np.where(size > j, best.argmax(1), last)
+            states = np.zeros((len(group), size[-1]), dtype=np.int64)
+            for j in range(size[-1] - 1, -1, -1):
+                at = np.where(size - 1 == j, last, 0)
+                if j + 1 < size[-1]:
+                    inner = size - 1 > j
+                    at = np.where(inner, back[j + 1][np.arange(len(group)), states[:, j + 1]], at)
+                states[:, j] = at
+            for k, i in enumerate(group):
+                out[i] = states[k, : size[k]].tolist()
+        return out
 
     def refit(self, texts: list[list[int]], rounds: int = 5) -> LineModel:
         """Baum-Welch, with the starting values as pseudo-counts."""
@@ -254,35 +291,34 @@ class LineModel:
 
 def observe(lines: list[str], page: int | None, repeats: dict) -> tuple[list[int], list[str | None]]:
     """The symbol of every line, and the page number that a line holds and nothing else."""
-    full = [i for i, x in enumerate(lines) if x.strip()]
-    edge = set(full[:3]) | set(full[-4:])
-    seen, numbers = [], []
-    for i, x in enumerate(lines):
-        x = x.strip()
-        number = None
-        if not x:
-            seen.append(0)
+    full = [i for i, x in enumerate(lines) if x and not x.isspace()]
+    edge = {*full[:3], *full[-4:]}
+    seen, numbers = [0] * len(lines), [None] * len(lines)
+    for i in full:
+        x = lines[i].strip()
+        place = 0 if i in edge else 1
+        if len(x) < 40 and DIGIT.search(x) and (m := PAGE_LINE.fullmatch(x)):
+            if page is not None and int(m[1]) == page:
+                numbers[i] = str(page)
+            seen[i] = (1 if numbers[i] else 3) + place
+            continue
+        if x[-1] in STOPS:
+            seen[i] = 13
+            continue
+        n = repeats.get(line_key(x, page), 0) if repeats else 0
+        capital = False
+        if not x[0].islower():
+            ws = [w for w in x.split() if w[0].isalnum()]
+            capital = sum(w[0].isupper() or w[0].isdigit() for w in ws) >= 0.6 * max(1, len(ws))
+            if n and capital and len(ws) > 1:
+                seen[i] = 5 + place
+                continue
+        if n > 2 and not x[0].islower() and x[0] != "(":
+            seen[i] = 7 + place
+        elif n:
+            seen[i] = 9 + place
         else:
-            place = 0 if i in edge else 1
-            m = PAGE_LINE.fullmatch(x) if len(x) < 40 and any(ch.isdigit() for ch in x) else None
-            if m:
-                number = str(int(m[1])) if page is not None and int(m[1]) == page else None
-                seen.append((1 if number else 3) + place)
-            else:
-                n = repeats.get(line_key(x, page), 0) if repeats else 0
-                words = TOKEN.findall(x)
-                capital = sum(w[0].isupper() or w[0].isdigit() for w in words) >= 0.6 * len(words) and not STOPPED.search(x)
-                if n and capital and len(words) > 1:
-                    seen.append(5 + place)
-                elif n > 2 and not STOPPED.search(x) and not x[0].islower() and x[0] != "(":
-                    seen.append(7 + place)
-                elif n:
-                    seen.append(9 + place)
-                elif capital:
-                    seen.append(11 + place)
-                else:
-                    seen.append(13)
-        numbers.append(number)
+            seen[i] = 11 + place if capital else 13
     return seen, numbers
 
 
@@ -319,45 +355,50 @@ def _goes_on(first: str, second: str) -> bool:
     return second[0].islower() or second.isupper() and first.isupper() and len(first) > 1
 
 
-def label(text: str, page: int | None, repeats: dict | None, model: LineModel) -> tuple[list[str], list[int], list[str | None]]:
-    lines = text.split("\n")
-    seen, numbers = observe(lines, page, repeats or {})
-    return lines, model.path(seen), numbers
+def label(texts: list[tuple[str, int | None, dict | None]], model: LineModel) -> list[tuple[list[str], list[int], list[str | None]]]:
+    """(lines, their states, the page numbers they hold) of every (text, page, repeats)."""
+    split = [t.split("\n") for t, _, _ in texts]
+    seen = [observe(x, p, r or {}) for x, (_, p, r) in zip(split, texts)]
+    return [(x, s, n) for x, s, (_, n) in zip(split, model.paths([s for s, _ in seen]), seen)]
 
 
-def items(text: str, page: int | None, repeats: dict | None, model: LineModel, common: frozenset) -> Iterator[tuple[str, str, str]]:
+def items(text: str, labelled: tuple, common: frozenset) -> Iterator[tuple[str, str, str]]:
     """(kind, a, b): header and page number lines, possible broken words as halves, and words that are not common."""
-    lines, states, numbers = label(text, page, repeats, model)
-    halves = list(line_ends(lines, states))
+    lines, states, numbers = labelled
     for i, s in enumerate(states):
         if s == HEADER:
             yield "header", lines[i].strip(), ""
         elif s == NUMBER and numbers[i]:
             yield "page_number", numbers[i], ""
-    cut_at = {i: len(a) for i, a, _, _ in halves}
-    skip = {j: b for _, _, j, b in halves}
-    for i, a, _, b in halves:
-        yield "halves", a, b
-    for i, x in enumerate(lines):
-        x = x.lower()
-        if i in cut_at:
-            x = x.rstrip().rstrip(HYPHENS)
-            x = x[: len(x) - cut_at[i]]
-        if i in skip:
-            x = x.lstrip()[len(skip[i]) :]
-        for w in TOKEN.findall(x):
-            for part in w.split("-"):
-                if part not in common and len(part) > 2:
-                    yield "word", part, ""
-
-
-def paragraphs(text: str, page: int | None, repeats: dict | None, model: LineModel, joined: dict[str, str], fixed: dict[str, str]) -> str:
-    """The text without page furniture, broken words joined, misread words replaced, and lines put together to paragraphs.
+    low = text.lower()
+    halves = list(line_ends(lines, states)) if LINE_HYPHEN.search(text) else []
+    if halves:
+        cut_at = {i: len(a) for i, a, _, _ in halves}
+        skip = {j: len(b) for _, _, j, b in halves}
+        rest = []
+        for i, x in enumerate(low.split("\n")):
+            if i in cut_at:
+                x = x.rstrip().rstrip(HYPHENS)
+                x = x[: len(x) - cut_at[i]]
+            if i in skip:
+                x = x.lstrip()[skip[i] :]
+            rest.append(x)
+        low = "\n".join(rest)
+        for _, a, _, b in halves:
+            yield "halves", a, b
+    found = low.translate(_ASCII_PARTS).split() if low.isascii() else PART.findall(low)
+    for w in set(found) - common:
+        if len(w) > 2 and not w.isdigit():
+            yield "word", w, ""
+
+
+def paragraphs(labelled: tuple, joined: dict[str, str], fixed: dict[str, str]) -> str:
+    """The labelled text without page furniture, broken words joined, misread words replaced, and lines put together to paragraphs.
 
     A paragraph ends at a break, or at a line that ends with a stop or is much shorter than the longest, or before
     a line that opens with a heading or a number in brackets.
     """
-    lines, states, _ = label(text, page, repeats, model)
+    lines, states, _ = list(labelled[0]), labelled[1], labelled[2]
 
     def repair(m: re.Match) -> str:
         meant = fixed.get(m[0].lower())
@@ -405,16 +446,16 @@ class Repair:
         rows = rows.where(F.col("text").isNotNull())
         self.words = cut(word_counts(rows))
         self.fixes = cut(corrections(self.words))
-        repeats = cut(repeated_lines(rows)).withColumnRenamed("file", "__file")
+        repeats = cut(repeated_lines(rows))
         few = repeats.count() <= BROADCAST_FILES
-        self.rows = rows.join(F.broadcast(repeats) if few else repeats, F.col("file") == F.col("__file"), "left").select("id", "page", "text", "repeats")
+        self.rows = rows.withColumn("file_key", F.xxhash64("file")).join(F.broadcast(repeats) if few else repeats, "file_key", "left").select("id", "page", "text", "repeats")
         sc = rows.sparkSession.sparkContext
         common = frozenset(r[0] for r in self.words.where(r"word RLIKE '^\\p{L}+$'").orderBy(F.desc("n"), "word").limit(COMMON)
                            .join(self.fixes, "word", "left_anti").select("word").collect())
         self.common = sc.broadcast(common)
         n = rows.count()
         some = self.rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(1e6 * min(1, sample / max(n, 1))) + 1)
-        self.model = sc.broadcast(LineModel().refit([x for x in self._observed(some)]))
+        self.model = sc.broadcast(LineModel().refit(self._observed(some)))
         self.found = cut(self._items())
 
     @staticmethod
@@ -432,8 +473,9 @@ class Repair:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for part in slices(b["text"]):
-                    out = {(i, *x) for i, p, t, r in b.iloc[part][["id", "page", "text", "repeats"]].itertuples(index=False, name=None)
-                           for x in items(t, _page(p), r, model.value, common.value)}
+                    c = b.iloc[part]
+                    texts = list(zip(c["text"], map(_page, c["page"]), c["repeats"]))
+                    out = {(i, *x) for i, t, y in zip(c["id"], texts, label(texts, model.value)) for x in items(t[0], y, common.value)}
                     yield pd.DataFrame(list(out), columns=["id", "kind", "a", "b"])
 
         return self.rows.mapInPandas(run, f"id {kind}, kind string, a string, b string")
@@ -482,9 +524,8 @@ class Repair:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                yield pd.DataFrame({"id": b["id"], "text": [
-                    paragraphs(t, _page(p), r, model.value, j or {}, x or {})
-                    for p, t, r, j, x in zip(b["page"], b["text"], b["repeats"], b["joined"], b["fixed"])]})
+                done = label(list(zip(b["text"], map(_page, b["page"]), b["repeats"])), model.value)
+                yield pd.DataFrame({"id": b["id"], "text": [paragraphs(y, j or {}, x or {}) for y, j, x in zip(done, b["joined"], b["fixed"])]})
 
         return self.rows.join(joined, "id", "left").join(fixed, "id", "left").mapInPandas(run, f"id {kind}, text string")
 

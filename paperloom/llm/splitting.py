@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Blanks within a line, among them the invisible ones that extraction leaves.
-BLANK = r"[^\S\n]|[​‌‍⁠﻿]"
+BLANK = "[^\\S\\n]|[\u200b\u200c\u200d\u2060\ufeff]"
 
 HEADING = re.compile(
     rf"(?im)^(?:{BLANK})*pasal(?:{BLANK})+(\d+)([a-z]?)(?:{BLANK})*"
