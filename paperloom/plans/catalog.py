@@ -1,4 +1,4 @@
 """Importing this module registers every core query."""
 
-from paperloom.plans import keyed_queries  # noqa: F401
+from paperloom.plans import keyed_queries, reference_queries, search_queries, text_queries  # noqa: F401
 from paperloom.plans.registry import core  # noqa: F401
