@@ -76,7 +76,7 @@ def article_lookup(requests: DataFrame, chunks: DataFrame, strict: bool = False)
     fits = (art == F.col("pasal")) if strict else (art != "") & art.startswith(F.col("pasal"))
     rows = rows.where(F.col("pasal").isNull() | fits).withColumn("place", F.row_number().over(Window.partitionBy("request_id").orderBy("k")))
     return rows.where(F.col("place") <= C.TOOL_CHUNKS).select(
-        "request_id", "id", "page", "article", F.substring(T.clean_chunk(F.col("text")), 1, C.TOOL_CHARS).alias("text"), "place")
+        "request_id", "id", F.coalesce("page", F.lit(0)).alias("page"), "article", F.substring(T.clean_chunk(F.col("text")), 1, C.TOOL_CHARS).alias("text"), "place")
 
 
 def citations(answers: DataFrame) -> DataFrame:

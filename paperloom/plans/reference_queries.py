@@ -73,7 +73,7 @@ def source_categories(spark, d):
 LOOKUP = CUR + f""", req AS (SELECT source AS s, min(article) AS pasal FROM cur WHERE source IS NOT NULL AND article LIKE 'Pasal %' GROUP BY source),
  rows AS (SELECT s AS request_id, pasal, id, page, article, text, row_number() OVER (PARTITION BY s ORDER BY page NULLS FIRST, CAST(split_part(id, '-', 3) AS INTEGER), id) AS k FROM cur JOIN req ON source = s),
  fit AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY k) AS place FROM rows WHERE k <= 200 AND trim(coalesce(article, '')) <> '' AND starts_with(trim(article), pasal))
-SELECT request_id, id, page, article, substr({sql_clean('text')}, 1, 800) AS text, place FROM fit WHERE place <= 8"""
+SELECT request_id, id, coalesce(page, 0) AS page, article, substr({sql_clean('text')}, 1, 800) AS text, place FROM fit WHERE place <= 8"""
 
 
 @query("article_lookup", LOOKUP)
