@@ -79,11 +79,11 @@ def ingest_batches(spark, d):
     return o.groupBy(F.expr("(place - 1) div 200").alias("batch")).agg(F.count(F.lit(1)).alias("files"), F.min("path").alias("first_path"))
 
 
-@query("manifest_upsert", STATES + """SELECT path, sha256, size, chunk_count FROM old WHERE path NOT IN (SELECT path FROM ch WHERE status IN ('deleted', 'added', 'modified', 'retried', 'touched'))
-  UNION ALL SELECT d.path, d.sha256, d.size, d.chunk_count FROM disk d JOIN ch ON d.path = ch.path WHERE status IN ('added', 'modified', 'retried', 'touched')""")
+@query("manifest_upsert", STATES + """SELECT path, sha256, size, coalesce(chunk_count, 0) AS chunk_count FROM old WHERE path NOT IN (SELECT path FROM ch WHERE status IN ('deleted', 'added', 'modified', 'retried', 'touched'))
+  UNION ALL SELECT d.path, d.sha256, d.size, coalesce(d.chunk_count, 0) FROM disk d JOIN ch ON d.path = ch.path WHERE status IN ('added', 'modified', 'retried', 'touched')""")
 def manifest_upsert(spark, d):
     old, disk = old_and_disk(spark, d)
-    return ingest.apply_changes(old, disk, ingest.detect_changes(disk, old)).select("path", "sha256", "size", "chunk_count")
+    return ingest.apply_changes(old, disk, ingest.detect_changes(disk, old)).select("path", "sha256", "size", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
 
 
 GONE = STATES + ", gone AS (SELECT DISTINCT substr(sha1(path), 1, 10) AS file FROM ch WHERE status = 'deleted')"
