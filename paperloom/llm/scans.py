@@ -420,8 +420,9 @@ def paragraphs(labelled: tuple, joined: dict[str, str], fixed: dict[str, str]) -
     out: list[str] = []
     open_ = False
     for x, s in body:
-        if s == BREAK or not x:
-            open_ = open_ and not x == "" if s != BREAK else False
+        if s == BREAK:
+            open_ = False
+        if not x:  # a line that was joined to the one before is empty, and ends nothing
             continue
         x = PART.sub(repair, x)
         if open_ and not OPENS.match(x):

@@ -1,0 +1,262 @@
+"""Operators against brute force, round trips and held-out accuracy."""
+
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from paperloom.llm import boilerplate, leakage, neardup, neighbours, packing, scans, splitting, truncation
+from paperloom.llm.common import words
+
+WORDS = [a + b + c for a in ("ba", "ke", "mi", "so", "tu") for b in ("lan", "ri", "da", "no") for c in ("", "ng", "kan", "s")]
+
+
+def sentence(rng, n=12):
+    return " ".join(rng.choice(WORDS) for _ in range(n)).capitalize() + "."
+
+
+# ---- problem 2
+
+PARTS = st.lists(st.sampled_from(["Pasal 5\n", "\n  PASAL 7b.\n", "\nPasal 8 – Umum\n", "\nPasal 9 ayat (1) jo. ", "kata ", "akhir. ", "\n\n", "\n(2) isi ", "z" * 90]), max_size=60)
+
+
+@settings(max_examples=100, deadline=None)
+@given(PARTS, st.integers(40, 120), st.integers(0, 30))
+def test_pieces_tile_the_text(parts, limit, overlap):
+    text = "".join(parts)
+    got = list(splitting.split_text(text, "Pasal 1", limit, overlap))
+    assert "".join(text[p[3] : p[4]] for p in got) == text
+    for k, (_, article, opens, start, stop, back, piece) in enumerate(got):
+        assert len(piece) <= limit and piece == text[start - back : stop]
+        if k and not opens and got[k - 1][1] == article:
+            assert back == min(overlap, start - max(p[3] for p in got[: k + 1] if p[2] or p[3] == 0))
+    assert [p[1] for p in got if p[2]] == [a for _, a in splitting.headings(text)]
+
+
+def test_headings():
+    text = "Pasal 1\n pasal 2a.\nPASAL 3 - Judul\nPasal 4 (1) isi\nPasal 5 ayat (2).\nPasal 6 huruf a\nPasal 7 Peraturan\nlihat Pasal 8\nPasal​ 9 \nPasal10\nPasal 11 juncto Pasal 12"
+    assert [a for _, a in splitting.headings(text)] == ["Pasal 1", "Pasal 2A", "Pasal 3", "Pasal 4", "Pasal 9"]
+
+
+# ---- problem 3
+
+def test_neighbours_recall(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(300, 16))
+    x = np.repeat(centres, 5, axis=0) + rng.normal(scale=0.15, size=(1500, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "row_no long, embedding array<float>")
+    got: dict = {}
+    for r in neighbours.most_similar(df, k=4, dim=16, subspaces=8, codes=64, probes=8).collect():
+        got.setdefault(r.row_no, set()).add(r.other)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    true = {i: set(np.argsort(-s[i])[:4].tolist()) for i in range(len(x))}
+    assert sum(len(true[i] & got[i]) for i in true) / (4 * len(true)) >= 0.95
+    hot = neighbours.most_similar(df, k=4, dim=16, subspaces=8, codes=64, probes=8, part=20)  # lists cut into parts
+    assert {(r.row_no, r.other) for r in hot.collect()} >= {(i, j) for i in (0, 700) for j in true[i] if s[i, j] > 0.9}
+
+
+# ---- problem 4
+
+def test_scan_page():
+    m = scans.LineModel()
+    file = {scans.line_key("Kota Mekin Nomor 44 Tahun 1992", None): 4}
+    text = "Kota Mekin Nomor 44 Tahun 1992\nSetiap orang wajib melin-\nHal 3\ndungi hutan dan sekurang-\nkurangnya\nlaut tiap tahun.\n\n745\n- 3 -"
+    y = scans.label([(text, 3, file)], m)[0]
+    got = set(scans.items(text, y, frozenset(words("setiap orang wajib hutan dan laut tiap tahun"))))
+    assert {("header", "Kota Mekin Nomor 44 Tahun 1992", ""), ("page_number", "3", ""), ("halves", "melin", "dungi"), ("halves", "sekurang", "kurangnya")} == {x for x in got if x[0] != "word"}
+    out = scans.paragraphs(y, {"melin dungi": "melindungi"}, {})
+    assert out.split("\n")[0] == "Setiap orang wajib melindungi hutan dan sekurang-kurangnya laut tiap tahun." and "Mekin" not in out
+
+
+def test_scan_corrections(spark):
+    w = [("pemilihan", 900), ("pernilihan", 2), ("hari", 800), ("han", 3), ("dan", 5000), ("dari", 900), ("6ahan", 4), ("bahan", 60), ("maliri", 90), ("malin", 2), ("rp730", 3), ("25a", 2), ("x1y2", 9), ("kedaluwarsa", 99), ("kedaliiwarsa", 1), ("zzz", 1)]
+    df = spark.createDataFrame(w, "word string, n long")
+    assert {tuple(r) for r in scans.corrections(df).collect()} == {("pernilihan", "pemilihan"), ("6ahan", "bahan"), ("kedaliiwarsa", "kedaluwarsa")}
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.text(alphabet="abcehiklmnorstu", min_size=1, max_size=12), st.randoms())
+def test_skeleton_is_blind_to_confusions(word, rng):
+    seen = "".join(rng.choice([c, *scans.CONFUSIONS.get(c, [])]) for c in word)
+    assert scans.skeleton(seen) == scans.skeleton(word) and scans.misreading(seen, word) is not None
+
+
+def test_skeleton_column(spark):
+    ws = ["internasional", "Kebun ke-7", "9bz@áé", "m", ""]
+    df = spark.createDataFrame([(w,) for w in ws], "w string")
+    assert [r[0] for r in df.select(scans.skeleton_column(F.col("w"))).collect()] == [scans.skeleton(w) for w in ws]
+
+
+def test_paths_equal_single_paths():
+    m, rng = scans.LineModel(), random.Random(2)
+    texts = [[rng.randrange(len(scans.SYMBOLS)) for _ in range(rng.randrange(0, 30))] for _ in range(60)]
+    assert m.paths(texts) == [m.paths([t])[0] for t in texts]
+
+
+# ---- problem 5
+
+def near_texts(rng):
+    base = [[rng.choice(WORDS) for _ in range(rng.randrange(4, 160))] for _ in range(60)]
+    out = []
+    for b in base:
+        for _ in range(rng.randrange(1, 6)):
+            t = list(b)
+            for _ in range(rng.randrange(0, 1 + len(t) // 14)):
+                t[rng.randrange(len(t))] = rng.choice(WORDS)
+            out.append(" ".join(t))
+    return out + ["satu dua", "satu dua", "", "A,b c", "a b  C"]
+
+
+def brute(texts, t, n):
+    sets = []
+    for x in texts:
+        w = words(x)
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)})
+    return {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j]) - 1e-9}
+
+
+@pytest.mark.parametrize("block", [1_000, 3])
+def test_near_duplicates(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    texts = near_texts(random.Random(5))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)] + [(999, None)], "id int, text string")
+    s = neardup.Similar(df, 0.7, 3)
+    got, want = {tuple(r) for r in neardup.id_pairs(s).collect()}, brute(texts, 0.7, 3)
+    assert got <= want and len(got) >= 0.995 * len(want)
+    rows = neardup.groups(s).collect()
+    assert sum(r.links for r in rows) == 2 * len(got)
+    label = {r.id: r.group_id for r in rows}
+    assert all(label[a] == label[b] for a, b in got)
+
+
+def test_hot_copies_stay_linear(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.lit("satu dua tiga empat lima enam")).otherwise(F.concat(F.lit("kata "), "id", F.lit(" lagi dan lagi"))).alias("text"))
+    s = neardup.Similar(df, 0.8, 5)
+    assert s.pairs.count() == 0
+    assert neardup.groups(s).groupBy("class_id").count().agg(F.max("count")).first()[0] == 2000
+
+
+# ---- problem 6
+
+def test_line_counts_by_deltas(spark):
+    rng = random.Random(6)
+    notice, fresh = "Dokumen ini diunduh dari jaringan arsip", "Lihat juga peraturan terkait di beranda"
+    make = lambda lo, hi, extra: [(f"f{i % 9}-p{i}-0", f"f{i % 9}", "k" if i % 5 else None, "\n".join([sentence(rng), f"* {extra.upper() if i % 2 else extra} {i}", sentence(rng)])) for i in range(lo, hi)]
+    schema = "id string, file string, source string, text string"
+    one, two = spark.createDataFrame(make(0, 60, notice), schema), spark.createDataFrame(make(60, 140, fresh), schema)
+    before = boilerplate.delta(one)
+    after = boilerplate.merge(before, boilerplate.delta(two))
+    whole = boilerplate.delta(one.unionByName(two))
+    assert sorted(after.lines.collect()) == sorted(whole.lines.collect())
+    back = boilerplate.merge(after, boilerplate.delta(two, sign=-1))
+    assert sorted(back.lines.collect()) == sorted(before.lines.collect()) and sorted(back.totals.collect()) == sorted(before.totals.collect())
+    cross = boilerplate.crossings(boilerplate.frequent(before), boilerplate.frequent(after))
+    assert [r.crossed for r in cross.collect()] == ["up"]
+    todo = boilerplate.affected(one.unionByName(two), cross)
+    assert todo.count() == sum(1 for i in range(60, 140) if i % 5)
+    gone, lines = boilerplate.removed_lines(todo, after)
+    clean = boilerplate.strip_lines(todo, gone)
+    assert lines.count() == 1 and clean.where(F.lower("text").contains("beranda")).count() == 0 and clean.where(F.size(F.split("text", "\n")) == 2).count() == clean.count()
+
+
+# ---- problem 7
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 100), max_size=200), st.booleans())
+def test_fill(sizes, top_up):
+    x = np.array(sizes, dtype=np.int64)
+    no = packing.fill(x, 100, top_up)
+    assert (no >= 0).all() and (not len(x) or np.bincount(no, weights=x).max() <= 100)
+
+
+def test_pack(spark):
+    rng = random.Random(7)
+    sizes = [rng.randrange(1, 9000) for _ in range(3000)] + [4096, 4097, None, 0]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id int, size long")
+    rows = packing.pack(df, F.col("size"), 4096, share=1000).collect()
+    room: dict = {}
+    per: dict = {}
+    for r in rows:
+        room[r.container] = room.get(r.container, 0) + r["size"]
+        per.setdefault(r.doc_id, []).append((r.start, r["size"]))
+    assert max(room.values()) <= 4096
+    for i, n in enumerate(sizes):
+        parts = sorted(per.get(i, []))
+        assert sum(s for _, s in parts) == (n or 0) and (len(parts) <= 1 or n > 4096)
+        assert [a for a, _ in parts] == [sum(s for _, s in parts[:k]) for k in range(len(parts))]
+    assert sum(room.values()) / (4096 * len(room)) > 0.98
+
+
+# ---- problem 8
+
+def leaked(docs, items, n=13):
+    out = set()
+    for d, t in docs:
+        w = words(t or "")
+        grams = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+        for i, u in items:
+            v = words(u or "")
+            if any(tuple(v[k : k + n]) in grams for k in range(len(v) - n + 1)):
+                out.add((d, i))
+    return out
+
+
+@pytest.mark.parametrize(("block", "slice_"), [(200_000, 400_000), (50, 30)])
+def test_leaks(spark, monkeypatch, block, slice_):
+    rng = random.Random(8)
+    items = [(i, " ".join(sentence(rng, rng.randrange(5, 15)) for _ in range(4))) for i in range(12)] + [(50, "pendek"), (51, None)]
+    docs = []
+    for d in range(120):
+        t = [sentence(rng) for _ in range(rng.randrange(0, 8))]
+        if d % 3 == 0:
+            w = items[d % 12][1].split()
+            k, n = rng.randrange(0, 10), rng.randrange(11, 16)
+            t.insert(rng.randrange(0, len(t) + 1), " ".join(w[k : k + n]).upper())
+        docs.append((d, " -- ".join(t)))
+    docs += [(500, None), (501, ""), (502, items[3][1])]
+    monkeypatch.setattr(leakage, "BLOCK", block)
+    monkeypatch.setattr(leakage, "SLICE", slice_)
+    D, T = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    got = {tuple(r) for r in leakage.leaks(D, T).select("doc_id", "item_id").distinct().collect()}
+    assert got == leaked(docs, items)
+
+
+def test_leaks_with_edits_reach_their_recall(spark):
+    rng = random.Random(9)
+    items = [(i, " ".join(rng.choice(WORDS) for _ in range(13))) for i in range(200)]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        w[rng.randrange(13)] = "lain"
+        docs.append((i, sentence(rng) + " " + " ".join(w) + " " + sentence(rng)))
+    D, T = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    got = {tuple(r) for r in leakage.leaks(D, T, max_edits=1, recall=0.95).select("doc_id", "item_id").distinct().collect()}
+    assert sum((i, i) in got for i, _ in items) >= 0.9 * len(items)
+
+
+# ---- problem 9
+
+def test_truncation_on_held_out_cuts(spark):
+    rng = random.Random(10)
+    rows = []
+    for i in range(3000):
+        t = " ".join(sentence(rng, rng.randrange(6, 14)) for _ in range(rng.randrange(4, 40)))
+        cut, source = i % 10 == 0, "limited" if i % 4 == 0 else "free"
+        n = len(t)
+        if cut:
+            t = t[:400] if source == "limited" and n > 420 else t[: rng.randrange(120, max(121, n - 20))]
+            cut = not t.rstrip().endswith(".")
+        elif i % 7 == 0:
+            t += "\nttd.\nCAMAT " + rng.choice(WORDS).upper()
+            n = len(t)
+        rows.append((i, t, source, n if i % 2 else None, cut))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, declared_chars long, cut boolean")
+    got = {r.doc_id for r in truncation.scores(df).where("score > 0.5").collect()}
+    true = {r[0] for r in rows if r[4]}
+    assert len(got & true) / len(true) > 0.95 and len(got & true) / len(got) > 0.9
+    assert [list(r.char_limits) for r in truncation.limits(df).collect() if r.source == "limited"] == [[400]]
