@@ -207,7 +207,11 @@ class Similar:
         df = df.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", "text")
         sig = cut(signatures(df, words, bands, rows))
         self.members = sig.select("id", "copy")
-        reps = sig.groupBy("copy").agg(F.min("id").alias("id"), F.any_value("buckets").alias("buckets"))
+        # One text of each class goes on. Only (id, copy) are shuffled to find it; classes of one text are in no table.
+        first = sig.groupBy("copy").agg(F.min("id").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+        first = first.withColumnRenamed("copy", "__copy")
+        side = F.broadcast(first) if first.count() <= BROADCAST_CLASSES else first
+        reps = sig.join(side, F.col("copy") == F.col("__copy"), "left").where("__first IS NULL OR __first = id").select("id", "copy", "buckets")
         entries = reps.select("copy", F.explode("buckets").alias("bucket"))
         buckets = cut(entries.groupBy("bucket").agg(
             F.min("copy").alias("centre"), F.max("copy").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1"))
@@ -216,7 +220,7 @@ class Similar:
             larger = F.broadcast(larger)
         in_larger = entries.join(larger, F.col("bucket") == F.col("__b")).select("bucket", "centre", "copy")
         # Buckets of two are whole in (centre, last); only larger ones need their members fetched.
-        stars = cut(buckets.where("n = 2").select(F.lit(None).cast("long").alias("bucket"), "centre", F.col("last").alias("copy")).distinct()
+        stars = cut(buckets.where("n = 2 AND centre <> last").select(F.lit(None).cast("long").alias("bucket"), "centre", F.col("last").alias("copy")).distinct()
                     .unionByName(in_larger.where("copy <> centre")))
         edges = cut(stars.select(F.col("centre").alias("gid"), "copy").distinct())
         involved = cut(edges.select(F.explode(F.array("gid", "copy")).alias("copy")).distinct())
