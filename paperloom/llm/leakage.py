@@ -246,9 +246,12 @@ def _scan(index, window: int, max_edits: int, names: list[str]):
             ok = alike(symbols, starts[a], ix.symbols, b * window, window, max_edits)
             a, b = a[ok], b[ok]
             of = np.searchsorted(spans, starts[a], "right") - 1
-            out = []
+            out, known = [], {}  # a text that repeats itself has few different windows
             for s, k, w in zip(starts[a].tolist(), of.tolist(), b.tolist()):
-                if edit_distance(ws[s : s + window], ix.ws[w].split(" "), max_edits) <= max_edits:
+                key = (symbols[s : s + window].tobytes(), w)
+                if key not in known:
+                    known[key] = edit_distance(ws[s : s + window], ix.ws[w].split(" "), max_edits) <= max_edits
+                if known[key]:
                     out.append((ids[k][0], ix.items[w], s - spans[k] + ids[k][1], ix.pos[w]))
             return out
 
