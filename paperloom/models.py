@@ -100,7 +100,7 @@ def expand(analysis: DataFrame, key: str) -> DataFrame:
         .unionByName(analysis.select(key, F.lit(C.MAX_SUB_QUERIES + 1).alias("k"), F.lit("id_keywords").alias("label"), F.array_join("id_keywords", " ").alias("query")))
         .unionByName(numbered("hyde", "hyde", C.MAX_HYPOTHESES, C.MAX_SUB_QUERIES + 1)))
     w = Window.partitionBy(key).orderBy("k")
-    return every.where(F.trim("query") != "").withColumn("place", F.row_number().over(w)).where(F.col("place") <= C.MAX_QUERIES).select(key, "label", "query", "place")
+    return every.where(F.trim("query") != "").withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= C.MAX_QUERIES).select(key, "label", "query", "place")
 
 
 def extractive_answer(context: DataFrame, key: str, sentences: int = 3) -> DataFrame:

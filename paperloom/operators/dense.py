@@ -46,7 +46,7 @@ def nearest(queries: DataFrame, rows: DataFrame, n: int, group: str | None = Non
     if parts is None:
         parts = rows.sparkSession.createDataFrame([], schema)
     w = Window.partitionBy("query_id", "grp").orderBy("dist", "id")
-    best = parts.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < n)
+    best = parts.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).where(F.col("rank") < n)
     return best.withColumnRenamed("grp", group) if group else best.drop("grp")
 
 

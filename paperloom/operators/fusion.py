@@ -126,7 +126,7 @@ def rerank(cands: DataFrame, scores: DataFrame, cross: Column | None = None) ->
     pool = adjusted(pool.withColumn("small", small))
     pool = pool.withColumn("adjusted", F.when(F.col("small"), F.col("score")).otherwise(F.col("adjusted")))
     place = F.row_number().over(q.orderBy(F.when(F.col("small"), F.col("k")), F.desc("adjusted"), "eff", "id"))
-    return pool.withColumn("place", place).where(F.col("place") <= F.col("top_k")).select("query_id", "id", "source", "score", "adjusted", "place")
+    return pool.withColumn("place", place.cast("long")).where(F.col("place") <= F.col("top_k")).select("query_id", "id", "source", "score", "adjusted", "place")
 
 
 def quota_pick(pool: pd.DataFrame, top_k: int, quotas: dict[str, int]) -> pd.DataFrame:

@@ -59,5 +59,5 @@ def search(queries: DataFrame, docs: DataFrame, n: int | None = None, keep: tupl
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = tf.join(weight, "term").crossJoin(stats).groupBy("query_id", "id", *keep).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = scored.withColumn("rank", F.row_number().over(w) - 1)
+    ranked = scored.withColumn("rank", (F.row_number().over(w) - 1).cast("long"))
     return ranked.where(F.col("rank") < n) if n is not None else ranked

@@ -74,7 +74,7 @@ def article_lookup(requests: DataFrame, chunks: DataFrame, strict: bool = False)
     rows = chunks.join(r, F.col("source") == F.col("__s")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= C.TOOL_SCAN)
     art = F.trim(F.coalesce("article", F.lit("")))
     fits = (art == F.col("pasal")) if strict else (art != "") & art.startswith(F.col("pasal"))
-    rows = rows.where(F.col("pasal").isNull() | fits).withColumn("place", F.row_number().over(Window.partitionBy("request_id").orderBy("k")))
+    rows = rows.where(F.col("pasal").isNull() | fits).withColumn("place", F.row_number().over(Window.partitionBy("request_id").orderBy("k")).cast("long"))
     return rows.where(F.col("place") <= C.TOOL_CHUNKS).select(
         "request_id", "id", F.coalesce("page", F.lit(0)).alias("page"), "article", F.substring(T.clean_chunk(F.col("text")), 1, C.TOOL_CHARS).alias("text"), "place")
 

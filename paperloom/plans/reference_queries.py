@@ -90,7 +90,7 @@ def source_lookup(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("source").orderBy("page", F.split("id", "-")[2].cast("int"), "id")
-    return current(spark, d, "source", "page", "id").where("source IS NOT NULL").withColumn("k", F.row_number().over(w)).where("k <= 200").select("source", "id", "k")
+    return current(spark, d, "source", "page", "id").where("source IS NOT NULL").withColumn("k", F.row_number().over(w).cast("long")).where("k <= 200").select("source", "id", "k")
 
 
 CITE = r"""SELECT doc_id AS answer_id, unnest(range(len(raw))) AS pos, unnest(raw) AS raw, trim(unnest(pasal)) AS pasal, trim(unnest(source)) AS source, CAST(unnest(page) AS INTEGER) AS page FROM (

@@ -116,7 +116,7 @@ def dense_weighted(spark, d):
     eff = F.round(F.col("dist") * F.col("weight") * fusion.page_penalty(F.col("page")), 12)
     score = F.round(1 - F.coalesce(F.nullif("dist", F.lit(0.0)), F.lit(1.0)), 3)
     hits = hits.select("query_id", "id", "collection", eff.alias("eff"), score.alias("score"))
-    return hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("eff", "id"))).where("place <= 12")
+    return hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("eff", "id")).cast("long")).where("place <= 12")
 
 
 @query("collection_search", CUR + DENSE + """SELECT query_id, id, place, score FROM (SELECT query_id, id, round(1 - dist, 3) AS score, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS place

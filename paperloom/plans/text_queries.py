@@ -70,7 +70,7 @@ def noise_chunks(spark, d):
 @query("short_chunks", CUR + f"SELECT id, length({sql_strip('text')}) AS chars FROM cur WHERE length({sql_strip('text')}) < 80")
 def short_chunks(spark, d):
     chars = F.length(T.strip(F.col("text")))
-    return current(spark, d).where(chars < 80).select("id", chars.alias("chars"))
+    return current(spark, d).where(chars < 80).select("id", chars.cast("long").alias("chars"))
 
 
 SLUG = "lower(regexp_replace(regexp_replace(slug, '[^A-Za-z0-9_]', '_', 'g'), '^_+|_+$', '', 'g'))"
@@ -157,7 +157,7 @@ def display_names(spark, d):
     return m.select("collection", F.coalesce(F.try_element_at(names, F.replace("collection", F.lit(C.COLLECTION_PREFIX), F.lit(""))), "collection").alias("name"))
 
 
-@query("event_stamps", """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, CAST(date_trunc('month', ts) AS DATE) AS month,
+@query("event_stamps", """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, strftime(ts, '%Y-%m') AS month,
   CASE WHEN age < 60 THEN 'now' WHEN age < 3600 THEN (age // 60) || ' min' WHEN age < 86400 THEN (age // 3600) || ' h' ELSE (age // 86400) || ' d' END AS label
   FROM (SELECT event_id, ts, CAST(epoch(last) AS BIGINT) - CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS age FROM events, (SELECT date_trunc('second', max(ts)) AS last FROM events))""")
 def event_stamps(spark, d):
@@ -165,7 +165,7 @@ def event_stamps(spark, d):
     last = e.agg(F.unix_seconds(F.date_trunc("second", F.max("t"))).alias("last"))
     e = e.crossJoin(F.broadcast(last)).withColumn("age", F.col("last") - F.unix_seconds(F.date_trunc("second", "t")))  # one row
     unit = lambda n, u: F.concat(F.expr(f"age div {n}"), F.lit(u))
-    return e.select("event_id", F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("stamp"), F.to_date(F.date_trunc("month", "t")).alias("month"),
+    return e.select("event_id", F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("stamp"), F.date_format("t", "yyyy-MM").alias("month"),
                     F.when(F.col("age") < 60, "now").when(F.col("age") < 3600, unit(60, " min")).when(F.col("age") < 86400, unit(3600, " h")).otherwise(unit(86400, " d")).alias("label"))
 
 
