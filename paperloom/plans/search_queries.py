@@ -97,8 +97,8 @@ def placed_vectors(spark, d):
 
 
 def dense_hits(spark, d, queries, n):
-    rows = placed_vectors(spark, d)
-    return dense.nearest(queries, rows, n, "collection").join(rows.select("id", "source", "page", "article"), "id")
+    hits = dense.nearest(queries, placed_vectors(spark, d), n, "collection")
+    return hits.join(current(spark, d, "id", "source", "page", "article"), "id")
 
 
 @query("dense_topk", CUR + DENSE + "SELECT query_id, id, collection, dist, rank FROM dhits WHERE rank < 5")
@@ -164,8 +164,11 @@ def fused(spark, d):
     dh = dense_hits(spark, d, qv, most).join(side, F.col("query_id") == F.col("__q")).where("rank < fetch").withColumn("list_no", F.lit(0))
     meta = ("collection", "source", "page", "article")
     x = docs(spark, d, *meta)
-    lists = [lexical.search(t, x, 2 * most, meta).withColumn("list_no", F.lit(i)) for i, t in enumerate((q.select("query_id", "text"), keyword_text(q)))]
-    lh = lists[0].unionByName(lists[1]).where("collection IS NOT NULL").join(side, F.col("query_id") == F.col("__q")).where("rank < 2 * fetch")
+    # Both lists of a question in one search: its number is doubled, the list's added.
+    lists = [t.select((F.col("query_id") * 2 + i).alias("query_id"), "text") for i, t in enumerate((q, keyword_text(q)))]
+    lh = lexical.search(lists[0].unionByName(lists[1]), x, 2 * most, meta).where("collection IS NOT NULL")
+    lh = lh.withColumn("list_no", F.pmod("query_id", F.lit(2)).cast("int")).withColumn("query_id", F.shiftright("query_id", 1))
+    lh = lh.join(side, F.col("query_id") == F.col("__q")).where("rank < 2 * fetch")
     w = table(spark, d, "collection_weights")
     keep = ("intent", *meta)
     return fusion.fuse(fusion.weighted(dh, w, F.array("auto")), fusion.weighted(lh, w, F.array("auto")), keep)

@@ -16,6 +16,7 @@ def spark():
     from paperloom.session import build_session
 
     s = build_session(4)
+    s.conf.set("spark.sql.shuffle.partitions", "2")  # the tables are small
     yield s
 
 
