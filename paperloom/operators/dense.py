@@ -27,8 +27,8 @@ def nearest(queries: DataFrame, rows: DataFrame, n: int, group: str | None = Non
     where they are: every task keeps the n best of its own rows for each query and group, and only those are
     shuffled. Distances are rounded to six places before ranking, ties go by id.
     """
-    total = queries.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
+    few = queries.select("query_id", "embedding").limit(QUERY_BLOCK + 1).toArrow()
+    blocks = 1 if few.num_rows <= QUERY_BLOCK else -(-queries.count() // QUERY_BLOCK)
     g = F.col(group) if group else F.lit("").alias("grp")
     src = rows.select("id", g.alias("grp"), "embedding")
     kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "id": rows.schema["id"].dataType.simpleString(),
@@ -36,7 +36,7 @@ def nearest(queries: DataFrame, rows: DataFrame, n: int, group: str | None = Non
     schema = f"query_id {kinds['query_id']}, id {kinds['id']}, grp {kinds['grp']}, dist double"
     parts = None
     for k in range(blocks):
-        got = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).select("query_id", "embedding").toArrow()
+        got = few if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).select("query_id", "embedding").toArrow()
         if not got.num_rows:
             continue
         q = np.stack([np.array(x, dtype=np.float64) for x in got.column("embedding").to_pylist()])

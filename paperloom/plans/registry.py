@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paperloom.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -18,7 +21,12 @@ class Registry:
         def add(f: Query) -> Query:
             if name in self.queries:
                 raise ValueError(f"query {name} is registered twice")
-            self.queries[name] = f
+            @functools.wraps(f)
+            def run(spark: SparkSession, d: str) -> DataFrame:
+                ship(spark)
+                return f(spark, d)
+
+            self.queries[name] = run
             if sql:
                 self.sql[name] = sql
             return f

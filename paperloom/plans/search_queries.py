@@ -90,15 +90,16 @@ DENSE = VEC + """, dq AS (SELECT row_no AS query_id, e AS q FROM unit WHERE row_
 """
 
 
-def placed_vectors(spark, d):
+def placed_vectors(spark, d, vecs=None, chunks=None):
     """(id, embedding, collection, source, page, article) of vectors that belong to a current chunk with a collection."""
-    meta = current(spark, d, "id", "collection", "source", "page", "article").where("collection IS NOT NULL")
-    return vectors(spark, d).select("id", "embedding").join(meta, "id")
+    meta = (chunks if chunks is not None else current(spark, d)).select("id", "collection", "source", "page", "article").where("collection IS NOT NULL")
+    return (vecs if vecs is not None else vectors(spark, d)).select("id", "embedding").join(meta, "id")
 
 
-def dense_hits(spark, d, queries, n):
-    hits = dense.nearest(queries, placed_vectors(spark, d), n, "collection")
-    return hits.join(current(spark, d, "id", "source", "page", "article"), "id")
+def dense_hits(spark, d, queries, n, vecs=None, chunks=None):
+    chunks = chunks if chunks is not None else current(spark, d)
+    hits = dense.nearest(queries, placed_vectors(spark, d, vecs, chunks), n, "collection")
+    return hits.join(chunks.select("id", "source", "page", "article"), "id")
 
 
 @query("dense_topk", CUR + DENSE + "SELECT query_id, id, collection, dist, rank FROM dhits WHERE rank < 5")
@@ -160,10 +161,11 @@ def fused(spark, d):
     q = q.withColumn("fetch", F.try_element_at(fetch, F.col("intent")))
     side = F.broadcast(q.select(F.col("query_id").alias("__q"), "intent", "auto", "fetch"))  # the questions, bounded by the caller
     most = max(v[2] for v in C.STRATEGIES.values())
-    qv = vectors(spark, d).join(F.broadcast(q.select("query_id")), F.col("row_no") == F.col("query_id") - 7000).select("query_id", "embedding")
-    dh = dense_hits(spark, d, qv, most).join(side, F.col("query_id") == F.col("__q")).where("rank < fetch").withColumn("list_no", F.lit(0))
+    chunks, vecs = current(spark, d), vectors(spark, d)
+    qv = vecs.join(F.broadcast(q.select("query_id")), F.col("row_no") == F.col("query_id") - 7000).select("query_id", "embedding")
+    dh = dense_hits(spark, d, qv, most, vecs, chunks).join(side, F.col("query_id") == F.col("__q")).where("rank < fetch").withColumn("list_no", F.lit(0))
     meta = ("collection", "source", "page", "article")
-    x = docs(spark, d, *meta)
+    x = chunks.select("id", "text", *meta)
     # Both lists of a question in one search: its number is doubled, the list's added.
     lists = [t.select((F.col("query_id") * 2 + i).alias("query_id"), "text") for i, t in enumerate((q, keyword_text(q)))]
     lh = lexical.search(lists[0].unionByName(lists[1]), x, 2 * most, meta).where("collection IS NOT NULL")
