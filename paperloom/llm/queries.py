@@ -83,7 +83,11 @@ def p6_clean_texts(spark, d):
     return boilerplate.strip_lines(rows, boilerplate.removed_lines(rows)[0]).select("id", "text")
 
 
-@query("p8_found")
+P8_GRAMS = r"""(SELECT DISTINCT {0}, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(list_slice(w, i, i + 12), ' '))) AS g
+  FROM (SELECT {0}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM {1} WHERE text IS NOT NULL) WHERE len(w) >= 13)"""
+
+
+@query("p8_found", f"SELECT DISTINCT doc_id, item_id FROM {P8_GRAMS.format('doc_id', 'documents')} JOIN {P8_GRAMS.format('item_id', 'eval_items')} USING (g)")
 def p8_found(spark, d):
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
@@ -95,7 +99,13 @@ def p8_near(spark, d):
         "doc_id", "item_id").agg(F.countDistinct("item_pos").alias("item_windows"), F.countDistinct("doc_pos").alias("doc_windows"))
 
 
-@query("p3_found")
+@query("p3_found", """
+WITH v AS (SELECT row_no, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM chunk_vectors WHERE row_no IS NOT NULL AND len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT row_no, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+c AS (SELECT a.row_no AS a, b.row_no AS b, round(list_dot_product(a.e, b.e), 12) AS cosine FROM u a JOIN u b ON a.row_no <> b.row_no),
+k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS k FROM c)
+SELECT DISTINCT least(a, b) AS row_a, greatest(a, b) AS row_b FROM k WHERE k <= 5 AND cosine >= 0.85""")
 def p3_found(spark, d):
     near = neighbours.most_similar(table(spark, d, "chunk_vectors")).where("cosine >= 0.85")
     return near.select(F.least("row_no", "other").alias("row_a"), F.greatest("row_no", "other").alias("row_b")).distinct()
@@ -112,7 +122,12 @@ def similar_chunks(spark, d):
     return neardup.Similar(current(spark, d, "id", "text"), threshold=0.7, words=3)
 
 
-@query("p5_found")
+@query("p5_found", CURRENT + r"""
+, w AS (SELECT DISTINCT id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM cur WHERE text IS NOT NULL),
+sets AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: hash(w[i], w[i + 1], w[i + 2]))) AS g FROM w WHERE len(w) >= 3),
+grams AS (SELECT id, len(g) AS n, unnest(g) AS g FROM sets),
+both_ AS (SELECT a.id AS id_a, b.id AS id_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM both_ WHERE k * 10 >= (na + nb - k) * 7""")
 def p5_found(spark, d):
     return neardup.id_pairs(similar_chunks(spark, d))
 
