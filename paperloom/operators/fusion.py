@@ -21,7 +21,7 @@ def plain_collection(name: Column) -> Column:
 
 def weighted(hits: DataFrame, weights: DataFrame, auto: Column | None = None) -> DataFrame:
     """Hits with the weight of their collection, 1 where it has none, less for collections the analysis suggests."""
-    w = F.broadcast(weights.select(F.col("collection").alias("__c"), F.col("weight").alias("__w")))  # a row per collection
+    w = weights.select(F.col("collection").alias("__c"), F.col("weight").alias("__w"))
     out = hits.join(w, plain_collection(F.col("collection")) == F.col("__c"), "left")
     weight = F.coalesce("__w", F.lit(1.0))
     if auto is not None:

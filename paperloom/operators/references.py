@@ -55,10 +55,10 @@ def resolve(parsed: DataFrame, sources: DataFrame) -> DataFrame:
     hits = named.join(known, cond).select("ref_id", strict.alias("loose"), "source")
     uud = sources.where(F.col("source").rlike("(?i)UUD") & (F.col("collection") == "constitution")).select("source", F.regexp_extract_all("source", F.lit(r"\d{4}"), F.lit(0)).alias("years"))
     cons = parsed.where(F.col("error").isNull() & (F.col("category") == "constitution")).select("ref_id", F.col("year").alias("y"))
-    fits = F.coalesce(F.array_contains("years", F.col("y")), F.lit(False))
-    starts = F.col("source").rlike("(?i)^UUD")
-    # Every reference to the constitution meets the constitution's own files, a handful.
-    hits = hits.unionByName(cons.join(F.broadcast(uud), fits | starts).select("ref_id", F.when(fits, 0).otherwise(1).alias("loose"), "source"))
+    by_year = uud.select(F.explode("years").alias("y"), "source").groupBy("y").agg(F.min("source").alias("named"))
+    any_uud = uud.where(F.col("source").rlike("(?i)^UUD")).agg(F.min("source").alias("any_uud"))  # one row
+    best = cons.join(by_year, "y", "left").crossJoin(F.broadcast(any_uud)).select("ref_id", F.lit(0).alias("loose"), F.coalesce("named", "any_uud").alias("source"))
+    hits = hits.unionByName(best.where("source IS NOT NULL"))
     return hits.groupBy("ref_id").agg(F.min(F.struct("loose", "source")).alias("m")).select("ref_id", F.col("m.source").alias("matched_source"))
 
 

@@ -159,10 +159,10 @@ def fused(spark, d):
     q = questions(spark, d)
     fetch = F.create_map(*[F.lit(x) for k, v in C.STRATEGIES.items() for x in (k, v[2])])
     q = q.withColumn("fetch", F.try_element_at(fetch, F.col("intent")))
-    side = F.broadcast(q.select(F.col("query_id").alias("__q"), "intent", "auto", "fetch"))  # the questions, bounded by the caller
+    side = q.select(F.col("query_id").alias("__q"), "intent", "auto", "fetch")
     most = max(v[2] for v in C.STRATEGIES.values())
     chunks, vecs = current(spark, d), vectors(spark, d)
-    qv = vecs.join(F.broadcast(q.select("query_id")), F.col("row_no") == F.col("query_id") - 7000).select("query_id", "embedding")
+    qv = vecs.join(q.select("query_id"), F.col("row_no") == F.col("query_id") - 7000).select("query_id", "embedding")
     dh = dense_hits(spark, d, qv, most, vecs, chunks).join(side, F.col("query_id") == F.col("__q")).where("rank < fetch").withColumn("list_no", F.lit(0))
     meta = ("collection", "source", "page", "article")
     x = chunks.select("id", "text", *meta)

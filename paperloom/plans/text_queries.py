@@ -190,3 +190,11 @@ SELECT file, CAST(island AS BIGINT) AS island, min(page) AS page, string_agg(t,
 def page_merge(spark, d):
     rows = current(spark, d, "file", "page", "text", F.split("id", "-")[2].cast("int").alias("idx"))
     return chunking.merge_pages(rows)
+
+
+@query("rendered_answers")
+def rendered_answers(spark, d):
+    """Every document as HTML blocks."""
+    from paperloom.functions.markup import render
+
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", render(F.col("text")).alias("html"))
