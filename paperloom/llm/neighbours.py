@@ -2,8 +2,12 @@
 
 An inverted file of coarse centroids with product-quantised residuals. A vector is normalised, assigned to its
 nearest centroid, and its residual coded by one byte per subspace. A query visits the lists of its ``probes`` nearest
-centroids; within a list its distance to every code is summed from a table (query part x codebook), the best ``rerank`` of the list
-are compared exactly, and the best of all visited lists are merged.
+centroids; within a list its distance to every code is summed from a table (query part x codebook). The best ``rerank`` of the
+list are compared exactly, then every other row whose summed distance and quantisation error allow it to be as near as the
+k-th of these; the best of all visited lists are merged.
+
+Vectors of the same direction are one class, of which one is indexed and searched; ranks are given after the classes are expanded
+to their lowest keys. A row of a class with more than ``k`` others has its answer in the class and searches nothing.
 
 Centroids and codebooks are fitted on a bounded sample (``sample`` rows, the lowest hashes of the row key); every row
 is indexed and every query row is answered. Lists are dealt to tasks by a list number and a salt: a list that holds a third of
@@ -16,11 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.session import cut
 
+#: Classes of several rows up to this many are sent to every task; more are joined by a shuffle.
+BROADCAST_CLASSES = 100_000
+#: Exact comparisons and summed distances held at once.
+PAIRS, CELLS = 1 << 16, 1 << 22
+#: More than the rounding of a summed distance in single precision.
+SLACK = np.float32(1e-5)
+
 
 def valid(embedding: Column, dim: int) -> Column:
     """``dim`` numbers, none null or NaN, finite, not all zero."""
@@ -76,6 +88,11 @@ class Quantiser:
         rest = (x - self.centroids[of]).astype(np.float32)
         return np.stack([nearest(rest[:, self.part(s)], b) for s, b in enumerate(self.books)], axis=1).astype(np.uint8)
 
+    def errors(self, x: np.ndarray, of: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Length of what the codes leave of each row: no inner product with a unit vector is further off."""
+        near = self.centroids[of] + np.concatenate([b[codes[:, s]] for s, b in enumerate(self.books)], axis=1)
+        return np.linalg.norm(x - near, axis=1).astype(np.float32)
+
     def probes(self, x: np.ndarray, n: int) -> np.ndarray:
         n = min(n, len(self.centroids))
         d = x @ self.centroids.T - (self.centroids**2).sum(1) / 2
@@ -89,24 +106,61 @@ class Quantiser:
         return out
 
 
-def fit(vectors: DataFrame, key: str, embedding: str, dim: int, rows: int, sample: int, subspaces: int, codes: int, seed: int) -> Quantiser:
+def fit(vectors: DataFrame, key: str, embedding: str, dim: int, rows: int, sample: int, subspaces: int, codes: int, seed: int, real: type = np.float32) -> Quantiser:
     """Fit on at most ``sample`` rows, those with the lowest key hashes; about 2 sqrt(rows) lists, at most sample / 16."""
     got = vectors.select(F.xxhash64(key, F.lit(seed)).alias("h"), embedding).orderBy("h").limit(sample).toArrow()
-    flat = got.column(embedding).combine_chunks().flatten().to_numpy()
-    x = unit(flat.reshape(-1, dim))
+    x = unit(np.frombuffer(b"".join(got.column(embedding).to_pylist()), dtype=real).reshape(-1, dim))
     lists = int(max(1, min(2 * rows**0.5, len(x) / 16)))
     return Quantiser(x, lists, subspaces, min(codes, len(x)), seed)
 
 
+def nearest_of_list(q: np.ndarray, own: np.ndarray, base: np.ndarray, scores: np.ndarray, errors: np.ndarray,
+                    k: int, rerank: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, cosine) of the ``k`` nearest rows of each query with a cosine of ``floor`` or more, ties by lower row.
+
+    ``own`` is each query's own row, or -1. Exact: a row is left out only if its score and error keep it below the k-th.
+    """
+    rerank = max(rerank, k + 1)
+    most = scores + (errors + SLACK)
+    least = np.full(len(q), floor)
+    many = np.flatnonzero((most >= floor).sum(1) > rerank)
+    if len(many):
+        best = np.argpartition(-scores[many], rerank - 1, axis=1)[:, :rerank]
+        for lo in range(0, len(many), max(1, PAIRS // rerank)):
+            part, at = many[lo : lo + max(1, PAIRS // rerank)], best[lo : lo + max(1, PAIRS // rerank)]
+            cos = np.einsum("qd,qnd->qn", q[part], base[at])
+            cos[at == own[part, None]] = -2  # not the row itself
+            least[part] = np.maximum(floor, np.partition(cos, rerank - k, axis=1)[:, rerank - k] - 1e-11)
+    row, col = np.nonzero(most >= least[:, None])
+    other = col != own[row]
+    row, col = row[other], col[other]
+    if len(row) * 8 > most.size:
+        cos = (q @ base.T)[row, col]
+    else:
+        cos = np.empty(len(row))
+        for lo in range(0, len(row), PAIRS):
+            r, c = row[lo : lo + PAIRS], col[lo : lo + PAIRS]
+            cos[lo : lo + PAIRS] = np.einsum("nd,nd->n", q[r], base[c])
+    cos = np.round(cos, 12)
+    keep = cos >= least[row]
+    row, col, cos = row[keep], col[keep], cos[keep]
+    order = np.lexsort((col, -cos, row))
+    row, col, cos = row[order], col[order], cos[order]
+    top = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[top], col[top], cos[top]
+
+
 def most_similar(vectors: DataFrame, key: str = "row_no", embedding: str = "embedding", k: int = 5, dim: int = 64,
                  probes: int | None = None, rerank: int = 40, sample: int = 40_000, subspaces: int = 16, codes: int = 256,
-                 part: int = 20_000, queries: Column | None = None, seed: int = 7) -> DataFrame:
+                 part: int = 20_000, queries: Column | None = None, seed: int = 7, floor: float = -1.0) -> DataFrame:
     """(key, other, cosine, rank): the ``k`` most similar other valid rows of each valid row, ties by lower key.
 
     ``probes`` lists are visited, by default a twenty-fifth of them and from 16 to 64; more raise recall and cost.
-    ``queries`` restricts the rows asked for; all rows are searched. Invalid vectors (null, of other length, with null, NaN
+    ``queries`` restricts the rows asked for; all rows are searched. Only rows with a cosine of ``floor`` or more are given.
+    Invalid vectors (null, of other length, with null, NaN
     or infinite numbers, all zero) are neither asked for nor found. Several rows of one key count as one (any of
-    them). Similarity is the exact cosine in double precision of the candidates found; identical vectors have 1.
+    them). Similarity is the exact cosine of the candidates found, in double precision rounded to 12 digits; vectors of the same
+    direction have 1.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[key].dataType.simpleString()
@@ -114,64 +168,85 @@ def most_similar(vectors: DataFrame, key: str = "row_no", embedding: str = "embe
         F.col(key).alias("key"), F.col(embedding).alias("v"),
         (queries if queries is not None else F.lit(True)).alias("ask"))
     real = np.float32 if vectors.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
-    vectors = cut(vectors.dropDuplicates(["key"]))
-    rows = vectors.count()
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = np.round(unit(np.stack(b["v"].to_numpy())), 12) + 0.0  # no negative zeros
+                yield pd.DataFrame({"key": b["key"], "ask": b["ask"], "v": [r.astype(real).tobytes() for r in b["v"]],
+                                    "same": [xxhash.xxh3_128_digest(r.tobytes()) for r in x]})
+
+    rows = cut(vectors.dropDuplicates(["key"]).mapInPandas(pack, f"key {kind}, ask boolean, v binary, same binary"))
+    # The lowest keys of a class, with whether they ask: all of them in a class of up to k.
+    first = Window.partitionBy("same").orderBy("key")
+    classes = cut(rows.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k + 1).groupBy("same").agg(
+        F.min("key").alias("key"), F.min_by("v", "key").alias("v"), F.sort_array(F.collect_list(F.struct("key", "ask"))).alias("members")
+    ).withColumn("ask", (F.size("members") <= k) & F.exists("members", lambda m: m["ask"])))
+    count = classes.count()
     schema = f"{key} {kind}, other {kind}, cosine double, rank int"
-    if rows < 2:
+    if not count:
         return spark.createDataFrame([], schema)
-    fitted = fit(vectors, "key", "v", dim, rows, sample, subspaces, codes, seed)
+    fitted = fit(classes, "key", "v", dim, count, sample, subspaces, codes, seed, real)
     probes = probes or min(64, max(16, len(fitted.centroids) // 25))
     model = spark.sparkContext.broadcast(fitted)
 
+    def unpack(v: pd.Series) -> np.ndarray:
+        return unit(np.frombuffer(b"".join(v), dtype=real).reshape(len(v), dim))
+
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m: Quantiser = model.value
         for b in batches:
             if len(b):
-                x = unit(np.stack(b["v"].to_numpy()))
+                x = unpack(b["v"])
                 of = nearest(x, m.centroids)
-                yield pd.DataFrame({"key": b["key"], "list": of, "ask": b["ask"], "v": [r.astype(real).tobytes() for r in b["v"]], "code": [c.tobytes() for c in m.encode(x, of)],
-                                    "probe": list(m.probes(x, probes))})
+                code = m.encode(x, of)
+                yield pd.DataFrame({"key": b["key"], "list": of, "ask": b["ask"], "v": b["v"], "code": [c.tobytes() for c in code],
+                                    "error": m.errors(x, of, code), "probe": list(m.probes(x, probes))})
 
-    indexed = cut(vectors.mapInPandas(index, f"key {kind}, list int, ask boolean, v binary, code binary, probe array<int>"))
+    indexed = cut(classes.select("key", "v", "ask").mapInPandas(
+        index, f"key {kind}, list int, ask boolean, v binary, code binary, error float, probe array<int>"))
     # Long lists are cut into parts; a query meets each part of a list it visits.
     sizes = indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
     stored = indexed.join(F.broadcast(sizes), "list").select(
-        "list", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), "key", "v", "code")
+        "list", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), "key", "v", "code", "error")
     asked = (
         indexed.where("ask").select(F.col("key").alias("q_key"), F.col("v").alias("q_v"), F.explode("probe").alias("list")).join(F.broadcast(sizes), "list")
         .select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "q_key", "q_v")
     )
 
-    def unpack(v: pd.Series) -> np.ndarray:
-        return unit(np.frombuffer(b"".join(v), dtype=real).reshape(len(v), dim))
-
     def search(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         m: Quantiser = model.value
         if not len(left) or not len(right):
             return pd.DataFrame({"key": [], "other": [], "cosine": []})
         left = left.sort_values("key", kind="stable")
-        base, ids = unpack(left["v"]), left["key"].to_numpy()
+        base, ids, errors = unpack(left["v"]), left["key"].to_numpy(), left["error"].to_numpy()
         codes_ = np.frombuffer(b"".join(left["code"]), dtype=np.uint8).reshape(len(left), -1)
         ask, of = right["q_key"].to_numpy(), int(left["list"].iloc[0])
+        own = pd.Index(ids).get_indexer(ask)
         out = []
-        for lo in range(0, len(right), 2048):
-            q = unpack(right["q_v"].iloc[lo : lo + 2048])
-            who = ask[lo : lo + 2048]
-            n = min(rerank, len(left))
-            best = np.argpartition(-m.scores(q.astype(np.float32), codes_, of), n - 1, axis=1)[:, :n]
-            best.sort(axis=1)
-            cos = np.einsum("qd,qnd->qn", q, base[best])
-            cos[ids[best] == who[:, None]] = -2  # not the row itself
-            top = np.argsort(-cos, axis=1, kind="stable")[:, : min(k, n)]
-            row = np.repeat(np.arange(len(q)), top.shape[1])
-            out.append(pd.DataFrame({"key": who[row], "other": ids[best[row, top.ravel()]], "cosine": cos[row, top.ravel()]}))
-        got = pd.concat(out)
-        return got[got["cosine"] > -2]
+        block = max(1, min(2048, CELLS // len(left)))
+        for lo in range(0, len(right), block):
+            q = unpack(right["q_v"].iloc[lo : lo + block])
+            row, col, cos = nearest_of_list(q, own[lo : lo + block], base, m.scores(q.astype(np.float32), codes_, of), errors, k, rerank, floor)
+            out.append(pd.DataFrame({"key": ask[lo : lo + block][row], "other": ids[col], "cosine": cos}))
+        return pd.concat(out)
 
     found = stored.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInPandas(
         search, f"key {kind}, other {kind}, cosine double")
     w = Window.partitionBy("key").orderBy(F.desc("cosine"), F.asc("other"))
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
+    # Of equally near classes the k with the lowest first keys hold the k lowest keys.
+    several = classes.where(F.size("members") > 1).select("same", F.col("key").alias("first"), "members")
+    if several.count() <= BROADCAST_CLASSES:
+        several = F.broadcast(several)
+    lowest = F.col("members.key")
+    best = best.join(several.select(F.col("first").alias("other"), lowest.alias("others")), "other", "left").join(
+        several.select(F.col("first").alias("key"), F.filter("members", lambda m: m["ask"])["key"].alias("keys")), "key", "left")
+    best = best.select(F.explode(F.coalesce("keys", F.array("key"))).alias("key"), F.coalesce("others", F.array("other")).alias("others"), "cosine").select(
+        "key", F.explode("others").alias("other"), "cosine")
+    within = rows.where("ask").select("key", "same").join(several.select("same", lowest.alias("others")), "same").select(
+        "key", F.explode("others").alias("other"), F.lit(1.0).alias("cosine")).where(F.col("key") != F.col("other"))
     return (
-        found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        best.unionByName(within).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         .select(F.col("key").alias(key), "other", "cosine", "rank")
     )

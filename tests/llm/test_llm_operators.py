@@ -60,6 +60,26 @@ def test_neighbours_recall(spark):
     assert {(r.row_no, r.other) for r in hot.collect()} >= {(i, j) for i in (0, 700) for j in true[i] if s[i, j] > 0.9}
 
 
+def test_neighbours_of_copies_and_dense_clusters(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 16))
+    x[rng.permutation(900)[:300]] = x[0]  # a third of all rows are one vector
+    x[5] = x[0] * 2
+    x[600:800] = x[1] + rng.normal(scale=1e-4, size=(200, 16))  # closer together than their codes tell
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "row_no long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 12)
+    np.fill_diagonal(s, -2)
+    true = {(i, j, n + 1) for i in range(len(x)) for n, j in enumerate(np.argsort(-s[i], kind="stable")[:5].tolist())}
+    every = dict(k=5, dim=16, subspaces=4, codes=8, probes=10_000)
+    got = neighbours.most_similar(df, **every).collect()
+    assert {(r.row_no, r.other, r["rank"]) for r in got} == true
+    near = neighbours.most_similar(df, floor=0.85, part=50, **every).collect()
+    assert {(r.row_no, r.other, r["rank"]) for r in near} == {t for t in true if s[t[0], t[1]] >= 0.85}
+    some = neighbours.most_similar(df, queries=F.col("row_no") % 50 == 0, **every).collect()
+    assert {(r.row_no, r.other, r["rank"]) for r in some} == {t for t in true if t[0] % 50 == 0}
+
+
 # ---- problem 4
 
 def test_scan_page():
