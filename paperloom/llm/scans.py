@@ -33,13 +33,15 @@ COMMON = 30_000
 BROADCAST_FILES = 200_000
 
 HYPHENS = "-\u2010\u00ac\u00ad"
-TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
-WORDISH = re.compile(r"(?:[^\W_]|-)+")
-_ASCII_WORDS = {i: " " for i in range(128) if not chr(i).isalnum() and chr(i) != "-"}
-_ASCII_PARTS = {i: " " for i in range(128) if not chr(i).isalnum()}
+#: A character of a word: an "@" is a misread "a", also at the ends of a word.
+CHARACTER = r"(?:[^\W_]|@)"
+TOKEN = re.compile(rf"{CHARACTER}+(?:-{CHARACTER}+)*")
+WORDISH = re.compile(r"(?:[^\W_]|[-@])+")
+_ASCII_WORDS = {i: " " for i in range(128) if not chr(i).isalnum() and chr(i) not in "-@"}
+_ASCII_PARTS = {i: " " for i in range(128) if not chr(i).isalnum() and chr(i) != "@"}
 LINE_HYPHEN = re.compile(rf"[{HYPHENS}][^\S\n]*\n")
-OPEN_END = re.compile(rf"([^\W_]+(?:-[^\W_]+)*)[{HYPHENS}]\s*$")
-FIRST = re.compile(r"\s*([^\W_]+(?:-[^\W_]+)*)")
+OPEN_END = re.compile(rf"({CHARACTER}+(?:-{CHARACTER}+)*)[{HYPHENS}]\s*$")
+FIRST = re.compile(rf"\s*({CHARACTER}+(?:-{CHARACTER}+)*)")
 PAGE_LINE = re.compile(
     r"\W*(?:(?:hal|halaman|hlm|lembar|page|p|pg)\b\W*)?(\d+)(?:\W*(?:dari|of|/)\W*\d+)?\W*", re.I)
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -149,11 +151,11 @@ def whole_lines(text: str) -> str:
     out, at = [], 0
     for m in LINE_HYPHEN.finditer(text):
         lo, hi = m.start(), m.end()
-        while lo > at and (text[lo - 1].isalnum() or text[lo - 1] == "-"):
+        while lo > at and (text[lo - 1].isalnum() or text[lo - 1] in "-@"):
             lo -= 1
         while hi < len(text) and text[hi].isspace():
             hi += 1
-        while hi < len(text) and text[hi].isalnum():
+        while hi < len(text) and (text[hi].isalnum() or text[hi] == "@"):
             hi += 1
         out.append(text[at:lo])
         at = max(hi, at)
@@ -186,13 +188,13 @@ def word_counts(rows: DataFrame) -> DataFrame:
 def corrections(words: DataFrame, ratio: int = 20) -> DataFrame:
     """(word, meant): rare words that confused characters make of a word at least ``ratio`` times as frequent.
 
-    Rare is at most 8 in a million of all words, or 4. A word with digits or accents among its letters, which no
+    Rare is at most 8 in a million of all words, or 4. A word with digits, accents or "@" among its letters, which no
     word of the language has, only needs a counterpart three times as frequent. A counterpart has letters alone. Words
     meet by their skeletons; of several counterparts the one with fewest confused characters is taken, then the most frequent.
     """
     total = words.agg(F.sum("n").alias("t"))
     plain = F.col("word").rlike(r"^[\p{L}-]+$") & ~F.col("word").rlike("[áé@]")
-    odd = F.col("word").rlike(r"\p{L}") & F.col("word").rlike(r"[áé0-9]") & ~F.col("word").rlike("[23478]") & (
+    odd = F.col("word").rlike(r"\p{L}") & F.col("word").rlike(r"[áé@0-9]") & ~F.col("word").rlike("[23478]") & (
         F.length(F.regexp_replace("word", r"\P{L}", "")) * 2 > F.length("word"))
     keyed = words.where(F.length("word") >= 3).select("word", "n", plain.alias("plain"), odd.alias("odd"), skeleton_column(F.col("word")).alias("s"))
     rare = F.col("n") <= F.greatest(F.lit(4.0), F.col("t") * 8e-6)
@@ -350,8 +352,8 @@ def line_ends(lines: list[str], states: list[int]) -> Iterator[tuple[int, str, i
 
 def _goes_on(first: str, second: str) -> bool:
     """Whether a word may go on so: in lower case, in a misread character, or in capitals after capitals."""
-    if second[0].isdigit():
-        return second[0] in "01569" and any(ch.isalpha() for ch in second)
+    if second[0].isdigit() or second[0] == "@":
+        return second[0] in "01569@" and any(ch.isalpha() for ch in second)
     return second[0].islower() or second.isupper() and first.isupper() and len(first) > 1
 
 
@@ -433,7 +435,7 @@ def paragraphs(labelled: tuple, joined: dict[str, str], fixed: dict[str, str]) -
     return "\n".join(out)
 
 
-PART = re.compile(r"[^\W_]+")
+PART = re.compile(rf"{CHARACTER}+")
 OPENS = re.compile(r"(?i)(?:\(\d+\)|[a-z]\.\s|pasal\s+\d+[a-z]?\s*\.?$|bab\s+[ivxlc]+\b)")
 STOPPED_LINE = re.compile(r"[.!?:;]$")
 

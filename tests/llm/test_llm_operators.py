@@ -99,6 +99,24 @@ def test_scan_corrections(spark):
     assert {tuple(r) for r in scans.corrections(df).collect()} == {("pernilihan", "pemilihan"), ("6ahan", "bahan"), ("kedaliiwarsa", "kedaluwarsa")}
 
 
+def test_scan_at_signs(spark):
+    good = "Peraturan daerah ini mengatur retribusi parkir dan angkutan kota."
+    bad = "Peraturan d@erah ini mengatur retribusi parkir dan @ngkutan kot@."
+    broken = "Ketentuan mengenai retri-\nbusi p@r-\nkir dan ang-\nkut@n."
+    texts = [good] * 30 + [bad, bad + " Tarif 5 @ orang, surat ke dinas@kota.go.id \u2014 hal ini.", broken]
+    rows = spark.createDataFrame([(f"f-p{i}", "f", i, x) for i, x in enumerate(texts)], "id string, file string, page int, text string")
+    repair = scans.Repair(rows)
+    items: dict = {}
+    for r in repair.items().collect():
+        items.setdefault(r.id, set()).add((r.kind, r.item))
+    meant = {("misread", w) for w in ("daerah", "angkutan", "kota")}
+    assert items == {"f-p30": meant, "f-p31": meant, "f-p32": {("misread", "parkir"), ("misread", "angkutan"), *(("hyphenation", w) for w in ("retribusi", "parkir", "angkutan"))}}
+    texts = {r.id: r.text for r in repair.texts().collect()}
+    assert texts["f-p30"] == good
+    assert texts["f-p31"] == good + " Tarif 5 @ orang, surat ke dinas@kota.go.id \u2014 hal ini."
+    assert texts["f-p32"].split() == "Ketentuan mengenai retribusi parkir dan angkutan .".split()
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.text(alphabet="abcehiklmnorstu", min_size=1, max_size=12), st.randoms())
 def test_skeleton_is_blind_to_confusions(word, rng):
