@@ -64,23 +64,29 @@ def categorised(spark, d):
     return current(spark, d, "id", "file", F.col("category").alias("source"), "text")
 
 
+def repeated_lines(rows):
+    """The rows come in two parts, each with half of the files: the second is merged and what it changes rebuilt."""
+    half = F.pmod(F.xxhash64("file"), F.lit(2))
+    return boilerplate.removed_by_parts([rows.where(half == 0), rows.where(half == 1)])
+
+
 @query("p6_found", CURRENT + P6_SQL + """
 SELECT DISTINCT id, CAST(p AS INTEGER) AS line_pos FROM forms JOIN lines USING (category, form)""")
 def p6_found(spark, d):
-    return boilerplate.removed_lines(categorised(spark, d))[0]
+    return repeated_lines(categorised(spark, d))[0]
 
 
 @query("p6_lines", CURRENT + P6_SQL + """
 SELECT category, form, n_rows, n_files FROM lines""")
 def p6_lines(spark, d):
-    return boilerplate.removed_lines(categorised(spark, d))[1].select(
+    return repeated_lines(categorised(spark, d))[1].select(
         F.col("source").alias("category"), "form", F.col("rows").alias("n_rows"), F.col("files").alias("n_files"))
 
 
 @query("p6_clean_texts")
 def p6_clean_texts(spark, d):
     rows = categorised(spark, d)
-    return boilerplate.strip_lines(rows, boilerplate.removed_lines(rows)[0]).select("id", "text")
+    return boilerplate.strip_lines(rows, repeated_lines(rows)[0]).select("id", "text")
 
 
 P8_GRAMS = r"""(SELECT DISTINCT {0}, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(list_slice(w, i, i + 12), ' '))) AS g

@@ -202,6 +202,33 @@ def test_line_counts_by_deltas(spark):
     assert lines.count() == 1 and clean.where(F.lower("text").contains("beranda")).count() == 0 and clean.where(F.size(F.split("text", "\n")) == 2).count() == clean.count()
 
 
+def test_lines_removed_by_parts(spark):
+    rng = random.Random(7)
+    fifth, old, late = "Salinan sesuai dengan aslinya menurut arsip", "Dokumen ini diunduh dari jaringan lama", "Lihat juga peraturan terkait di beranda"
+
+    def rows(lo, hi, line):
+        return [(f"f{f}-p{i}-0", f"f{f}", "k", "\n".join([sentence(rng), *([x] if (x := line(i, f)) else [])])) for i in range(lo, hi) for f in [i % 10]]
+
+    one = rows(0, 100, lambda i, f: fifth if f < 4 else old if i < 20 and f > 4 else None)  # fifth: 4 files; old: 10 rows of 100
+    two = rows(100, 400, lambda i, f: fifth if i == 109 else late if i % 2 else None)  # one row of a fifth file; old falls under 3 per cent
+    two.append(two[-1])  # a row that comes twice
+    schema = "id string, file string, source string, text string"
+    one, two = spark.createDataFrame(one, schema), spark.createDataFrame(two, schema)
+    lines = lambda got: {tuple(r) for r in got[1].collect()}
+    removed = lambda got: {tuple(r) for r in got[0].collect()}
+    alone, whole, parts = boilerplate.removed_lines(one), boilerplate.removed_lines(one.unionByName(two)), boilerplate.removed_by_parts([one, two])
+    assert lines(parts) == lines(whole) and removed(parts) == removed(whole)
+    fixed = {r[1]: (r[2], r[3]) for r in lines(whole)}
+    assert fixed == {fifth.lower(): (41, 5), late.lower(): (149, 5)}
+    assert {r[1] for r in lines(alone)} == {old.lower()}
+    # A file more is a crossing though the rows were enough before, and the counts of the state decide on any rows.
+    state = boilerplate.merge(boilerplate.delta(one), boilerplate.delta(two))
+    cross = boilerplate.crossings(boilerplate.frequent(boilerplate.delta(one)), boilerplate.frequent(state))
+    todo = boilerplate.affected(one, cross)
+    assert todo.where(F.col("text").contains(fifth)).count() == 40
+    assert {r.id for r in boilerplate.removed_lines(todo.limit(3), state)[0].collect()} == {r.id for r in todo.limit(3).where(F.col("text").contains(fifth)).collect()}
+
+
 # ---- problem 7
 
 @settings(max_examples=60, deadline=None)
