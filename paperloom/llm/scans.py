@@ -47,6 +47,7 @@ PAGE_LINE = re.compile(
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 STOPS = (".", ",", ";", ":", "!", "?")
 DIGIT = re.compile(r"\d")
+ODD = re.compile("[áé@0-9]")
 # What scanning makes of a character.
 CONFUSIONS = {
     "a": ["á", "@"], "b": ["6"], "e": ["c", "é"], "g": ["9"], "h": ["b"], "i": ["l", "1"], "k": ["lc"], "l": ["1"],
@@ -188,25 +189,29 @@ def word_counts(rows: DataFrame) -> DataFrame:
 def corrections(words: DataFrame, ratio: int = 20) -> DataFrame:
     """(word, meant): rare words that confused characters make of a word at least ``ratio`` times as frequent.
 
-    Rare is at most 8 in a million of all words, or 4. A word with digits, accents or "@" among its letters, which no
-    word of the language has, only needs a counterpart three times as frequent. A counterpart has letters alone. Words
+    Rare is at most 8 in a million of all words, or 4, and asked of words of letters alone. A word with digits, accents or "@" among its letters, which no
+    word of the language has, only needs a counterpart three times as frequent. Of two characters only
+    such words are taken, with one character confused and a counterpart of two that makes up 50 in a million of all words, and 10 at least: letters
+    behind numbers and abbreviations look the same. A counterpart has letters alone. Words
     meet by their skeletons; of several counterparts the one with fewest confused characters is taken, then the most frequent.
     """
     total = words.agg(F.sum("n").alias("t"))
     plain = F.col("word").rlike(r"^[\p{L}-]+$") & ~F.col("word").rlike("[áé@]")
     odd = F.col("word").rlike(r"\p{L}") & F.col("word").rlike(r"[áé@0-9]") & ~F.col("word").rlike("[23478]") & (
-        F.length(F.regexp_replace("word", r"\P{L}", "")) * 2 > F.length("word"))
-    keyed = words.where(F.length("word") >= 3).select("word", "n", plain.alias("plain"), odd.alias("odd"), skeleton_column(F.col("word")).alias("s"))
+        (F.length(F.regexp_replace("word", r"\P{L}", "")) * 2 > F.length("word")) | (F.length("word") == 2))
+    keyed = words.where(F.length("word") >= 2).select("word", "n", plain.alias("plain"), odd.alias("odd"), skeleton_column(F.col("word")).alias("s"))
     rare = F.col("n") <= F.greatest(F.lit(4.0), F.col("t") * 8e-6)
     known = keyed.where("plain AND n > 1").select("s", F.col("word").alias("meant"), F.col("n").alias("n_meant"))
     more = F.when(F.col("odd"), F.col("n_meant") >= F.greatest(F.lit(2), F.col("n") * 3)).otherwise(F.col("n_meant") >= F.col("n") * ratio)
-    pairs = keyed.where("plain OR odd").crossJoin(F.broadcast(total)).where(rare).join(known, "s").where(more & (F.col("word") != F.col("meant")))
+    pairs = keyed.where("plain OR odd").crossJoin(F.broadcast(total)).where(rare | F.col("odd")).join(known, "s").where(more & (F.col("word") != F.col("meant")))
+    short = F.col("odd") & (F.length("word") == 2) & (F.length("meant") == 2) & (F.col("n_meant") >= F.greatest(F.lit(10.0), F.col("t") * 5e-5))
+    pairs = pairs.where((F.length("word") > 2) & (F.length("meant") > 2) | short)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             cost = [misreading(w, m) for w, m in zip(b["word"], b["meant"])]
             # a confusion the other way is believed of long words alone
-            b["cost"] = [None if c is None or c >= 2.5 and len(w) < 8 else c for c, w in zip(cost, b["word"])]
+            b["cost"] = [None if c is None or c >= 2.5 and len(w) < 8 or c >= 2 and len(w) < 3 else c for c, w in zip(cost, b["word"])]
             yield b[b["cost"].notna()][["word", "meant", "n_meant", "cost"]]
 
     told = pairs.select("word", "meant", "n_meant").mapInPandas(explain, "word string, meant string, n_meant long, cost double")
@@ -390,7 +395,7 @@ def items(text: str, labelled: tuple, common: frozenset) -> Iterator[tuple[str,
             yield "halves", a, b
     found = low.translate(_ASCII_PARTS).split() if low.isascii() else PART.findall(low)
     for w in set(found) - common:
-        if len(w) > 2 and not w.isdigit():
+        if (len(w) > 2 or len(w) == 2 and ODD.search(w)) and not w.isdigit():
             yield "word", w, ""
 
 

@@ -117,6 +117,17 @@ def test_scan_at_signs(spark):
     assert texts["f-p32"].split() == "Ketentuan mengenai retribusi parkir dan angkutan .".split()
 
 
+def test_scan_words_of_two_characters(spark):
+    good = "Perda no 45 berlaku di kota dan ke desa sesuai surat se gubernur."
+    texts = [good] * 40 + ["Perda N0 45 berlaku d1 kota dan ké desa. Pasal 6A dan Pasal 5C dan 0a."] + ["Perda n0 tetap berlaku."] * 8
+    rows = spark.createDataFrame([(f"f-p{i}", "f", i, x) for i, x in enumerate(texts)], "id string, file string, page int, text string")
+    repair = scans.Repair(rows)
+    items = {(r.id, r.kind, r.item) for r in repair.items().collect()}
+    assert items == {("f-p40", "misread", w) for w in ("no", "di", "ke")} | {(f"f-p{i}", "misread", "no") for i in range(41, 49)}
+    fixed = {r.id: r.text for r in repair.texts().where("id = 'f-p40'").collect()}
+    assert fixed["f-p40"] == "Perda NO 45 berlaku di kota dan ke desa. Pasal 6A dan Pasal 5C dan 0a."
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.text(alphabet="abcehiklmnorstu", min_size=1, max_size=12), st.randoms())
 def test_skeleton_is_blind_to_confusions(word, rng):
