@@ -114,6 +114,11 @@ def fit(vectors: DataFrame, key: str, embedding: str, dim: int, rows: int, sampl
     return Quantiser(x, lists, subspaces, min(codes, len(x)), seed)
 
 
+def share(lists: int) -> int:
+    """How many of ``lists`` a query visits: a twenty-fifth, 16 at least."""
+    return max(16, -(-lists // 25))
+
+
 def nearest_of_list(q: np.ndarray, own: np.ndarray, base: np.ndarray, scores: np.ndarray, errors: np.ndarray,
                     k: int, rerank: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, cosine) of the ``k`` nearest rows of each query with a cosine of ``floor`` or more, ties by lower row.
@@ -155,7 +160,7 @@ def most_similar(vectors: DataFrame, key: str = "row_no", embedding: str = "embe
                  part: int = 20_000, queries: Column | None = None, seed: int = 7, floor: float = -1.0) -> DataFrame:
     """(key, other, cosine, rank): the ``k`` most similar other valid rows of each valid row, ties by lower key.
 
-    ``probes`` lists are visited, by default a twenty-fifth of them and from 16 to 64; more raise recall and cost.
+    ``probes`` lists are visited, by default a twenty-fifth of them and 16 at least; more raise recall and cost.
     ``queries`` restricts the rows asked for; all rows are searched. Only rows with a cosine of ``floor`` or more are given.
     Invalid vectors (null, of other length, with null, NaN
     or infinite numbers, all zero) are neither asked for nor found. Several rows of one key count as one (any of
@@ -187,7 +192,7 @@ def most_similar(vectors: DataFrame, key: str = "row_no", embedding: str = "embe
     if not count:
         return spark.createDataFrame([], schema)
     fitted = fit(classes, "key", "v", dim, count, sample, subspaces, codes, seed, real)
-    probes = probes or min(64, max(16, len(fitted.centroids) // 25))
+    probes = probes or share(len(fitted.centroids))
     model = spark.sparkContext.broadcast(fitted)
 
     def unpack(v: pd.Series) -> np.ndarray:

@@ -80,6 +80,11 @@ def test_neighbours_of_copies_and_dense_clusters(spark):
     assert {(r.row_no, r.other, r["rank"]) for r in some} == {t for t in true if t[0] % 50 == 0}
 
 
+def test_probes_are_a_fixed_share():
+    assert neighbours.share(100) == 16
+    assert all(neighbours.share(n) * 25 >= n for n in range(1, 5000))
+
+
 # ---- problem 4
 
 def test_scan_page():
