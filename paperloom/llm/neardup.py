@@ -85,7 +85,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(df: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(id, copy, buckets) of every text with at least ``words`` words."""
+    """(id, copy, buckets) of every text; one with less than ``words`` words has no buckets."""
     kind = df.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,9 +95,9 @@ def signatures(df: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 t = b["text"].iloc[part].tolist()
                 sh, of, copies = shingles(t, words, hasher)
                 sig = one_permutation(sh, of, len(t), bands * rows)
-                some = sig[:, 0] != EMPTY
-                yield pd.DataFrame({"id": b["id"].iloc[part][some], "copy": np.array(copies, dtype=np.int64)[some],
-                                    "buckets": list(band_keys(sig[some], bands, rows))})
+                keys = band_keys(sig, bands, rows)
+                yield pd.DataFrame({"id": b["id"].iloc[part], "copy": np.array(copies, dtype=np.int64),
+                                    "buckets": [k if s else k[:0] for k, s in zip(keys, sig[:, 0] != EMPTY)]})
 
     return df.mapInPandas(run, f"id {kind}, copy long, buckets array<long>")
 
@@ -200,12 +200,14 @@ def compare(groups: DataFrame, sets: DataFrame, t: float, centred: bool) -> Data
 class Similar:
     """Classes of copies, and the similar pairs between classes.
 
-    members: (id, copy) for every text; pairs: (a, b, similarity) with a < b, class numbers.
+    members: (id, copy) for every text of at least ``words`` words; short: the same for the others, which are similar to none; pairs: (a, b, similarity) with a < b, class numbers.
     """
 
     def __init__(self, df: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 28, rows: int = 4) -> None:
         df = df.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", "text")
         sig = cut(signatures(df, words, bands, rows))
+        self.short = sig.where(F.size("buckets") == 0).select("id", "copy")
+        sig = sig.where(F.size("buckets") > 0)
         self.members = sig.select("id", "copy")
         # One text of each class goes on. Only (id, copy) are shuffled to find it; classes of one text are in no table.
         first = sig.groupBy("copy").agg(F.min("id").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
@@ -273,7 +275,8 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def groups(found: Similar) -> DataFrame:
-    """One row per text: (id, class_id, group_id, links).
+    """One row per text that is not null: (id, class_id, group_id, links). Texts too short for a shingle are a class with
+    their copies, but similar to none: they have no links, as they have no pairs.
 
     class_id is the least id of its copies, group_id the least id of the texts connected to it by similar pairs, links the number of
     other texts that are similar to it, copies included. Linear in the texts and the pairs between classes.
@@ -287,4 +290,7 @@ def groups(found: Similar) -> DataFrame:
         .select("copy", "class_id", F.coalesce("group", "copy").alias("group"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
     )
     named = per.groupBy("group").agg(F.min("class_id").alias("group_id"))
-    return found.members.distinct().join(per.join(named, "group").drop("group"), "copy").select("id", "class_id", "group_id", "links")
+    long = found.members.distinct().join(per.join(named, "group").drop("group"), "copy").select("id", "class_id", "group_id", "links")
+    alone = found.short.groupBy("copy").agg(F.min("id").alias("class_id"))
+    return long.unionByName(found.short.distinct().join(alone, "copy").select(
+        "id", "class_id", F.col("class_id").alias("group_id"), F.lit(0).cast("long").alias("links")))

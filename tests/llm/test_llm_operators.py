@@ -188,6 +188,13 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert all(label[a] == label[b] for a, b in got)
 
 
+def test_groups_of_short_texts(spark):
+    texts = ["", "satu dua", "Satu, dua!", "satu", None, "satu dua tiga empat", "  "]
+    s = neardup.Similar(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), 0.7, 3)
+    assert neardup.id_pairs(s).count() == 0
+    assert {tuple(r) for r in neardup.groups(s).collect()} == {(0, 0, 0, 0), (6, 0, 0, 0), (1, 1, 1, 0), (2, 1, 1, 0), (3, 3, 3, 0), (5, 5, 5, 0)}
+
+
 def test_hot_copies_stay_linear(spark):
     df = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.lit("satu dua tiga empat lima enam")).otherwise(F.concat(F.lit("kata "), "id", F.lit(" lagi dan lagi"))).alias("text"))
     s = neardup.Similar(df, 0.8, 5)
