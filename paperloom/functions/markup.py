@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-import html
 import re
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from paperloom.functions.text import INLINE
+
 HEAD = re.compile(r"(#{1,6})\s+(.*)")
 ITEM = re.compile(r"(?:[-*]|(\d+)\.)\s+(.*)")
 RULE = re.compile(r"\|?[\s:|-]+\|[\s:|-]*")
 
 
+_INLINE = [(re.compile(rx, re.A), re.sub(r"\$(\d)", r"\\g<\1>", to)) for rx, to in INLINE]
+
+
 def inline(line: str) -> str:
-    out = html.escape(line, quote=True).replace("&#x27;", "'")
-    for rx, to in ((r"`([^`]+)`", r"<code>\1</code>"), (r"\*\*([^*]+)\*\*", r"<strong>\1</strong>"), (r"\*([^*]+)\*", r"<em>\1</em>")):
-        out = re.sub(rx, to, out)
-    return out
+    """:func:`paperloom.functions.text.inline_markup` of one line."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        line = line.replace(a, b)
+    for rx, to in _INLINE:
+        line = rx.sub(to, line)
+    return line
 
 
 def cells(line: str) -> list[str]:

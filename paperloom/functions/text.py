@@ -26,6 +26,8 @@ CITED_ARTICLE = r"(?i)Pasal\s+(\d+[A-Za-z]?)"
 YEAR = r"\b(19\d{2}|20\d{2})\b"
 # Characters dropped and replaced when text is cleaned.
 DROPPED, NBSP = "\u00ad\u200b\u200c\u200d\ufeff", "\u00a0"
+#: A character that compatibility composition may change: none of ASCII, the ones above, quotes and dashes, Hangul syllables.
+COMPOSABLE = r"[^\x00-\x7F\u00A0\u00AD\u200B-\u200D\u2013-\u2015\u2018-\u201F\u2022\uAC00-\uD7A3\uFEFF]"
 
 
 def _none(c: Column) -> Column:
@@ -38,6 +40,11 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def composed(c: Column) -> Column:
+    """:func:`nfkc`; only texts with a character that it may change leave the JVM."""
+    return F.coalesce(nfkc(F.when(c.rlike(COMPOSABLE), c)), c)
+
+
 def strip(c: Column) -> Column:
     """White space of any kind taken off both ends."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -48,15 +55,15 @@ def visible(c: Column) -> Column:
     return F.translate(c, NBSP + DROPPED, " ")
 
 
-def clean_chunk(c: Column, compose: bool = False) -> Column:
-    """A chunk for display: invisible characters dropped, runs of blanks one blank, stripped; null gives ''."""
-    c = nfkc(c) if compose else c
+def clean_chunk(c: Column, compose: bool = True) -> Column:
+    """A chunk for display: composed, invisible characters dropped, runs of blanks one blank, stripped; null gives ''."""
+    c = composed(c) if compose else c
     return F.coalesce(strip(F.regexp_replace(visible(c), r"[ \t]+", " ")), F.lit(""))
 
 
-def clean_page(c: Column, compose: bool = False) -> Column:
+def clean_page(c: Column, compose: bool = True) -> Column:
     """A page before chunking: also page footers and lone page numbers go, blank runs and empty lines are reduced."""
-    c = visible(nfkc(c) if compose else c)
+    c = visible(composed(c) if compose else c)
     c = F.regexp_replace(F.regexp_replace(c, FOOTER, ""), PAGE_NUMBER, "")
     c = F.regexp_replace(F.regexp_replace(c, r"[ \t]+\n", "\n"), r"\n[ \t]+", "\n")
     return F.coalesce(strip(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n{3,}", "\n\n")), F.lit(""))
@@ -154,13 +161,30 @@ def highlight(c: Column, term: str) -> Column:
     return F.regexp_replace(c, f"(?i)({quoted})", "<mark>$1</mark>")
 
 
+# References to laws and their classes, links, source numbers and citations in an answer.
+LAW_SPANS = [
+    (r"\bUUD(?:\s+NRI)?\s+\d{4}\b", "cat-uud"), (r"\bUU(?:\s+(?:No\.?|Nomor))?\s*\d+(?:\s+Tahun\s+\d{4}|/\d{4})\b", "cat-uu"),
+    (r"\bPP(?:\s+(?:No\.?|Nomor))?\s*\d+(?:\s+Tahun\s+\d{4}|/\d{4})\b", "cat-pp"), (r"(?i)\bPerpres(?:\s+(?:No\.?|Nomor))?\s*\d+(?:\s+Tahun\s+\d{4}|/\d{4})\b", "cat-perpres"),
+    (r"(?i)\bPermen[a-zA-Z]*\s*(?:No\.?\s*)?\d+(?:\s+Tahun\s+\d{4}|/\d{4})\b", "cat-permen"), (r"(?i)\bKepmen[a-zA-Z]*\s*(?:No\.?\s*)?\d+(?:\s+Tahun\s+\d{4}|/\d{4})\b", "cat-kepmen"),
+    (r"(?i)\bPerda(?:\s+(?:No\.?|Nomor))?\s*\d+(?:\s+Tahun\s+\d{4}|/\d{4})\b", "cat-perda"), (r"\bPasal\s+\d+[A-Z]?(?:\s+ayat\s+\(\d+\))?\b", "law-art"),
+]
+LINK = r"(?<![\">])(https?://[^\s<)]+[^\s<.,;:!?)])"
+SOURCE_NUMBER, CITED = r"\[(\d{1,2})\]", r"\(([^()]*?(?:Pasal|출처)[^()]*?)\)"
+#: What each pattern of a line becomes, in the order in which they are tried.
+INLINE = [
+    (r"\*\*([^*]+)\*\*", "<strong>$1</strong>"), (r"(?<![*\w])\*([^*\n]+?)\*(?!\w)", "<em>$1</em>"), (r"`([^`]+)`", '<code class="ic">$1</code>'),
+    *((rx, f'<span class="law-ref {cls}">$0</span>') for rx, cls in LAW_SPANS),
+    (LINK, '<a href="$1" target="_blank" rel="noopener noreferrer" class="a-link">$1</a>'),
+    (SOURCE_NUMBER, '<a href="#" class="src-ref" data-idx="$1">[$1]</a>'), (CITED, '<span class="cite">$1</span>'),
+]
+
+
 def inline_markup(c: Column) -> Column:
-    """Bold, italic, code and links of a line as HTML, after escaping."""
+    """A line as HTML: escaped, then bold, italic, code, references to laws, links, source numbers and citations."""
     c = escape_html(c)
-    c = F.regexp_replace(c, r"`([^`]+)`", "<code>$1</code>")
-    c = F.regexp_replace(c, r"\*\*([^*]+)\*\*", "<strong>$1</strong>")
-    c = F.regexp_replace(c, r"\*([^*]+)\*", "<em>$1</em>")
-    return F.regexp_replace(c, r"\[([^\]]+)\]\((https?://[^)\s]+)\)", '<a href="$2">$1</a>')
+    for rx, to in INLINE:
+        c = F.regexp_replace(c, rx, to)
+    return c
 
 
 def duration_seconds(c: Column) -> Column:

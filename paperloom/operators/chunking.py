@@ -1,9 +1,15 @@
-"""Pages to chunks: page-boundary merge, fixed windows, structure-aware chunks."""
+"""Pages to chunks: page-boundary merge, fixed windows, structure-aware chunks.
+
+The chunkers work on offsets. The places where a text may be cut are collected once, in sorted arrays; each chunk's end is looked up in
+them by binary search, so that a text of any length costs its length and a search per chunk.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,9 +18,9 @@ from pyspark.sql import functions as F
 from paperloom import config as C
 from paperloom.functions.text import strip
 
-# Where a structured text may be cut, and what a sentence ends with.
-SECTION = re.compile(r"\n\s*(?=(?:BAB\s+[IVXLCDM]+|Pasal\s+\d+[A-Za-z]?|Bagian\s+\w+|Pembukaan)\b)", re.I)
-SENTENCE_END = re.compile(r"(?<=[.!?。])\s+")
+# Where a structured text may be cut.
+SECTION = re.compile(r"(?=\n\s*(?:BAB\s+[IVXLCDM]+|Pasal\s+\d+[A-Za-z]?|Bagian\s+\w+|Pembukaan)\b)", re.I)
+PARAGRAPH, SENTENCE = re.compile(r"\n\s*\n"), re.compile(r"(?<=[.!?。])\s+")
 OPEN_END, GOES_ON = r"""[^.!?…。:;)"”’]$""", r"^[\p{Ll}\p{Nd}]"
 
 
@@ -34,67 +40,80 @@ def merge_pages(rows: DataFrame, key: str = "file") -> DataFrame:
 
 
 def windows(text: str, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP) -> list[str]:
-    """Windows of ``size`` characters, ended at the last line or sentence end of their second half, overlapping."""
+    """Windows of ``size`` characters that overlap; each ends behind the last line or sentence end of its second half, if there is one."""
     text = text.strip()
-    if len(text) <= size:
-        return [text] if text else []
-    out, start = [], 0
-    while True:
-        end = min(start + size, len(text))
-        if end < len(text):
-            at = max(text.rfind(mark, start, end) for mark in ("\n", ". ", "。")) - start
-            if at > size * 0.5:
-                end = start + at + 1
-        out.append(text[start:end].strip())
-        if end >= len(text):
-            return out
-        start = max(end - overlap, start + 1)
+    short = [m.end() for m in re.finditer("[\n。]", text)]
+    long = [m.end() for m in re.finditer(r"\. ", text)]  # the blank must be in the window, but is not kept
+
+    def stop(at: int) -> int:
+        far = at + size
+        i, j = bisect_right(short, far), bisect_right(long, far)
+        end = max(short[i - 1] if i else 0, long[j - 1] - 1 if j else 0)
+        return end if end - at - 1 > size / 2 else far
+
+    spans, at = [], 0
+    while len(text) - at > size:
+        spans.append((at, stop(at)))
+        at = max(spans[-1][1] - overlap, at + 1)
+    return [text[a:b].strip() for a, b in [*spans, (at, len(text))]] if text else []
 
 
 def structured(text: str, target: int = C.STRUCT_TARGET, most: int = C.STRUCT_MAX, least: int = C.STRUCT_MIN, overlap: int = C.STRUCT_OVERLAP) -> list[str]:
-    """Sections, then paragraphs, then sentences, so that none exceeds ``most``; small neighbours joined up to ``target``."""
-    text = text.strip()
-    if not text:
-        return []
-    parts: list[str] = []
-    for section in _pieces(SECTION.split(text)) or [text]:
-        if len(section) <= most:
-            parts.append(section)
-            continue
-        for para in _pieces(re.split(r"\n\s*\n", section)):
-            parts += [para] if len(para) <= most else _sentences(para, target, most, overlap)
-    out, held = [], ""
-    for part in parts:
-        if held and len(held) + len(part) + 1 > most:
-            out.append(held)
-            held = part
-        elif held:
-            held += "\n" + part
-            if len(held) >= target:
-                out.append(held)
-                held = ""
-        else:
-            held = part
-    return [c for c in [*out, held] if len(c) >= least]
-
-
-def _pieces(parts: list[str]) -> list[str]:
-    return [p.strip() for p in parts if p.strip()]
-
-
-def _sentences(para: str, target: int, most: int, overlap: int) -> list[str]:
-    packed: list[str] = []
-    for s in _pieces(SENTENCE_END.split(para)):
-        if not packed:
-            packed.append(s)
-        elif len(packed[-1]) + len(s) + 1 <= target:
-            packed[-1] += " " + s
-        else:
-            packed.append(f"{packed[-1][-overlap:]} {s}" if 0 < overlap < len(packed[-1]) else s)
-    return [c[k : k + target] if len(c) > most else c for c in packed for k in (range(0, len(c), target) if len(c) > most else (0,))]
-
-
-def _chunks(df: DataFrame, key: str, cutter) -> DataFrame:
+    """Chunks of at most ``most`` characters: sections, of long ones the paragraphs, of long paragraphs runs of sentences; what is
+    small is joined to its neighbours up to ``target``, and chunks under ``least`` are dropped."""
+    whole = text.strip()
+
+    def fitting(piece: str, kinds: tuple[re.Pattern, ...]) -> Iterator[str]:
+        for part in _between(piece, kinds[0]):
+            if len(part) <= most:
+                yield part
+            elif len(kinds) > 1:
+                yield from fitting(part, kinds[1:])
+            else:
+                yield from _sentence_runs(list(_between(part, SENTENCE)), target, most, overlap)
+
+    parts = list(fitting(whole, (SECTION, PARAGRAPH)))
+    return ["\n".join(parts[a:b]) for a, b in _joins([len(p) for p in parts], target, most)
+            if sum(map(len, parts[a:b])) + b - a - 1 >= least]
+
+
+def _between(text: str, mark: re.Pattern) -> Iterator[str]:
+    """What stands between the marks, without outer blanks; blank pieces are left out."""
+    edges = [(0, 0), *(m.span() for m in mark.finditer(text)), (len(text), len(text))]
+    for (_, a), (b, _) in zip(edges, edges[1:]):
+        if piece := text[a:b].strip():
+            yield piece
+
+
+def _joins(sizes: list[int], target: int, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of neighbours: one that reaches ``target`` by a join is full, and none is joined beyond ``most``; a joint is a character."""
+    ends = [0, *accumulate(n + 1 for n in sizes)]
+    at = 0
+    while at < len(sizes):
+        full = bisect_left(ends, ends[at] + target + 1, min(at + 2, len(ends)))
+        room = bisect_right(ends, ends[at] + most + 1) - 1
+        stop = max(at + 1, min(full, room, len(sizes)))
+        yield at, stop
+        at = stop
+
+
+def _sentence_runs(sentences: list[str], target: int, most: int, overlap: int) -> Iterator[str]:
+    """Runs of sentences up to ``target``, each with the last ``overlap`` characters of a longer one before it; one still over ``most`` is cut hard.
+
+    Laid out with single blanks the sentences are one text, of which every run, its overlap included, is a span.
+    """
+    flat = " ".join(sentences)
+    ends = [e - 1 for e in accumulate(len(s) + 1 for s in sentences)]
+    at = taken = 0
+    while taken < len(ends):
+        last = max(taken, bisect_right(ends, at + target) - 1)
+        stop = ends[last]
+        step = target if stop - at > most else stop - at
+        yield from (flat[a : min(a + step, stop)] for a in range(at, stop, step))
+        at, taken = (stop - overlap if 0 < overlap < stop - at else stop + 1), last + 1
+
+
+def _chunks(df: DataFrame, key: str, cutter: Callable[[str], list[str]]) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -27,7 +27,18 @@ def sql_strip(x: str) -> str:
     return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
+#: What compatibility composition makes of the characters that the tables hold and of some more.
+COMPOSED = {"…": "...", "ﬁ": "fi", "①": "1", "Ａ": "A", "½": "1⁄2", "㎏": "kg", "ﬀ": "ff", "²": "2"}
+
+
+def sql_composed(x: str) -> str:
+    for a, b in COMPOSED.items():
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
 def sql_visible(x: str) -> str:
+    x = sql_composed(x)
     for ch in "\u00ad\u200b\u200c\u200d\ufeff":
         x = f"replace({x}, '{ch}', '')"
     return f"replace({x}, '\u00a0', ' ')"

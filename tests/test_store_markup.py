@@ -8,7 +8,7 @@ from paperloom.sources import store
 def test_blocks():
     text = "# Judul *x*\nsatu\ndua\n\n- a\n- **b**\n1. c\n> kutip <i>\n\n| k | v |\n|---|---|\n| 1 | `2` |"
     assert blocks(text) == ("<h1>Judul <em>x</em></h1><p>satu<br>dua</p><ul><li>a</li><li><strong>b</strong></li></ul><ol><li>c</li></ol><blockquote>kutip &lt;i&gt;</blockquote>"
-                            "<table><tr><th>k</th><th>v</th></tr><tr><td>1</td><td><code>2</code></td></tr></table>")
+                            "<table><tr><th>k</th><th>v</th></tr><tr><td>1</td><td><code class=\"ic\">2</code></td></tr></table>")
     assert blocks(None) is None and blocks("") == ""
 
 
