@@ -95,14 +95,30 @@ P8_GRAMS = r"""(SELECT DISTINCT {0}, unnest(list_transform(range(1, len(w) - 11)
 
 @query("p8_found", f"SELECT DISTINCT doc_id, item_id FROM {P8_GRAMS.format('doc_id', 'documents')} JOIN {P8_GRAMS.format('item_id', 'eval_items')} USING (g)")
 def p8_found(spark, d):
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+    """Of the passages within one word edit those without any."""
+    return near_leaks(spark, d).where("distance = 0").select("doc_id", "item_id").distinct()
 
 
-@query("p8_near")
+def near_leaks(spark, d):
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), max_edits=1, recall=0.999)
+
+
+# Windows within one edit share a form: 13 words with one of them blotted out, 12 words, or 13 words of 14.
+P8_WORDS = r"(SELECT {0} AS k, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM {1} WHERE text IS NOT NULL)"
+P8_RUNS = "(SELECT k, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: list_slice(w, i, i + {n} - 1))) AS g FROM {t} WHERE len(w) >= {n})"
+P8_NEAR = f"""WITH d AS MATERIALIZED {P8_WORDS.format('doc_id', 'documents')}, i AS MATERIALIZED {P8_WORDS.format('item_id', 'eval_items')},
+ d12 AS {P8_RUNS.format(n=12, t='d')}, d13 AS {P8_RUNS.format(n=13, t='d')}, d14 AS {P8_RUNS.format(n=14, t='d')}, i13 AS {P8_RUNS.format(n=13, t='i')},
+ df AS (SELECT DISTINCT k, hash(g) AS h FROM d12 UNION ALL SELECT DISTINCT k, unnest(list_transform(range(1, 14), lambda p: hash(p, list_slice(g, 1, p - 1), list_slice(g, p + 1, 13)))) FROM d13
+   UNION ALL SELECT DISTINCT k, unnest(list_transform(range(1, 15), lambda p: hash('more', list_concat(list_slice(g, 1, p - 1), list_slice(g, p + 1, 14))))) FROM d14),
+ itf AS (SELECT DISTINCT k, unnest(list_transform(range(1, 14), lambda p: hash(list_concat(list_slice(g, 1, p - 1), list_slice(g, p + 1, 13))))) AS h FROM i13
+   UNION ALL SELECT DISTINCT k, unnest(list_transform(range(1, 14), lambda p: hash(p, list_slice(g, 1, p - 1), list_slice(g, p + 1, 13)))) FROM i13 UNION ALL SELECT DISTINCT k, hash('more', g) FROM i13)
+SELECT DISTINCT df.k AS doc_id, itf.k AS item_id FROM df JOIN itf USING (h)"""
+
+
+@query("p8_near", P8_NEAR)
 def p8_near(spark, d):
-    """Passages that leaked with up to one word edit in 13, with the number of item windows found."""
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), max_edits=1, sample=10, recall=0.95).groupBy(
-        "doc_id", "item_id").agg(F.countDistinct("item_pos").alias("item_windows"), F.countDistinct("doc_pos").alias("doc_windows"))
+    """Passages that leaked with up to one word put in, left out or replaced in 13."""
+    return near_leaks(spark, d).select("doc_id", "item_id").distinct()
 
 
 @query("p3_found", """

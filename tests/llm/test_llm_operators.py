@@ -314,17 +314,52 @@ def test_leaks(spark, monkeypatch, block, slice_):
     assert got == leaked(docs, items)
 
 
-def test_leaks_with_edits_reach_their_recall(spark):
+def edits(w, kind, rng):
+    at = rng.randrange(13)
+    return {"replaced": w[:at] + ["lain"] + w[at + 1 :], "put in": w[:at] + ["lain"] + w[at:], "left out": w[:at] + w[at + 1 :]}[kind]
+
+
+@pytest.mark.parametrize(("block", "slice_"), [(200_000, 400_000), (50, 40)])
+def test_leaks_with_edits_reach_their_recall(spark, monkeypatch, block, slice_):
+    monkeypatch.setattr(leakage, "BLOCK", block)  # the smaller one takes the join
+    monkeypatch.setattr(leakage, "SLICE", slice_)
     rng = random.Random(9)
-    items = [(i, " ".join(rng.choice(WORDS) for _ in range(13))) for i in range(200)]
+    items = [(i, " ".join(rng.choice(WORDS) + str(rng.randrange(9)) for _ in range(13))) for i in range(300)]
     docs = []
-    for i, t in items:
-        w = t.split()
-        w[rng.randrange(13)] = "lain"
-        docs.append((i, sentence(rng) + " " + " ".join(w) + " " + sentence(rng)))
+    for k, kind in enumerate(("replaced", "put in", "left out")):
+        for i, t in items:
+            w = edits(t.split(), kind, rng)
+            docs.append((k * 1000 + i, " ".join(w) if i % 3 == 0 else sentence(rng) + " " + " ".join(w) + " " + sentence(rng)))
     D, T = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
-    got = {tuple(r) for r in leakage.leaks(D, T, max_edits=1, recall=0.95).select("doc_id", "item_id").distinct().collect()}
-    assert sum((i, i) in got for i, _ in items) >= 0.9 * len(items)
+    got = leakage.leaks(D, T, max_edits=1, recall=0.95).collect()
+    for k in range(3):
+        assert sum(r.doc_id == k * 1000 + r.item_id for r in got) >= 0.95 * len(items)
+    assert all(r.distance <= 1 and r.doc_id % 1000 == r.item_id and r.item_pos == 0 for r in got)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 4), min_size=5, max_size=5), st.lists(st.integers(1, 4), max_size=9), st.integers(0, 2))
+def test_distances_against_the_plain_matrix(item, span, most):
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    wide = np.full((1, 5 + most), 9, dtype=np.uint64)
+    wide[0, : min(len(span), 5 + most)] = span[: 5 + most]
+    near, size = leakage.distances(np.array([item], dtype=np.uint64), wide, np.array([len(span)]), most)
+    lengths = [n for n in range(5 - most, 5 + most + 1) if n <= len(span)]
+    want = min((plain(item, span[:n]) for n in lengths), default=99)
+    assert near[0] == (want if want <= most else leakage.FAR)
+    assert near[0] > most or plain(item, span[: size[0]]) == want
+
+
+def test_repetitions_that_never_reach_the_recall():
+    with pytest.raises(ValueError):
+        leakage.repetitions(13, 6, 7, 0.99999)
 
 
 # ---- problem 9
