@@ -38,14 +38,31 @@ def p2_pieces(spark, d):
     return splitting.split_oversized(current(spark, d, "id", "text", "article"))
 
 
+@query("p2_rebuilt", CURRENT + "SELECT id, sha256(text) AS sha256, true AS within, true AS tiled, true AS lapped FROM cur WHERE text IS NOT NULL")
+def p2_rebuilt(spark, d):
+    """Every text put together from its pieces."""
+    return splitting.rebuilt(p2_pieces(spark, d))
+
+
+def packed(spark, d):
+    return packing.pack(table(spark, d, "documents"), packing.byte_tokens(F.col("text")))
+
+
 @query("p7_found", "SELECT doc_id FROM documents WHERE strlen(text) + 1 > 4096")
 def p7_found(spark, d):
-    return packing.oversized(table(spark, d, "documents"), packing.byte_tokens(F.col("text")))
+    return packing.split_items(packed(spark, d))
 
 
 @query("p7_containers")
 def p7_containers(spark, d):
-    return packing.pack(table(spark, d, "documents"), packing.byte_tokens(F.col("text")))
+    return packed(spark, d)
+
+
+@query("p7_checked", """SELECT count(*) AS items, CAST(sum((n + 4095) // 4096) AS BIGINT) AS parts, CAST(sum(n) AS BIGINT) AS total, true AS within, true AS whole, true AS filled
+  FROM (SELECT strlen(text) + 1 AS n FROM documents WHERE text IS NOT NULL)""")
+def p7_checked(spark, d):
+    """What holds for the containers."""
+    return packing.checked(packed(spark, d))
 
 
 P6_SQL = r"""
@@ -83,7 +100,9 @@ def p6_lines(spark, d):
         F.col("source").alias("category"), "form", F.col("rows").alias("n_rows"), F.col("files").alias("n_files"))
 
 
-@query("p6_clean_texts")
+@query("p6_clean_texts", CURRENT + P6_SQL + """, gone AS (SELECT DISTINCT id, p FROM forms JOIN lines USING (category, form)),
+ kept AS (SELECT id, string_agg(line, chr(10) ORDER BY p) AS kept FROM pos ANTI JOIN gone USING (id, p) GROUP BY id)
+SELECT id, CASE WHEN id IN (SELECT id FROM gone) THEN coalesce(kept, '') ELSE text END AS text FROM cur LEFT JOIN kept USING (id)""")
 def p6_clean_texts(spark, d):
     rows = categorised(spark, d)
     return boilerplate.strip_lines(rows, repeated_lines(rows)[0]).select("id", "text")
@@ -144,17 +163,24 @@ def similar_chunks(spark, d):
     return neardup.Similar(current(spark, d, "id", "text"), threshold=0.7, words=3)
 
 
-@query("p5_found", CURRENT + r"""
+P5_PAIRS = r"""
 , w AS (SELECT DISTINCT id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM cur WHERE text IS NOT NULL),
 sets AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: hash(w[i], w[i + 1], w[i + 2]))) AS g FROM w WHERE len(w) >= 3),
 grams AS (SELECT id, len(g) AS n, unnest(g) AS g FROM sets),
-both_ AS (SELECT a.id AS id_a, b.id AS id_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
-SELECT id_a, id_b FROM both_ WHERE k * 10 >= (na + nb - k) * 7""")
+both_ AS (SELECT a.id AS id_a, b.id AS id_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.id < b.id GROUP BY ALL)"""
+
+
+@query("p5_found", CURRENT + P5_PAIRS + "SELECT id_a, id_b FROM both_ WHERE k * 10 >= (na + nb - k) * 7")
 def p5_found(spark, d):
     return neardup.id_pairs(similar_chunks(spark, d))
 
 
-@query("p5_groups")
+@query("p5_groups", "WITH RECURSIVE" + CURRENT.split("WITH", 1)[1] + P5_PAIRS + """, pairs AS (SELECT id_a, id_b FROM both_ WHERE k * 10 >= (na + nb - k) * 7),
+ edges AS (SELECT id_a AS a, id_b AS b FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),
+ class AS (SELECT id, len(w) >= 3 AS long, min(id) OVER (PARTITION BY w) AS class_id FROM w),
+ reach AS (SELECT id AS a, id AS b FROM w UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+ least_ AS (SELECT a AS id, min(b) AS group_id FROM reach GROUP BY a), n AS (SELECT a AS id, count(*) AS links FROM edges GROUP BY a)
+SELECT id, class_id, CASE WHEN long THEN group_id ELSE class_id END AS group_id, coalesce(links, 0) AS links FROM class JOIN least_ USING (id) LEFT JOIN n USING (id)""")
 def p5_groups(spark, d):
     return neardup.groups(similar_chunks(spark, d))
 

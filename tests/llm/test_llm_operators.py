@@ -1,5 +1,6 @@
 """Operators against brute force, round trips and held-out accuracy."""
 
+import os
 import random
 
 import numpy as np
@@ -36,6 +37,29 @@ def test_pieces_tile_the_text(parts, limit, overlap):
     assert [p[1] for p in got if p[2]] == [a for _, a in splitting.headings(text)]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["Pasal 5\n", "kata ", "akhir. ", "법률 ", "é", "😀", "\n\n"]), max_size=60), st.integers(20, 60), st.integers(0, 15))
+def test_pieces_in_bytes(parts, limit, overlap):
+    text = "".join(parts)
+    got = list(splitting.split_text(text, None, limit, overlap, "bytes"))
+    assert "".join(text[p[3] : p[4]] for p in got) == text
+    assert all(len(p[6].encode()) <= limit and len(text[p[3] - p[5] : p[3]].encode()) <= overlap for p in got)
+    sums = splitting.prefix_sums(text, "bytes")
+    assert list(sums) == [len(text[:k].encode()) for k in range(len(text) + 1)]
+
+
+def test_pieces_in_tokens(spark):
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    if not os.path.exists(path):
+        pytest.skip("no tokenizer files")
+    text = "Pasal 1\n" + "Setiap orang wajib melapor paling lambat 20 hari kerja. " * 60
+    df = spark.createDataFrame([(1, text, None), (2, "pendek", "Pasal 3"), (3, None, None)], "id int, text string, article string")
+    rows = splitting.split_oversized(df, limit=100, overlap=20, unit=splitting.token_unit(path)).orderBy("id", "piece_no").collect()
+    count = splitting.token_unit(path)
+    assert "".join(r.piece[r.overlap :] for r in rows if r.id == 1) == text and len(rows) > 5
+    assert all(len(count(r.piece)) <= 101 for r in rows) and [r.article for r in rows if r.id == 2] == ["Pasal 3"]  # a piece may begin within what was one token
+
+
 def test_headings():
     text = "Pasal 1\n pasal 2a.\nPASAL 3 - Judul\nPasal 4 (1) isi\nPasal 5 ayat (2).\nPasal 6 huruf a\nPasal 7 Peraturan\nlihat Pasal 8\nPasal​ 9 \nPasal10\nPasal 11 juncto Pasal 12"
     assert [a for _, a in splitting.headings(text)] == ["Pasal 1", "Pasal 2A", "Pasal 3", "Pasal 4", "Pasal 9"]
