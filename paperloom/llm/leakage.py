@@ -252,7 +252,7 @@ def _starts(spans: np.ndarray, least: int, back: bool) -> np.ndarray:
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text",
-          window: int = 13, max_edits: int = 0, sample: int = 8, recall: float = 0.99) -> DataFrame:
+          window: int = 13, max_edits: int = 0, sample: int = 6, recall: float = 0.95) -> DataFrame:
     """(doc, item, item_pos, doc_pos, distance): the item windows that a document holds within ``max_edits`` word edits.
 
     One row for each document and item window, with the least distance found and where the span begins; positions count
