@@ -2,7 +2,7 @@
 
 A hidden Markov model labels the lines of a text as header, page number, body or break. A line is seen by its layout
 alone: blank, a number (that of its page or another), a line repeated on pages of its file and of no other, its
-capitals, its end and its place on the page. The model is fitted by expectation maximisation on a bounded sample of texts,
+capitals, its final stop and its place on the page. The model is fitted by expectation maximisation on a bounded sample of texts,
 from set starting values that also serve as pseudo-counts; every text is labelled by its most likely path.
 
 Repeated lines, the word list and the corrections are counted over all texts. A word is taken as misread if it is rare and
@@ -29,8 +29,8 @@ from paperloom.llm.neardup import slices
 from paperloom.session import cut
 
 COMMON = 30_000
-#: Files with repeated lines up to this many are sent to every task; more are joined by a shuffle.
-BROADCAST_FILES = 200_000
+#: Repeated lines up to this many in all, and in one file, are sent to every task by file; more are joined to the lines of each text.
+BROADCAST_LINES, FILE_LINES = 1_000_000, 2_000
 
 HYPHENS = "-\u2010\u00ac\u00ad"
 #: A character of a word: an "@" is a misread "a", also at the ends of a word.
@@ -42,6 +42,8 @@ _ASCII_PARTS = {i: " " for i in range(128) if not chr(i).isalnum() and chr(i) !=
 LINE_HYPHEN = re.compile(rf"[{HYPHENS}][^\S\n]*\n")
 OPEN_END = re.compile(rf"({CHARACTER}+(?:-{CHARACTER}+)*)[{HYPHENS}]\s*$")
 FIRST = re.compile(rf"\s*({CHARACTER}+(?:-{CHARACTER}+)*)")
+#: The end of a sentence that was carried over, as in "Article 4 paragraph / (3).".
+CARRIED = re.compile(r"\(\d+\)[.,;:]+")
 PAGE_LINE = re.compile(
     r"\W*(?:(?:hal|halaman|hlm|lembar|page|p|pg)\b\W*)?(\d+)(?:\W*(?:dari|of|/)\W*\d+)?\W*", re.I)
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -50,14 +52,15 @@ DIGIT = re.compile(r"\d")
 ODD = re.compile("[áé@0-9]")
 # What scanning makes of a character.
 CONFUSIONS = {
-    "a": ["á", "@"], "b": ["6"], "e": ["c", "é"], "g": ["9"], "h": ["b"], "i": ["l", "1"], "k": ["lc"], "l": ["1"],
+    "a": ["á", "@"], "b": ["6"], "d": ["cl"], "e": ["c", "é"], "g": ["9"], "h": ["b"], "i": ["l", "1"], "k": ["lc"], "l": ["1"],
     "m": ["rn"], "n": ["ri"], "o": ["0"], "s": ["5"], "t": ["f"], "u": ["ii"],
+    "w": ["vv"], "y": ["v"],
 }
 # Each character as what the confusions make equal to it. One character at a time, so that equal readings get equal
 # skeletons wherever they stand.
-SINGLE = {"0": "o", "1": "l", "5": "s", "6": "b", "9": "g", "@": "a", "á": "a", "é": "e", "c": "e", "h": "b", "f": "t", "i": "l"}
-SEVERAL = {"u": "ll", "m": "rn", "n": "rl", "k": "le"}  # in this order: the n of rn is taken apart as well
-_SKELETON = str.maketrans(SINGLE | {"u": "ll", "m": "rrl", "n": "rl", "k": "le"})
+SINGLE = {"0": "o", "1": "l", "5": "s", "6": "b", "9": "g", "@": "a", "á": "a", "é": "e", "c": "e", "h": "b", "f": "t", "i": "l", "y": "v"}
+SEVERAL = {"u": "ll", "m": "rn", "n": "rl", "k": "le", "d": "el", "w": "vv"}  # in this order: the n of rn is taken apart as well
+_SKELETON = str.maketrans(SINGLE | SEVERAL | {"m": "rrl"})
 
 
 def skeleton(text: str) -> str:
@@ -110,25 +113,42 @@ def _AGAIN(x: str) -> list[str]:
 
 # ---------------------------------------------------------------- counts over all texts
 
-def repeated_lines(rows: DataFrame) -> DataFrame:
-    """(file_key, repeats): per file the keys and row counts of lines on several of its pages and in no other file.
+def keyed_lines(rows: DataFrame) -> DataFrame:
+    """(id, file, page, key) of the lines that may be repeated, each once for a text; the file is a hash of its name.
 
-    A line that ends with a stop is none of these. Lines are compared without their page's number at the start or end, by
-    their skeleton. One aggregate of fixed width per line, combined on the map side; the file key is a hash of its name.
+    A line that ends with a stop and has three words in lower case in a row is the end of a sentence and none of these. Lines are compared
+    without their page's number at the start or end, by their skeleton.
     """
     no, size = F.col("page").cast("string"), F.length(F.col("page").cast("string"))
-    lines = rows.select("file", "page", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).withColumn("line", F.trim("line"))
-    lines = lines.where((F.length("line") > 2) & ~F.right("line", F.lit(1)).isin(*STOPS))
+    lines = rows.select("id", "file", "page", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).withColumn("line", F.trim("line"))
+    lines = lines.where((F.length("line") > 2) & ~(F.right("line", F.lit(1)).isin(*STOPS) & F.col("line").rlike(r"\p{Ll}\S*\s+\p{Ll}\S*\s+\p{Ll}")))
     line = F.regexp_replace("line", r"\s+", " ")
     lines = lines.withColumn("line", line)
     line = F.when(F.col("line").startswith(F.concat(no, F.lit(" "))), F.substr("line", size + 1)).when(
         F.col("line").endswith(F.concat(F.lit(" "), no)), F.left(F.col("line"), F.length("line") - size)).otherwise(F.col("line"))
     key = F.xxhash64(skeleton_column(F.regexp_replace(line, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
-    keyed = lines.where(F.col("line").rlike(r"\p{L}")).select(F.xxhash64("file").alias("file"), "page", key.alias("key"))
-    per = keyed.groupBy("key").agg(F.min("file").alias("file_key"), F.max("file").alias("last"), F.min("page").alias("lo"),
-                                   F.max("page").alias("hi"), F.count(F.lit(1)).alias("n"))
-    # A file's own lines that repeat: as many as it has different headers, a few.
-    return per.where("file_key = last AND lo <> hi").groupBy("file_key").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("repeats"))
+    return lines.where(F.col("line").rlike(r"\p{L}")).select("id", F.xxhash64("file").alias("file"), "page", key.alias("key"))
+
+
+def repeated_lines(rows: DataFrame) -> DataFrame:
+    """(file_key, key, n): the lines on several pages of a file and in no other, and in how many texts they are.
+
+    One aggregate of fixed width per line, combined on the map side.
+    """
+    per = keyed_lines(rows).groupBy("key").agg(F.min("file").alias("file_key"), F.max("file").alias("last"), F.min("page").alias("lo"),
+                                               F.max("page").alias("hi"), F.count(F.lit(1)).alias("n"))
+    return per.where("file_key = last AND lo <> hi").select("file_key", "key", "n")
+
+
+def with_repeats(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``repeats``, a map from the keys of repeated lines to their counts: of the whole file where these are few, else of the text's own lines."""
+    lines = cut(repeated_lines(rows))
+    entries = F.map_from_entries(F.collect_set(F.struct("key", "n"))).alias("repeats")
+    largest = lines.groupBy("file_key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    if (largest["all"] or 0) <= BROADCAST_LINES and (largest["most"] or 0) <= FILE_LINES:
+        return rows.withColumn("file_key", F.xxhash64("file")).join(F.broadcast(lines.groupBy("file_key").agg(entries)), "file_key", "left").drop("file_key")
+    own = keyed_lines(rows).join(lines.drop("file_key"), "key").groupBy(F.col("id").alias("__id")).agg(entries)
+    return rows.join(own, F.col("id") == F.col("__id"), "left").drop("__id")
 
 
 def line_key(line: str, page: int | None) -> int:
@@ -189,7 +209,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
 def corrections(words: DataFrame, ratio: int = 20) -> DataFrame:
     """(word, meant): rare words that confused characters make of a word at least ``ratio`` times as frequent.
 
-    Rare is at most 8 in a million of all words, or 4, and asked of words of letters alone. A word with digits, accents or "@" among its letters, which no
+    Rare is at most 8 in a million of all words, or 4, and asked of words of letters alone; of a more frequent one of five letters or more, as
+    a scanner makes that reads one letter wrongly all the time, ten times the ratio is asked, and that one confused character explains it. A word with digits, accents or "@" among its letters, which no
     word of the language has, only needs a counterpart three times as frequent. Of two characters only
     such words are taken, with one character confused and a counterpart of two that makes up 50 in a million of all words, and 10 at least: letters
     behind numbers and abbreviations look the same. A counterpart has letters alone. Words
@@ -203,7 +224,9 @@ def corrections(words: DataFrame, ratio: int = 20) -> DataFrame:
     rare = F.col("n") <= F.greatest(F.lit(4.0), F.col("t") * 8e-6)
     known = keyed.where("plain AND n > 1").select("s", F.col("word").alias("meant"), F.col("n").alias("n_meant"))
     more = F.when(F.col("odd"), F.col("n_meant") >= F.greatest(F.lit(2), F.col("n") * 3)).otherwise(F.col("n_meant") >= F.col("n") * ratio)
-    pairs = keyed.where("plain OR odd").crossJoin(F.broadcast(total)).where(rare | F.col("odd")).join(known, "s").where(more & (F.col("word") != F.col("meant")))
+    common = ~rare & ~F.col("odd")
+    pairs = keyed.where("plain OR odd").crossJoin(F.broadcast(total)).where(~common | (F.length("word") > 4)).join(known, "s").where(more & (F.col("word") != F.col("meant")))
+    pairs = pairs.withColumn("common", common).where(~F.col("common") | (F.col("n_meant") >= F.col("n") * ratio * 10))
     short = F.col("odd") & (F.length("word") == 2) & (F.length("meant") == 2) & (F.col("n_meant") >= F.greatest(F.lit(10.0), F.col("t") * 5e-5))
     pairs = pairs.where((F.length("word") > 2) & (F.length("meant") > 2) | short)
 
@@ -211,10 +234,11 @@ def corrections(words: DataFrame, ratio: int = 20) -> DataFrame:
         for b in batches:
             cost = [misreading(w, m) for w, m in zip(b["word"], b["meant"])]
             # a confusion the other way is believed of long words alone
-            b["cost"] = [None if c is None or c >= 2.5 and len(w) < 8 or c >= 2 and len(w) < 3 else c for c, w in zip(cost, b["word"])]
+            b["cost"] = [None if c is None or c >= 2.5 and len(w) < 8 or c >= 2 and len(w) < 3 or c > 1 and often else c
+                         for c, w, often in zip(cost, b["word"], b["common"])]
             yield b[b["cost"].notna()][["word", "meant", "n_meant", "cost"]]
 
-    told = pairs.select("word", "meant", "n_meant").mapInPandas(explain, "word string, meant string, n_meant long, cost double")
+    told = pairs.select("word", "meant", "n_meant", "common").mapInPandas(explain, "word string, meant string, n_meant long, cost double")
     return told.groupBy("word").agg(F.min_by("meant", F.struct("cost", -F.col("n_meant"), "meant")).alias("meant"))
 
 
@@ -222,13 +246,13 @@ def corrections(words: DataFrame, ratio: int = 20) -> DataFrame:
 
 HEADER, NUMBER, BODY, BREAK = range(4)
 SYMBOLS = ["blank", "page edge", "page mid", "num edge", "num mid", "title edge", "title mid", "again edge", "again mid",
-           "twice edge", "twice mid", "capital edge", "capital mid", "text"]
+           "twice edge", "twice mid", "capital edge", "capital mid", "text", "title stop edge", "title stop mid"]
 #: Starting values, in parts of a hundred: how often a state shows a symbol, in the order of SYMBOLS.
 EMIT = np.array([
-    [0.1, 0.1, 0.1, 0.1, 0.1, 70.0, 12.0, 15.0, 1.0, 0.5, 0.1, 0.3, 0.1, 0.1],
-    [0.1, 85.0, 13.0, 0.2, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1],
-    [0.1, 0.1, 0.3, 1.0, 2.0, 0.2, 0.3, 0.2, 2.0, 1.0, 2.0, 4.0, 6.0, 81.0],
-    [99.0, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1],
+    [0.1, 0.1, 0.1, 0.1, 0.1, 70.0, 12.0, 15.0, 1.0, 0.5, 0.1, 0.3, 0.1, 0.1, 8.0, 1.5],
+    [0.1, 85.0, 13.0, 0.2, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1],
+    [0.1, 0.1, 0.3, 1.0, 2.0, 0.2, 0.3, 0.2, 2.0, 1.0, 2.0, 4.0, 6.0, 81.0, 0.1, 0.3],
+    [99.0, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1],
 ]) / 100
 STEP = np.array([[1, 2, 85, 12], [3, 1, 60, 36], [2, 5, 80, 13], [2, 3, 92, 3]]) / 100
 START = np.array([20, 5, 73, 2]) / 100
@@ -304,23 +328,26 @@ def observe(lines: list[str], page: int | None, repeats: dict) -> tuple[list[int
     for i in full:
         x = lines[i].strip()
         place = 0 if i in edge else 1
-        if len(x) < 40 and DIGIT.search(x) and (m := PAGE_LINE.fullmatch(x)):
+        if len(x) < 40 and DIGIT.search(x) and not CARRIED.fullmatch(x) and (m := PAGE_LINE.fullmatch(x)):
             if page is not None and int(m[1]) == page:
                 numbers[i] = str(page)
             seen[i] = (1 if numbers[i] else 3) + place
             continue
-        if x[-1] in STOPS:
+        stop = x[-1] in STOPS
+        n = repeats.get(line_key(x, page), 0) if repeats else 0
+        if stop and not n:
             seen[i] = 13
             continue
-        n = repeats.get(line_key(x, page), 0) if repeats else 0
         capital = False
         if not x[0].islower():
             ws = [w for w in x.split() if w[0].isalnum()]
             capital = sum(w[0].isupper() or w[0].isdigit() for w in ws) >= 0.6 * max(1, len(ws))
             if n and capital and len(ws) > 1:
-                seen[i] = 5 + place
+                seen[i] = (14 if stop else 5) + place
                 continue
-        if n > 2 and not x[0].islower() and x[0] != "(":
+        if stop:
+            seen[i] = 13
+        elif n > 2 and not x[0].islower() and x[0] != "(":
             seen[i] = 7 + place
         elif n:
             seen[i] = 9 + place
@@ -454,15 +481,13 @@ class Repair:
         rows = rows.where(F.col("text").isNotNull())
         self.words = cut(word_counts(rows))
         self.fixes = cut(corrections(self.words))
-        repeats = cut(repeated_lines(rows))
-        few = repeats.count() <= BROADCAST_FILES
-        self.rows = rows.withColumn("file_key", F.xxhash64("file")).join(F.broadcast(repeats) if few else repeats, "file_key", "left").select("id", "page", "text", "repeats")
+        self.rows = with_repeats(rows).select("id", "page", "text", "repeats")
         sc = rows.sparkSession.sparkContext
         common = frozenset(r[0] for r in self.words.where(r"word RLIKE '^\\p{L}+$'").orderBy(F.desc("n"), "word").limit(COMMON)
                            .join(self.fixes, "word", "left_anti").select("word").collect())
         self.common = sc.broadcast(common)
-        n = rows.count()
-        some = self.rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(1e6 * min(1, sample / max(n, 1))) + 1)
+        share = min(1, sample / max(rows.count(), 1))
+        some = self.rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(10**15)) < int(10**15 * share))
         self.model = sc.broadcast(LineModel().refit(self._observed(some)))
         self.found = cut(self._items())
 

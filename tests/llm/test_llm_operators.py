@@ -157,8 +157,26 @@ def test_scan_words_of_two_characters(spark):
     assert fixed["f-p40"] == "Perda NO 45 berlaku di kota dan ke desa. Pasal 6A dan Pasal 5C dan 0a."
 
 
+@pytest.mark.parametrize("most", [2_000, 0])  # by file, by text
+def test_scan_headers_with_a_final_stop(spark, monkeypatch, most):
+    monkeypatch.setattr(scans, "FILE_LINES", most)
+    rng = random.Random(12)
+    header = "Lembaran Daerah Kota Mekin No. 4."
+    body = lambda: "\n".join([sentence(rng, 9) for _ in range(5)] + ["berlaku pula ketentuan Pasal 4 ayat", "(3)."])
+    texts = [f"{header}\n{body()}" if i != 2 else f"{header}\n{body()}\nhal. 3" for i in range(6)]
+    rows = spark.createDataFrame([(f"f-p{i + 1}", "f", i + 1, x) for i, x in enumerate(texts)] + [("g-p1", "g", 1, sentence(rng))], "id string, file string, page int, text string")
+    got = {(r.id, r.item) for r in scans.Repair(rows).items().where("kind IN ('header', 'page_number')").collect()}
+    assert got == {(f"f-p{i}", header) for i in range(1, 7)} | {("f-p3", "3")}
+
+
+def test_scan_systematic_misreadings(spark):
+    w = [("sistem", 50_000), ("sisfem", 200), ("tarif", 900), ("larif", 400), ("daerah", 90_000), ("claerah", 9), ("wajib", 30_000), ("vvajib", 3), ("lainnya", 1_000_000)]
+    df = spark.createDataFrame(w, "word string, n long")
+    assert {tuple(r) for r in scans.corrections(df).collect()} == {("sisfem", "sistem"), ("claerah", "daerah"), ("vvajib", "wajib")}
+
+
 @settings(max_examples=50, deadline=None)
-@given(st.text(alphabet="abcehiklmnorstu", min_size=1, max_size=12), st.randoms())
+@given(st.text(alphabet="abcdehiklmnorstuvwy", min_size=1, max_size=12), st.randoms())
 def test_skeleton_is_blind_to_confusions(word, rng):
     seen = "".join(rng.choice([c, *scans.CONFUSIONS.get(c, [])]) for c in word)
     assert scans.skeleton(seen) == scans.skeleton(word) and scans.misreading(seen, word) is not None
