@@ -2,16 +2,22 @@
 
 An inverted file of coarse centroids with product-quantised residuals. A vector is normalised, assigned to its
 nearest centroid, and its residual coded by one byte per subspace. A query visits the lists of its ``probes`` nearest
-centroids; within a list its distance to every code is summed from a table (query part x codebook). The best ``rerank`` of the
-list are compared exactly, then every other row whose summed distance and quantisation error allow it to be as near as the
+centroids; within a list its inner product with every code is summed from a table (query part x codebook); for many queries at once these
+sums are taken as one product with the decoded rows, which is the same number. The best ``rerank`` of the
+list are compared exactly, then every other row whose sum and quantisation error allow it to be as near as the
 k-th of these; the best of all visited lists are merged.
 
+How many lists must be visited depends on how the vectors lie. It is measured when the index is fitted: the exact neighbours of some
+sampled rows among the sample, and, where a least cosine is asked for, rows turned away by just that, tell at which
+place among a query's centroids the list of a neighbour stands; ``probes`` is the place that covers ``recall`` of them. So clustered vectors
+and near duplicates take a few lists at any size, and the cost of a query grows with the length of a list, the root of the number of rows.
+
 Vectors of the same direction are one class, of which one is indexed and searched; ranks are given after the classes are expanded
 to their lowest keys. A row of a class with more than ``k`` others has its answer in the class and searches nothing.
 
-Centroids and codebooks are fitted on a bounded sample (``sample`` rows, the lowest hashes of the row key); every row
-is indexed and every query row is answered. Lists are dealt to tasks by a list number and a salt: a list that holds a third of
-all rows is cut into parts of about ``part`` rows, each of which meets the list's queries in blocks of its own.
+Centroids and codebooks are fitted on a bounded sample (at most ``sample`` rows, the lowest hashes of the row key); every row
+is indexed and every query row is answered. There are 2 sqrt(rows) lists, one for 16 sampled rows at most. A list that holds a third of
+all rows is cut into parts of about ``part`` rows, and its queries into blocks of as many; each part meets each block in a task of its own.
 """
 
 from __future__ import annotations
@@ -64,6 +70,21 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return c
 
 
+def two_level(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """``k`` centroids; many are found within coarse clusters, as many in each as it has rows, and moved once among all."""
+    if k <= 1_024:
+        return kmeans(x, k, 8, seed)
+    top = kmeans(x, int(k**0.5), 8, seed)
+    of = nearest(x, top)
+    fine = [kmeans(x[of == i], max(1, round(k * (of == i).sum() / len(x))), 6, seed + 1 + i) for i in range(len(top)) if (of == i).any()]
+    c = np.concatenate(fine)
+    of = nearest(x, c)
+    n = np.bincount(of, minlength=len(c))
+    order, full = np.argsort(of, kind="stable"), n > 0
+    c[full] = np.add.reduceat(x[order], (np.cumsum(n) - n)[full]) / n[full, None]
+    return c
+
+
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     out = np.empty(len(x), dtype=np.int64)
     half = (c * c).sum(1) / 2
@@ -76,7 +97,7 @@ class Quantiser:
     """Coarse centroids, and codebooks of the residuals' subspaces."""
 
     def __init__(self, sample: np.ndarray, lists: int, subspaces: int, codes: int, seed: int) -> None:
-        self.centroids = kmeans(sample, lists, 8, seed).astype(np.float32)
+        self.centroids = two_level(sample, lists, seed).astype(np.float32)
         rest = (sample - self.centroids[nearest(sample, self.centroids)]).astype(np.float32)
         self.subspaces, self.width = subspaces, sample.shape[1] // subspaces
         self.books = [kmeans(rest[: 40 * codes, self.part(s)], codes, 6, seed + 1 + s).astype(np.float32) for s in range(subspaces)]
@@ -88,35 +109,75 @@ class Quantiser:
         rest = (x - self.centroids[of]).astype(np.float32)
         return np.stack([nearest(rest[:, self.part(s)], b) for s, b in enumerate(self.books)], axis=1).astype(np.uint8)
 
+    def decode(self, of: np.ndarray | int, codes: np.ndarray) -> np.ndarray:
+        return self.centroids[of] + np.concatenate([b[codes[:, s]] for s, b in enumerate(self.books)], axis=1)
+
     def errors(self, x: np.ndarray, of: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Length of what the codes leave of each row: no inner product with a unit vector is further off."""
-        near = self.centroids[of] + np.concatenate([b[codes[:, s]] for s, b in enumerate(self.books)], axis=1)
-        return np.linalg.norm(x - near, axis=1).astype(np.float32)
+        return np.linalg.norm(x - self.decode(of, codes), axis=1).astype(np.float32)
 
     def probes(self, x: np.ndarray, n: int) -> np.ndarray:
         n = min(n, len(self.centroids))
         d = x @ self.centroids.T - (self.centroids**2).sum(1) / 2
         return np.argpartition(-d, n - 1, axis=1)[:, :n]
 
-    def scores(self, q: np.ndarray, codes: np.ndarray, of: int) -> np.ndarray:
-        """Asymmetric inner products of queries with the coded rows of list ``of``."""
+    def places(self, q: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """Which place, from 0, each query's given list has among its nearest centroids."""
+        out = np.empty(len(q), dtype=np.int64)
+        half = (self.centroids**2).sum(1) / 2
+        for lo in range(0, len(q), 1024):
+            d = q[lo : lo + 1024].astype(np.float32) @ self.centroids.T - half
+            own = d[np.arange(len(d)), lists[lo : lo + 1024]]
+            out[lo : lo + 1024] = (d > own[:, None]).sum(1)
+        return out
+
+    def scores(self, q: np.ndarray, codes: np.ndarray, of: int, decoded: np.ndarray | None = None) -> np.ndarray:
+        """Asymmetric inner products of queries with the coded rows of list ``of``, from tables or from the decoded rows."""
+        if decoded is not None:
+            return q @ decoded.T
         out = np.broadcast_to((q @ self.centroids[of])[:, None], (len(q), len(codes))).astype(np.float32)
         for s, b in enumerate(self.books):
             out += (q[:, self.part(s)] @ b.T)[:, codes[:, s]]
         return out
 
 
-def fit(vectors: DataFrame, key: str, embedding: str, dim: int, rows: int, sample: int, subspaces: int, codes: int, seed: int, real: type = np.float32) -> Quantiser:
-    """Fit on at most ``sample`` rows, those with the lowest key hashes; about 2 sqrt(rows) lists, at most sample / 16."""
-    got = vectors.select(F.xxhash64(key, F.lit(seed)).alias("h"), embedding).orderBy("h").limit(sample).toArrow()
+def fit(vectors: DataFrame, key: str, embedding: str, dim: int, rows: int, sample: int, subspaces: int, codes: int, seed: int,
+        real: type = np.float32) -> tuple[Quantiser, np.ndarray]:
+    """(index model, sampled unit vectors): 40,000 rows or 16 for each of 2 sqrt(rows) lists, at most ``sample``, those with the lowest key hashes."""
+    lists = max(1, int(min(2 * rows**0.5, sample / 16)))
+    got = vectors.select(F.xxhash64(key, F.lit(seed)).alias("h"), embedding).orderBy("h").limit(min(sample, max(40_000, 16 * lists))).toArrow()
     x = unit(np.frombuffer(b"".join(got.column(embedding).to_pylist()), dtype=real).reshape(-1, dim))
-    lists = int(max(1, min(2 * rows**0.5, len(x) / 16)))
-    return Quantiser(x, lists, subspaces, min(codes, len(x)), seed)
+    return Quantiser(x, max(1, min(lists, len(x) // 16)), subspaces, min(codes, len(x)), seed), x
 
 
-def share(lists: int) -> int:
-    """How many of ``lists`` a query visits: a twenty-fifth, 16 at least."""
-    return max(16, -(-lists // 25))
+def needed_probes(model: Quantiser, x: np.ndarray, k: int, floor: float, recall: float, seed: int, queries: int = 1_000) -> int:
+    """How many lists a query visits to meet ``recall`` of its neighbours, measured on the sampled unit vectors ``x``.
+
+    Neighbours are the ``k`` nearest in the sample, with a cosine of ``floor`` at least. For a positive floor there are also, for every query,
+    four rows turned away from it at random by just the floor, and the larger number counts.
+    """
+    rng = np.random.default_rng(seed)
+    ask = rng.choice(len(x), min(queries, len(x)), replace=False)
+    q, of = x[ask], nearest(x, model.centroids)
+    k = min(k, len(x) - 1)
+    places = []
+    if k > 0:
+        pairs, of_k = [], []
+        for lo in range(0, len(q), 256):
+            cos = q[lo : lo + 256] @ x.T
+            cos[np.arange(len(cos)), ask[lo : lo + 256]] = -2
+            top = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+            row, col = np.nonzero(np.take_along_axis(cos, top, 1) >= floor)
+            pairs.append(lo + row)
+            of_k.append(of[top[row, col]])
+        places.append(model.places(q[np.concatenate(pairs)], np.concatenate(of_k)))
+    if floor > 0:
+        a = np.repeat(q, 4, axis=0)
+        away = rng.normal(size=a.shape)
+        away -= (away * a).sum(1, keepdims=True) * a
+        turned = floor * a + np.sqrt(max(0.0, 1 - floor**2)) * away / np.linalg.norm(away, axis=1, keepdims=True)
+        places.append(model.places(a, nearest(turned, model.centroids)))
+    return 1 + max((int(np.quantile(p, recall, method="higher")) for p in places if len(p)), default=len(model.centroids) - 1)
 
 
 def nearest_of_list(q: np.ndarray, own: np.ndarray, base: np.ndarray, scores: np.ndarray, errors: np.ndarray,
@@ -156,11 +217,11 @@ def nearest_of_list(q: np.ndarray, own: np.ndarray, base: np.ndarray, scores: np
 
 
 def most_similar(vectors: DataFrame, key: str = "row_no", embedding: str = "embedding", k: int = 5, dim: int = 64,
-                 probes: int | None = None, rerank: int = 40, sample: int = 40_000, subspaces: int = 16, codes: int = 256,
+                 probes: int | None = None, recall: float = 0.98, rerank: int = 40, sample: int = 400_000, subspaces: int = 16, codes: int = 256,
                  part: int = 20_000, queries: Column | None = None, seed: int = 7, floor: float = -1.0) -> DataFrame:
     """(key, other, cosine, rank): the ``k`` most similar other valid rows of each valid row, ties by lower key.
 
-    ``probes`` lists are visited, by default a twenty-fifth of them and 16 at least; more raise recall and cost.
+    ``probes`` lists are visited, by default as many as ``recall`` needs on the sample; more raise recall and cost.
     ``queries`` restricts the rows asked for; all rows are searched. Only rows with a cosine of ``floor`` or more are given.
     Invalid vectors (null, of other length, with null, NaN
     or infinite numbers, all zero) are neither asked for nor found. Several rows of one key count as one (any of
@@ -191,8 +252,8 @@ def most_similar(vectors: DataFrame, key: str = "row_no", embedding: str = "embe
     schema = f"{key} {kind}, other {kind}, cosine double, rank int"
     if not count:
         return spark.createDataFrame([], schema)
-    fitted = fit(classes, "key", "v", dim, count, sample, subspaces, codes, seed, real)
-    probes = probes or share(len(fitted.centroids))
+    fitted, sampled = fit(classes, "key", "v", dim, count, sample, subspaces, codes, seed, real)
+    probes = probes or needed_probes(fitted, sampled, k, floor, recall, seed)
     model = spark.sparkContext.broadcast(fitted)
 
     def unpack(v: pd.Series) -> np.ndarray:
@@ -210,14 +271,16 @@ def most_similar(vectors: DataFrame, key: str = "row_no", embedding: str = "embe
 
     indexed = cut(classes.select("key", "v", "ask").mapInPandas(
         index, f"key {kind}, list int, ask boolean, v binary, code binary, error float, probe array<int>"))
-    # Long lists are cut into parts; a query meets each part of a list it visits.
-    sizes = indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
-    stored = indexed.join(F.broadcast(sizes), "list").select(
-        "list", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), "key", "v", "code", "error")
-    asked = (
-        indexed.where("ask").select(F.col("key").alias("q_key"), F.col("v").alias("q_v"), F.explode("probe").alias("list")).join(F.broadcast(sizes), "list")
-        .select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "q_key", "q_v")
-    )
+    # Long lists are cut into parts and much asked ones into blocks of queries; each part meets each block. At most a row per list.
+    chunks = lambda: F.ceil(F.count(F.lit(1)) / part).cast("int")
+    sizes = indexed.groupBy("list").agg(chunks().alias("parts"))
+    probing = indexed.where("ask").select(F.col("key").alias("q_key"), F.col("v").alias("q_v"), F.explode("probe").alias("list"))
+    asks = probing.groupBy(F.col("list").alias("__list")).agg(chunks().alias("blocks"))
+    sizes = F.broadcast(cut(sizes.join(F.broadcast(asks), F.col("list") == F.col("__list")).drop("__list")))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    stored = indexed.join(sizes, "list").select("list", dealt("key", "parts").alias("part"), each("blocks").alias("block"), "key", "v", "code", "error")
+    asked = probing.join(sizes, "list").select("list", each("parts").alias("part"), dealt("q_key", "blocks").alias("block"), "q_key", "q_v")
 
     def search(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         m: Quantiser = model.value
@@ -228,15 +291,16 @@ def most_similar(vectors: DataFrame, key: str = "row_no", embedding: str = "embe
         codes_ = np.frombuffer(b"".join(left["code"]), dtype=np.uint8).reshape(len(left), -1)
         ask, of = right["q_key"].to_numpy(), int(left["list"].iloc[0])
         own = pd.Index(ids).get_indexer(ask)
+        decoded = m.decode(of, codes_) if len(ask) > 16 else None
         out = []
         block = max(1, min(2048, CELLS // len(left)))
         for lo in range(0, len(right), block):
             q = unpack(right["q_v"].iloc[lo : lo + block])
-            row, col, cos = nearest_of_list(q, own[lo : lo + block], base, m.scores(q.astype(np.float32), codes_, of), errors, k, rerank, floor)
+            row, col, cos = nearest_of_list(q, own[lo : lo + block], base, m.scores(q.astype(np.float32), codes_, of, decoded), errors, k, rerank, floor)
             out.append(pd.DataFrame({"key": ask[lo : lo + block][row], "other": ids[col], "cosine": cos}))
         return pd.concat(out)
 
-    found = stored.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInPandas(
+    found = stored.groupBy("list", "part", "block").cogroup(asked.groupBy("list", "part", "block")).applyInPandas(
         search, f"key {kind}, other {kind}, cosine double")
     w = Window.partitionBy("key").orderBy(F.desc("cosine"), F.asc("other"))
     best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")

@@ -148,7 +148,7 @@ c AS (SELECT a.row_no AS a, b.row_no AS b, round(list_dot_product(a.e, b.e), 12)
 k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS k FROM c)
 SELECT DISTINCT least(a, b) AS row_a, greatest(a, b) AS row_b FROM k WHERE k <= 5 AND cosine >= 0.85""")
 def p3_found(spark, d):
-    near = neighbours.most_similar(table(spark, d, "chunk_vectors"), floor=0.85)
+    near = neighbours.most_similar(table(spark, d, "chunk_vectors"), floor=0.85, recall=0.99)
     return near.select(F.least("row_no", "other").alias("row_a"), F.greatest("row_no", "other").alias("row_b")).distinct()
 
 

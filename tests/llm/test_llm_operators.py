@@ -104,9 +104,37 @@ def test_neighbours_of_copies_and_dense_clusters(spark):
     assert {(r.row_no, r.other, r["rank"]) for r in some} == {t for t in true if t[0] % 50 == 0}
 
 
-def test_probes_are_a_fixed_share():
-    assert neighbours.share(100) == 16
-    assert all(neighbours.share(n) * 25 >= n for n in range(1, 5000))
+def test_hot_lists_are_dealt(spark):
+    """Half of all rows near one centroid, cut into parts and blocks: nothing is lost, and no task holds more than about a part."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1200, 16))
+    x[::2] = x[0] + rng.normal(scale=0.05, size=(600, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "row_no long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    true = {(i, j) for i in range(0, 1200, 7) for j in np.argsort(-s[i], kind="stable")[:3].tolist()}
+    got = neighbours.most_similar(df, k=3, dim=16, subspaces=4, codes=16, sample=48, probes=3, part=40, queries=F.col("row_no") % 7 == 0).collect()
+    assert {(r.row_no, r.other) for r in got} == true  # 3 lists, all visited
+
+
+def test_tables_and_decoded_rows_give_the_same_sums():
+    rng = np.random.default_rng(7)
+    x = neighbours.unit(rng.normal(size=(500, 16)))
+    m = neighbours.Quantiser(x, 6, 4, 16, 1)
+    of = neighbours.nearest(x, m.centroids)
+    rows = np.flatnonzero(of == 2)
+    codes = m.encode(x[rows], of[rows])
+    q = x[:50].astype(np.float32)
+    assert np.allclose(m.scores(q, codes, 2), m.scores(q, codes, 2, m.decode(2, codes)), atol=1e-5)
+
+
+def test_probes_follow_the_data():
+    rng = np.random.default_rng(8)
+    loose = neighbours.unit(rng.normal(size=(4000, 32)))
+    tight = neighbours.unit(np.repeat(rng.normal(size=(400, 32)), 10, axis=0) + rng.normal(scale=0.1, size=(4000, 32)))
+    need = {n: neighbours.needed_probes(neighbours.Quantiser(x, 128, 8, 64, 1), x, 5, -1.0, 0.98, 1) for n, x in (("loose", loose), ("tight", tight))}
+    assert need["tight"] <= 4 < need["loose"] <= 128
 
 
 # ---- problem 4
