@@ -16,8 +16,11 @@ Vectors of the same direction are one class, of which one is indexed and searche
 to their lowest keys. A row of a class with more than ``k`` others has its answer in the class and searches nothing.
 
 Centroids and codebooks are fitted on a bounded sample (at most ``sample`` rows, the lowest hashes of the row key); every row
-is indexed and every query row is answered. There are 2 sqrt(rows) lists, one for 16 sampled rows at most. A list that holds a third of
+is indexed and every query row is answered. There are 2 sqrt(rows) lists, one for 16 sampled rows at most. Neighbouring lists are put together to
+shards of about ``part`` rows, fewer where there are tasks to spare; a query travels once to each shard of which it visits a list, and brings
+back its ``k`` best. A shard that holds a third of
 all rows is cut into parts of about ``part`` rows, and its queries into blocks of as many; each part meets each block in a task of its own.
+Vectors travel as half-precision numbers where that loses nothing.
 """
 
 from __future__ import annotations
@@ -141,12 +144,31 @@ class Quantiser:
         return out
 
 
+def pack(x: np.ndarray) -> list[bytes]:
+    """The rows as bytes: in half precision where that is exact, else as they are."""
+    with np.errstate(over="ignore"):
+        half = x.astype(np.float16)
+    exact = (half == x).all(axis=1)
+    return [h.tobytes() if e else r.tobytes() for h, r, e in zip(half, x, exact)]
+
+
+def unpack(v: list[bytes] | pd.Series, dim: int, real: type) -> np.ndarray:
+    """Unit vectors of what :func:`pack` gave."""
+    v = list(v)
+    short = np.fromiter((len(b) == 2 * dim for b in v), bool, len(v))
+    out = np.empty((len(v), dim))
+    for kind, rows in ((np.float16, np.flatnonzero(short)), (real, np.flatnonzero(~short))):
+        if len(rows):
+            out[rows] = np.frombuffer(b"".join(v[i] for i in rows), dtype=kind).reshape(-1, dim)
+    return unit(out)
+
+
 def fit(vectors: DataFrame, key: str, embedding: str, dim: int, rows: int, sample: int, subspaces: int, codes: int, seed: int,
         real: type = np.float32) -> tuple[Quantiser, np.ndarray]:
     """(index model, sampled unit vectors): 40,000 rows or 16 for each of 2 sqrt(rows) lists, at most ``sample``, those with the lowest key hashes."""
     lists = max(1, int(min(2 * rows**0.5, sample / 16)))
     got = vectors.select(F.xxhash64(key, F.lit(seed)).alias("h"), embedding).orderBy("h").limit(min(sample, max(40_000, 16 * lists))).toArrow()
-    x = unit(np.frombuffer(b"".join(got.column(embedding).to_pylist()), dtype=real).reshape(-1, dim))
+    x = unpack(got.column(embedding).to_pylist(), dim, real)
     return Quantiser(x, max(1, min(lists, len(x) // 16)), subspaces, min(codes, len(x)), seed), x
 
 
@@ -235,14 +257,15 @@ def most_similar(vectors: DataFrame, key: str = "row_no", embedding: str = "embe
         (queries if queries is not None else F.lit(True)).alias("ask"))
     real = np.float32 if vectors.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                x = np.round(unit(np.stack(b["v"].to_numpy())), 12) + 0.0  # no negative zeros
-                yield pd.DataFrame({"key": b["key"], "ask": b["ask"], "v": [r.astype(real).tobytes() for r in b["v"]],
+                v = np.stack(b["v"].to_numpy()).astype(real)
+                x = np.round(unit(v), 12) + 0.0  # no negative zeros
+                yield pd.DataFrame({"key": b["key"], "ask": b["ask"], "v": pack(v),
                                     "same": [xxhash.xxh3_128_digest(r.tobytes()) for r in x]})
 
-    rows = cut(vectors.dropDuplicates(["key"]).mapInPandas(pack, f"key {kind}, ask boolean, v binary, same binary"))
+    rows = cut(vectors.dropDuplicates(["key"]).mapInPandas(packed, f"key {kind}, ask boolean, v binary, same binary"))
     # The lowest keys of a class, with whether they ask: all of them in a class of up to k.
     first = Window.partitionBy("same").orderBy("key")
     classes = cut(rows.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k + 1).groupBy("same").agg(
@@ -255,52 +278,81 @@ def most_similar(vectors: DataFrame, key: str = "row_no", embedding: str = "embe
     fitted, sampled = fit(classes, "key", "v", dim, count, sample, subspaces, codes, seed, real)
     probes = probes or needed_probes(fitted, sampled, k, floor, recall, seed)
     model = spark.sparkContext.broadcast(fitted)
-
-    def unpack(v: pd.Series) -> np.ndarray:
-        return unit(np.frombuffer(b"".join(v), dtype=real).reshape(len(v), dim))
+    shards = max(-(-count // part), min(4 * spark.sparkContext.defaultParallelism, count // 500))
+    shard_of = nearest(fitted.centroids, two_level(fitted.centroids, max(1, min(shards, len(fitted.centroids))), seed))
+    # Large shards are cut into parts and much asked ones into blocks of queries; each part meets each block. How many follows from the sample.
+    own, seen = shard_of[nearest(sampled, fitted.centroids)], np.zeros(shard_of.max() + 1)
+    for lo in range(0, len(sampled), 1024):
+        near = shard_of[fitted.probes(sampled[lo : lo + 1024], probes)]
+        seen += np.bincount(np.concatenate([np.unique(x) for x in near]), minlength=len(seen))
+    many = lambda n, rows: np.maximum(1, np.ceil(n / len(sampled) * rows / part)).astype(np.int32)
+    parts, blocks = many(np.bincount(own, minlength=len(seen)), count), many(seen, classes.where("ask").count())
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m: Quantiser = model.value
         for b in batches:
             if len(b):
-                x = unpack(b["v"])
+                x = unpack(b["v"], dim, real)
                 of = nearest(x, m.centroids)
                 code = m.encode(x, of)
-                yield pd.DataFrame({"key": b["key"], "list": of, "ask": b["ask"], "v": b["v"], "code": [c.tobytes() for c in code],
-                                    "error": m.errors(x, of, code), "probe": list(m.probes(x, probes))})
-
-    indexed = cut(classes.select("key", "v", "ask").mapInPandas(
-        index, f"key {kind}, list int, ask boolean, v binary, code binary, error float, probe array<int>"))
-    # Long lists are cut into parts and much asked ones into blocks of queries; each part meets each block. At most a row per list.
-    chunks = lambda: F.ceil(F.count(F.lit(1)) / part).cast("int")
-    sizes = indexed.groupBy("list").agg(chunks().alias("parts"))
-    probing = indexed.where("ask").select(F.col("key").alias("q_key"), F.col("v").alias("q_v"), F.explode("probe").alias("list"))
-    asks = probing.groupBy(F.col("list").alias("__list")).agg(chunks().alias("blocks"))
-    sizes = F.broadcast(cut(sizes.join(F.broadcast(asks), F.col("list") == F.col("__list")).drop("__list")))
+                yield pd.DataFrame({"shard": shard_of[of], "parts": parts[shard_of[of]], "blocks": blocks[shard_of[of]], "list": of, "key": b["key"], "v": b["v"],
+                                    "code": [c.tobytes() for c in code], "error": m.errors(x, of, code)})
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m: Quantiser = model.value
+        for b in batches:
+            for lo in range(0, len(b), 2048):
+                some = b.iloc[lo : lo + 2048]
+                near = m.probes(unpack(some["v"], dim, real), probes)
+                near = np.take_along_axis(near, np.argsort(shard_of[near], axis=1, kind="stable"), 1)
+                shard, row = shard_of[near].ravel(), np.repeat(np.arange(len(some)), near.shape[1])
+                edge = np.flatnonzero((np.diff(shard, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+                flat, ends = near.ravel().astype(np.int32).tobytes(), [*(edge[1:] * 4).tolist(), near.size * 4]
+                yield pd.DataFrame({"shard": shard[edge], "parts": parts[shard[edge]], "blocks": blocks[shard[edge]], "q_key": some["key"].to_numpy()[row[edge]],
+                                    "q_v": some["v"].to_numpy()[row[edge]], "lists": [flat[a:z] for a, z in zip((edge * 4).tolist(), ends)]})
+
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    stored = indexed.join(sizes, "list").select("list", dealt("key", "parts").alias("part"), each("blocks").alias("block"), "key", "v", "code", "error")
-    asked = probing.join(sizes, "list").select("list", each("parts").alias("part"), dealt("q_key", "blocks").alias("block"), "q_key", "q_v")
+    stored = classes.select("key", "v").mapInPandas(index, f"shard int, parts int, blocks int, list int, key {kind}, v binary, code binary, error float").select(
+        "shard", dealt("key", "parts").alias("part"), each("blocks").alias("block"), "list", "key", "v", "code", "error")
+    asked = classes.where("ask").select("key", "v").mapInPandas(visit, f"shard int, parts int, blocks int, q_key {kind}, q_v binary, lists binary").select(
+        "shard", each("parts").alias("part"), dealt("q_key", "blocks").alias("block"), "q_key", "q_v", "lists")
 
     def search(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         m: Quantiser = model.value
+        none = pd.DataFrame({"key": [], "other": [], "cosine": []})
         if not len(left) or not len(right):
-            return pd.DataFrame({"key": [], "other": [], "cosine": []})
-        left = left.sort_values("key", kind="stable")
-        base, ids, errors = unpack(left["v"]), left["key"].to_numpy(), left["error"].to_numpy()
+            return none
+        left = left.sort_values(["list", "key"], kind="stable")
+        base, ids, errors, lists = unpack(left["v"], dim, real), left["key"].to_numpy(), left["error"].to_numpy(), left["list"].to_numpy()
         codes_ = np.frombuffer(b"".join(left["code"]), dtype=np.uint8).reshape(len(left), -1)
-        ask, of = right["q_key"].to_numpy(), int(left["list"].iloc[0])
+        ask, q = right["q_key"].to_numpy(), unpack(right["q_v"], dim, real)
         own = pd.Index(ids).get_indexer(ask)
-        decoded = m.decode(of, codes_) if len(ask) > 16 else None
-        out = []
-        block = max(1, min(2048, CELLS // len(left)))
-        for lo in range(0, len(right), block):
-            q = unpack(right["q_v"].iloc[lo : lo + block])
-            row, col, cos = nearest_of_list(q, own[lo : lo + block], base, m.scores(q.astype(np.float32), codes_, of, decoded), errors, k, rerank, floor)
-            out.append(pd.DataFrame({"key": ask[lo : lo + block][row], "other": ids[col], "cosine": cos}))
-        return pd.concat(out)
-
-    found = stored.groupBy("list", "part", "block").cogroup(asked.groupBy("list", "part", "block")).applyInPandas(
+        wanted = np.frombuffer(b"".join(right["lists"]), dtype=np.int32)
+        by = np.repeat(np.arange(len(ask)), [len(x) // 4 for x in right["lists"]])
+        order = np.argsort(wanted, kind="stable")
+        wanted, by = wanted[order], by[order]
+        out: list[list[np.ndarray]] = [[], [], []]
+        for of in np.unique(lists):
+            lo, hi = np.searchsorted(lists, [of, of + 1])
+            visiting = by[slice(*np.searchsorted(wanted, [of, of + 1]))]
+            decoded = m.decode(of, codes_[lo:hi]) if len(visiting) > 16 else None
+            block = max(1, min(2048, CELLS // int(hi - lo)))
+            for at in range(0, len(visiting), block):
+                some = visiting[at : at + block]
+                mine = np.where((own[some] >= lo) & (own[some] < hi), own[some] - lo, -1)
+                row, col, cos = nearest_of_list(q[some], mine, base[lo:hi], m.scores(q[some].astype(np.float32), codes_[lo:hi], of, decoded), errors[lo:hi], k, rerank, floor)
+                for x, y in zip(out, (some[row], lo + col, cos)):
+                    x.append(y)
+        if not out[0]:
+            return none
+        row, col, cos = (np.concatenate(x) for x in out)
+        order = np.lexsort((ids[col], -cos, row))
+        row, col, cos = row[order], col[order], cos[order]
+        top = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return pd.DataFrame({"key": ask[row[top]], "other": ids[col[top]], "cosine": cos[top]})
+
+    found = stored.groupBy("shard", "part", "block").cogroup(asked.groupBy("shard", "part", "block")).applyInPandas(
         search, f"key {kind}, other {kind}, cosine double")
     w = Window.partitionBy("key").orderBy(F.desc("cosine"), F.asc("other"))
     best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
