@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -79,7 +80,7 @@ def fallback_analysis(questions: DataFrame) -> DataFrame:
 def parse_analysis(reply: Column) -> Column:
     """A model's reply as a struct: the text from its first to its last brace, read as JSON; an unknown intent becomes general."""
     schema = "intent string, sub_queries array<string>, id_keywords array<string>, hyde array<string>, category_filter array<string>"
-    parsed = F.from_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0), schema)
+    parsed = F.from_json(json_part(reply), schema)
     none = F.array().cast("array<string>")
     intent = F.when(parsed["intent"].isin(*C.STRATEGIES), parsed["intent"]).otherwise("general")
     return F.struct(intent.alias("intent"), *[F.coalesce(parsed[c], none).alias(c) for c in ("sub_queries", "id_keywords", "hyde", "category_filter")])
@@ -103,6 +104,41 @@ def expand(analysis: DataFrame, key: str) -> DataFrame:
     return every.where(F.trim("query") != "").withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= C.MAX_QUERIES).select(key, "label", "query", "place")
 
 
+def complete(prompt: Column, completer: Completer) -> Column:
+    """The reply to every prompt; null where the model fails, so that one failure ends no job."""
+
+    @F.pandas_udf("string")
+    def run(prompts: pd.Series) -> pd.Series:
+        def one(p):
+            try:
+                return None if p is None else completer(p)
+            except Exception:  # noqa: BLE001 - a model may raise anything
+                return None
+
+        return prompts.map(one)
+
+    return run(prompt)
+
+
+def json_part(reply: Column) -> Column:
+    """The text from a reply's first to its last brace."""
+    return F.regexp_extract(reply, r"(?s)\{.*\}", 0)
+
+
+def rerank_scores(pool: DataFrame, completer: Completer) -> DataFrame:
+    """(query_id, id, score, reason) that a model gives to the rows of each query's pool, asked once for all of them.
+
+    ``pool`` holds (query_id, question, idx, id, block): the rows numbered from 0 in the pool's order, at most some dozens. Entries without a number or
+    score are dropped, of repeated ones the last counts; a reply that can't be read gives none.
+    """
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "block"))), lambda x: F.concat(F.lit("["), x["idx"], F.lit("] "), x["block"])), "\n\n")
+    prompt = pool.groupBy("query_id").agg(F.concat(F.lit("Question:\n"), F.max("question"), F.lit("\n\n"), text).alias("prompt"))
+    reply = F.from_json(json_part(complete(F.col("prompt"), completer)), "scores array<struct<idx: int, score: double, reason: string>>")
+    given = prompt.select("query_id", F.posexplode(reply["scores"]).alias("n", "s")).where("s.idx IS NOT NULL AND s.score IS NOT NULL")
+    last = given.groupBy("query_id", "s.idx").agg(F.max_by("s", "n").alias("s"))
+    return last.select("query_id", "idx", "s.score", F.left("s.reason", F.lit(200)).alias("reason")).join(pool.select("query_id", "idx", "id"), ["query_id", "idx"]).drop("idx")
+
+
 def extractive_answer(context: DataFrame, key: str, sentences: int = 3) -> DataFrame:
     """(key, answer): without a model, the first sentence of each of the best chunks, with its citation."""
     first = F.regexp_extract(clean_chunk(F.col("text")), r"(?s)^(.*?[.!?])(\s|$)", 1)
@@ -113,12 +149,13 @@ def extractive_answer(context: DataFrame, key: str, sentences: int = 3) -> DataF
 
 
 def overlap_scorer(questions: list[str], texts: list[str]) -> np.ndarray:
-    """A scorer without a model: the share of a question's words that the text has."""
+    """A scorer without a model: the share of a question's words that the text has, to nine places."""
+    words = lambda x: set(re.findall(r"\S+", x.lower(), re.A))
     out = []
     for q, t in zip(questions, texts):
-        a = set(q.lower().split())
-        out.append(len(a & set(t.lower().split())) / len(a) if a else 0.0)
+        a = words(q)
+        out.append(round(len(a & words(t)) / len(a), 9) if a else 0.0)
     return np.array(out)
 
 
-__all__ = ["Completer", "Embedder", "Scorer", "cross_score", "embed", "expand", "extractive_answer", "fallback_analysis", "hashed_embedder", "overlap_scorer", "parse_analysis", "tokens"]
+__all__ = ["Completer", "Embedder", "Scorer", "complete", "cross_score", "embed", "expand", "extractive_answer", "fallback_analysis", "hashed_embedder", "json_part", "overlap_scorer", "parse_analysis", "rerank_scores", "tokens"]

@@ -24,8 +24,9 @@ def nearest(queries: DataFrame, rows: DataFrame, n: int, group: str | None = Non
     """(query_id, id, group, dist, rank): per query and group the ``n`` rows at least cosine distance, ranked from 0.
 
     ``queries`` holds (query_id, embedding), ``rows`` (id, embedding and the group column); both valid vectors. The rows stay
-    where they are: every task keeps the n best of its own rows for each query and group, and only those are
-    shuffled. Distances are rounded to six places before ranking, ties go by id.
+    where they are: every task keeps the n best of its own rows for each query and group over all its batches, and only those are
+    shuffled. Distances are rounded to six places before ranking, ties go by id. Every query is compared with every row, so this is for
+    the few questions of a session; a row's neighbours for all rows are another matter.
     """
     few = queries.select("query_id", "embedding").limit(QUERY_BLOCK + 1).toArrow()
     blocks = 1 if few.num_rows <= QUERY_BLOCK else -(-queries.count() // QUERY_BLOCK)
@@ -53,20 +54,25 @@ def nearest(queries: DataFrame, rows: DataFrame, n: int, group: str | None = Non
 def _scan(side, n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q = side.value
-        ids = np.array(ids)
+        ids, best = np.array(ids), {}  # per group the n best so far of every query: (query, distance, key)
         for b in batches:
-            out = []
             for grp, part in b.groupby("grp", sort=False, dropna=False):
-                part = part.sort_values("id", kind="stable")
                 x = np.stack(part["embedding"].to_numpy()).astype(np.float64)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 key = part["id"].to_numpy()
+                held = best.get(grp, (np.empty(0, dtype=np.int64), np.empty(0), np.empty(0, dtype=object)))
+                parts = [held]
                 for lo in range(0, len(q), 256):
                     d = np.round(1 - q[lo : lo + 256] @ x.T, 6) + 0.0
-                    top = np.argsort(d, axis=1, kind="stable")[:, :n]
-                    row = np.repeat(np.arange(len(d)), top.shape[1])
-                    out.append(pd.DataFrame({"query_id": ids[lo + row], "id": key[top.ravel()], "grp": grp, "dist": d[row, top.ravel()]}))
-            if out:
-                yield pd.concat(out)
+                    last = np.partition(d, n - 1, axis=1)[:, n - 1 : n] if d.shape[1] > n else np.inf  # ties with the n-th stay
+                    row, col = np.nonzero(d <= last)
+                    parts.append((lo + row, d[row, col], key[col]))
+                row, dist, key = (np.concatenate(c) for c in zip(*parts))
+                order = np.lexsort((key, dist, row))
+                row, dist, key = row[order], dist[order], key[order]
+                top = np.arange(len(row)) - np.searchsorted(row, row) < n
+                best[grp] = row[top], dist[top], key[top]
+        for grp, (row, dist, key) in best.items():
+            yield pd.DataFrame({"query_id": ids[row], "id": key, "grp": grp, "dist": dist})
 
     return run

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom import config as C
+from paperloom.functions.text import folder_collection
 
 
 def page_penalty(page: Column, factor: float = C.EARLY_PENALTY) -> Column:
@@ -19,6 +20,22 @@ def plain_collection(name: Column) -> Column:
     return F.regexp_replace(name, f"^{C.VERSION_PREFIX}", "")
 
 
+def wanted_collections(names: Column) -> Column:
+    """What a caller's collection names stand for: one with version and prefix in any case as it is, any other as a folder's name. Null stays null."""
+    prefix = C.VERSION_PREFIX + C.COLLECTION_PREFIX
+
+    def one(c: Column) -> Column:
+        plain = F.lower(F.trim(c))
+        return F.when(plain.startswith(prefix), plain).otherwise(F.concat(F.lit(C.VERSION_PREFIX), folder_collection(F.trim(c))))
+
+    return F.transform(names, one)
+
+
+def within(hits: DataFrame, wanted: str = "wanted") -> DataFrame:
+    """The hits in a collection that their question asks for, all where it names none. Ranks stay as they were."""
+    return hits.where(F.col(wanted).isNull() | F.array_contains(F.col(wanted), F.col("collection")))
+
+
 def weighted(hits: DataFrame, weights: DataFrame, auto: Column | None = None) -> DataFrame:
     """Hits with the weight of their collection, 1 where it has none, less for collections the analysis suggests."""
     w = weights.select(F.col("collection").alias("__c"), F.col("weight").alias("__w"))
@@ -109,20 +126,28 @@ def adjusted(cands: DataFrame) -> DataFrame:
     return cands.withColumn("factor", F.round(factor, 6)).withColumn("adjusted", F.round(F.col("score") * F.col("factor"), 6))
 
 
+def cross_cut(cands: DataFrame, cross: Column | None = None) -> DataFrame:
+    """``cands`` with ``top_k`` for their intent and their order ``k`` from 1, cut to 20 or ``top_k``: by ``cross`` if there are more, else as picked."""
+    top_k = F.create_map(*[F.lit(x) for k, v in C.STRATEGIES.items() for x in (k, v[0])])
+    q = Window.partitionBy("query_id")
+    pool = cands.withColumn("top_k", F.try_element_at(top_k, F.col("intent"))).withColumn("cut", F.greatest(F.lit(C.RERANK_CUT), F.col("top_k")))
+    pool = pool.withColumn("over", F.count(F.lit(1)).over(q) > F.col("cut"))
+    order = [F.asc("pick")] if cross is None else [F.desc(F.when(F.col("over"), cross)), F.asc("pick")]
+    return pool.withColumn("k", F.row_number().over(q.orderBy(*order))).where(F.col("k") <= F.col("cut")).drop("over", "cut")
+
+
 def rerank(cands: DataFrame, scores: DataFrame, cross: Column | None = None) -> DataFrame:
     """The top rows of each query by adjusted score: (query_id, id, score, adjusted, place).
 
     ``cands`` holds query_id, id, pick, intent, source, eff; ``scores`` (query_id, id, score), 5 where missing. A pool over the
-    cut is first cut by ``cross`` (a cross-encoder score), or in its order without one. A pool no larger than the answer stays in its order.
+    cut is first cut by ``cross`` (a cross-encoder score), or in its order without one. A pool no larger than the answer stays in its order, and so
+    does one that no score was given for, as when a reply can't be read.
     """
-    top_k = F.create_map(*[F.lit(x) for k, v in C.STRATEGIES.items() for x in (k, v[0])])
     q = Window.partitionBy("query_id")
-    pool = cands.withColumn("top_k", F.try_element_at(top_k, F.col("intent"))).withColumn("cut", F.greatest(F.lit(C.RERANK_CUT), F.col("top_k")))
-    order = [F.desc(cross), F.asc("pick")] if cross is not None else [F.asc("pick")]
-    pool = pool.withColumn("k", F.row_number().over(q.orderBy(*order))).where(F.col("k") <= F.col("cut"))
+    pool = cross_cut(cands, cross)
     pool = pool.join(scores.select("query_id", "id", F.col("score").alias("given")), ["query_id", "id"], "left").withColumn(
         "score", F.coalesce("given", F.lit(C.DEFAULT_SCORE)))
-    small = F.count(F.lit(1)).over(q) <= F.col("top_k")
+    small = (F.count(F.lit(1)).over(q) <= F.col("top_k")) | (F.count("given").over(q) == 0)
     pool = adjusted(pool.withColumn("small", small))
     pool = pool.withColumn("adjusted", F.when(F.col("small"), F.col("score")).otherwise(F.col("adjusted")))
     place = F.row_number().over(q.orderBy(F.when(F.col("small"), F.col("k")), F.desc("adjusted"), "eff", "id"))

@@ -1,19 +1,26 @@
 """Queries over lexical and dense search, fusion and reranking.
 
-Questions are the evaluation items whose number is divisible by 50; a question's vector is the row of
-chunk_vectors numbered item_id - 7000, its intent and suggested collection go round with its number.
+Questions are the evaluation items whose number is divisible by 50. A question is expanded to its sentences, its keywords and its last
+sentences as hypothetical answers; the vector of its n-th expanded query is the row of chunk_vectors numbered item_id - 7000 + n - 1. Intent and
+suggested collection go round with its number, and some questions ask for two collections alone.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperloom import config as C
+from paperloom import models
 from paperloom.functions.text import tokens
 from paperloom.operators import dense, fusion, lexical
 from paperloom.plans.base import CUR, VEC, current, vectors
 from paperloom.plans.registry import core
+from paperloom.session import cut, shared_folder
 from paperloom.sources.tables import table
 
 query = core.query
@@ -26,9 +33,10 @@ BM25 = CUR + rf"""
  raw AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM dfs, stats),
  idfs AS (SELECT term, df, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25::DOUBLE FROM raw) ELSE raw END AS idf FROM raw),
  q AS (SELECT item_id AS query_id, text, ['single_answer', 'article_lookup', 'hierarchy', 'comparison', 'case_application', 'general'][CAST(item_id // 50 % 6 + 1 AS INTEGER)] AS intent,
-   'indonesia_' || ['constitution', 'uu', 'pp', 'perpres', 'permen', 'kepmen', 'perda', 'lainnya'][CAST(item_id // 50 % 8 + 1 AS INTEGER)] AS auto FROM eval_items WHERE item_id % 50 = 0),
+   'indonesia_' || ['constitution', 'uu', 'pp', 'perpres', 'permen', 'kepmen', 'perda', 'lainnya'][CAST(item_id // 50 % 8 + 1 AS INTEGER)] AS auto,
+   CASE WHEN item_id // 50 % 4 = 3 THEN ['v2_indonesia_uu', 'v2_indonesia_permen'] END AS wanted FROM eval_items WHERE item_id % 50 = 0),
  lists AS (SELECT query_id, 0 AS list_no, {TOK.format('text')} AS t FROM q
-   UNION ALL SELECT query_id, 1, list_slice(list_filter({TOK.format('text')}, lambda x: length(x) > 7), 1, 6) FROM q),
+   UNION ALL SELECT query_id, 1, list_slice({TOK.format('text')}, 1, 6) FROM q),
  terms AS (SELECT query_id, list_no, term, count(*) AS qtf FROM (SELECT query_id, list_no, unnest(t) AS term FROM lists) GROUP BY ALL),
  tf AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM toks) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
  bm AS (SELECT query_id, list_no, id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
@@ -42,39 +50,45 @@ def questions(spark, d):
     names = lambda xs: F.array(*[F.lit(x) for x in xs])
     k = F.expr("CAST(item_id div 50 AS int)")
     return q.select(F.col("item_id").alias("query_id"), "text", F.element_at(names(list(C.STRATEGIES)), k % 6 + 1).alias("intent"),
-                    F.concat(F.lit(C.COLLECTION_PREFIX), F.element_at(names(C.COLLECTIONS), k % 8 + 1)).alias("auto"))
+                    F.concat(F.lit(C.COLLECTION_PREFIX), F.element_at(names(C.COLLECTIONS), k % 8 + 1)).alias("auto"),
+                    F.when(k % 4 == 3, fusion.wanted_collections(names(["V2_Indonesia_UU ", "04_Permen"]))).alias("wanted"))
 
 
-def keyword_text(q):
-    """The search text of a question's keywords: its first six longer words."""
-    words = F.slice(F.filter(tokens(F.col("text")), lambda x: F.length(x) > 7), 1, 6)
-    return q.select("query_id", F.array_join(words, " ").alias("text"))
+def expanded(items):
+    """(query_id, label, query, place) of (query_id, text), by sentences and terms in place of a model's analysis."""
+    s = F.transform(F.split("text", r"\. "), F.trim)
+    return models.expand(items.select("query_id", F.trim("text").alias("text"), s.alias("sub_queries"), F.slice(tokens(F.col("text")), 1, 6).alias("id_keywords"),
+                                      F.slice(F.reverse(s), 1, 3).alias("hyde")), "query_id")
 
 
-def docs(spark, d, *keep):
-    return current(spark, d, "id", "text", *keep)
+def index(spark, d):
+    """The lexical index of the current chunks: stored once, read by every search until the chunks change."""
+    chunks = current(spark, d, "id", "text", "line_no")
+    n, version = chunks.agg(F.count(F.lit(1)), F.max("line_no")).first()
+    at = shared_folder(spark, f"lexical-{hashlib.sha1(d.encode()).hexdigest()[:12]}")
+    return lexical.stored(chunks.select("id", "text"), at, f"{n}-{version}")
 
 
 @query("bm25_stats", BM25 + "SELECT n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM dfs) AS terms, (SELECT round(sum(idf), 4) FROM idfs) AS idf_sum FROM stats")
 def bm25_stats(spark, d):
-    x = docs(spark, d)
-    idf = lexical.inverse_frequencies(x).agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("idf"), 4).alias("idf_sum"))
-    return lexical.corpus_stats(x).crossJoin(idf).select("n", F.round("avgdl", 6).alias("avgdl"), "terms", "idf_sum")
+    x = index(spark, d)
+    return x.stats.crossJoin(x.terms.agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("idf"), 4).alias("idf_sum"))).select("n", F.round("avgdl", 6).alias("avgdl"), "terms", "idf_sum")
 
 
 @query("bm25_terms", BM25 + "SELECT term, df, round(idf, 6) AS idf FROM idfs")
 def bm25_terms(spark, d):
-    return lexical.inverse_frequencies(docs(spark, d)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("bm25_postings", BM25 + "SELECT term, id, CAST(dl AS BIGINT) AS dl, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM toks) GROUP BY ALL")
 def bm25_postings(spark, d):
-    return lexical.postings(docs(spark, d)).withColumn("dl", F.col("dl").cast("long"))
+    """The postings as they are read back."""
+    return index(spark, d).postings.select("term", "id", F.col("dl").cast("long").alias("dl"), "tf")
 
 
 @query("bm25_topk", BM25 + "SELECT query_id, id, score, rank FROM hits WHERE list_no = 0 AND rank < 40")
 def bm25_topk(spark, d):
-    return lexical.search(questions(spark, d), docs(spark, d), 40)
+    return lexical.search(questions(spark, d), index(spark, d), 40)
 
 
 @query("bm25_fingerprint", CUR + "SELECT collection, count(*) AS n, max(line_no) AS version FROM cur WHERE collection IS NOT NULL GROUP BY collection")
@@ -130,23 +144,47 @@ def collection_search(spark, d):
     return hits.select("query_id", "id", (F.col("rank") + 1).alias("place"), F.round(1 - F.col("dist"), 3).alias("score"))
 
 
-@query("quota_topk")
+# The choice by quotas as a fold over the rows in the order in which they are looked at: each is taken or left.
+QUOTA = """, w AS (SELECT h.*, coalesce(weight, 1.0::DOUBLE) AS wt, replace(h.collection, 'v2_indonesia_', '') AS plain FROM dhits h LEFT JOIN (SELECT 'v2_' || collection AS collection, weight FROM collection_weights) c ON c.collection = h.collection WHERE rank < 36),
+ e AS (SELECT query_id, id, plain, coalesce(source, '') AS source, coalesce(page, 0) AS page, coalesce(article, '') AS article, dist,
+   round(dist * wt * CASE WHEN coalesce(nullif(page, 0), 99) <= 2 THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END, 12) AS eff FROM w),
+ o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY eff, id) AS i FROM e),
+ looked AS (SELECT query_id, i, concat_ws('|', source, page, article) AS key, CASE plain WHEN 'constitution' THEN 1 WHEN 'uu' THEN 2 ELSE 3 END AS pass, CASE plain WHEN 'constitution' THEN 3 WHEN 'uu' THEN 4 ELSE 2 END AS quota FROM o WHERE plain IN ('constitution', 'uu', 'pp')
+   UNION ALL SELECT query_id, i, concat_ws('|', source, page, article), 4, 12 FROM o),
+ folded AS (SELECT query_id, list_reduce(list_prepend({'i': 0::BIGINT, 'key': '', 'pass': 0, 'quota': 0, 'took': 0, 'chosen': []::BIGINT[], 'seen': []::VARCHAR[]},
+     list({'i': i, 'key': key, 'pass': pass, 'quota': quota, 'took': 0, 'chosen': []::BIGINT[], 'seen': []::VARCHAR[]} ORDER BY pass, i)),
+   lambda a, x: CASE WHEN NOT list_contains(a.seen, x.key) AND CASE WHEN x.pass = 4 THEN len(a.chosen) < 12 ELSE CASE WHEN a.pass = x.pass THEN a.took ELSE 0 END < x.quota END
+     THEN {'i': x.i, 'key': x.key, 'pass': x.pass, 'quota': x.quota, 'took': CASE WHEN a.pass = x.pass THEN a.took ELSE 0 END + 1, 'chosen': list_append(a.chosen, x.i), 'seen': list_append(a.seen, x.key)}
+     ELSE {'i': x.i, 'key': x.key, 'pass': x.pass, 'quota': x.quota, 'took': CASE WHEN a.pass = x.pass THEN a.took ELSE 0 END, 'chosen': a.chosen, 'seen': a.seen} END).chosen[1:12] AS chosen FROM looked GROUP BY query_id),
+ picks AS (SELECT query_id, unnest(chosen) AS i FROM folded)
+SELECT query_id, id, plain, source, CAST(page AS INTEGER) AS page, article, dist, eff, CAST(row_number() OVER (PARTITION BY query_id ORDER BY o.i) AS INTEGER) AS place FROM picks JOIN o USING (query_id, i)"""
+
+
+@query("quota_topk", CUR + DENSE + QUOTA)
 def quota_topk(spark, d):
     q = vectors(spark, d).where("row_no % 50 = 0").select(F.col("row_no").alias("query_id"), "embedding")
     top_k = 12
     return fusion.quota_search(dense_hits(spark, d, q, max(3 * top_k, 20)), table(spark, d, "collection_weights"), top_k)
 
 
-FUSE = BM25 + VEC + """, dvec AS (SELECT unit.id, e, collection FROM unit JOIN cur USING (id) WHERE collection IS NOT NULL),
- dq AS (SELECT query_id, e AS q, CASE intent WHEN 'single_answer' THEN 20 ELSE 30 END AS fetch_n FROM q JOIN unit ON row_no = query_id - 7000),
- dist AS (SELECT query_id, fetch_n, id, collection, round(1 - list_dot_product(q, e), 6) + 0.0::DOUBLE AS dist FROM dq, dvec),
- dh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY dist, id) - 1 AS rank FROM dist) WHERE rank < fetch_n),
+EXPANDED = r"""eq AS (SELECT item_id, list_transform(string_split(text, '. '), lambda x: trim(x)) AS s, trim(text) AS text FROM eval_items),
+ eu AS (SELECT item_id, 0 AS k, 'original' AS label, text AS query FROM eq
+  UNION ALL SELECT item_id, i, 'sub_' || i, s[i] FROM eq, (SELECT unnest(range(1, 5)) AS i) WHERE i <= len(s)
+  UNION ALL SELECT item_id, 5, 'id_keywords', array_to_string(list_slice(regexp_extract_all(lower(text), '[a-z가-힣]+|\d+(?:[/-]\d+)*'), 1, 6), ' ') FROM eq
+  UNION ALL SELECT item_id, 5 + i, 'hyde_' || i, s[len(s) - i + 1] FROM eq, (SELECT unnest(range(1, 4)) AS i) WHERE i <= len(s)),
+ exp AS (SELECT item_id, label, query, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY k) AS place FROM eu WHERE trim(query) <> '') WHERE place <= 10)"""
+
+
+FUSE = BM25 + VEC + ", " + EXPANDED + """, dvec AS (SELECT unit.id, e, collection FROM unit JOIN cur USING (id) WHERE collection IS NOT NULL),
+ dq AS (SELECT query_id, place - 1 AS list_no, e AS q, wanted, CASE intent WHEN 'single_answer' THEN 20 ELSE 30 END AS fetch_n FROM q JOIN exp ON item_id = query_id JOIN unit ON row_no = query_id - 7000 + place - 1),
+ dist AS (SELECT query_id, list_no, fetch_n, wanted, id, collection, round(1 - list_dot_product(q, e), 6) + 0.0::DOUBLE AS dist FROM dq, dvec),
+ dh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, list_no, collection ORDER BY dist, id) - 1 AS rank FROM dist) WHERE rank < fetch_n AND (wanted IS NULL OR list_contains(wanted, collection))),
  wts AS (SELECT 'v2_' || collection AS collection, collection AS plain, weight FROM collection_weights),
- both_ AS (SELECT query_id, id, 0 AS lexical, 0 AS list_no, rank, dist FROM dh
+ both_ AS (SELECT query_id, id, 0 AS lexical, list_no, rank, dist FROM dh
    UNION ALL SELECT h.query_id, h.id, 1, h.list_no, h.rank, NULL FROM hits h JOIN q USING (query_id) JOIN cur USING (id)
-     WHERE h.rank < 2 * CASE intent WHEN 'single_answer' THEN 20 ELSE 30 END AND collection IS NOT NULL),
+     WHERE h.rank < 2 * CASE intent WHEN 'single_answer' THEN 20 ELSE 30 END AND collection IS NOT NULL AND (wanted IS NULL OR list_contains(wanted, collection))),
  wtd AS (SELECT b.*, cur.collection, source, page, article, intent,
-   coalesce(weight, 1.0::DOUBLE) * CASE WHEN regexp_replace(cur.collection, '^v2_', '') = auto THEN 0.92::DOUBLE ELSE 1.0::DOUBLE END AS w,
+   coalesce(weight, 1.0::DOUBLE) * CASE WHEN wanted IS NULL AND regexp_replace(cur.collection, '^v2_', '') = auto THEN 0.92::DOUBLE ELSE 1.0::DOUBLE END AS w,
    CASE WHEN coalesce(nullif(page, 0), 99) <= 2 THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END AS pen FROM both_ b JOIN cur USING (id) JOIN q USING (query_id) LEFT JOIN wts ON wts.collection = cur.collection),
  eff AS (SELECT *, CASE WHEN lexical = 0 THEN coalesce(dist, 1.0::DOUBLE) ELSE 1.0::DOUBLE END * w * pen AS eff FROM wtd),
  fused AS (SELECT query_id, id, any_value(intent) AS intent, any_value(collection) AS collection, any_value(source) AS source, any_value(page) AS page, any_value(article) AS article,
@@ -155,22 +193,24 @@ FUSE = BM25 + VEC + """, dvec AS (SELECT unit.id, e, collection FROM unit JOIN c
 
 
 def fused(spark, d):
-    """Candidates of every question after fusion: the hybrid search up to its filters."""
+    """Candidates of every question after fusion: the hybrid search over its expanded queries, up to the filters."""
     q = questions(spark, d)
     fetch = F.create_map(*[F.lit(x) for k, v in C.STRATEGIES.items() for x in (k, v[2])])
-    q = q.withColumn("fetch", F.try_element_at(fetch, F.col("intent")))
-    side = q.select(F.col("query_id").alias("__q"), "intent", "auto", "fetch")
+    # The collections that an analysis suggests only weigh where the caller names none.
+    side = q.select(F.col("query_id").alias("__q"), "intent", F.when(F.col("wanted").isNull(), F.col("auto")).alias("auto"), "wanted", F.try_element_at(fetch, F.col("intent")).alias("fetch"))
     most = max(v[2] for v in C.STRATEGIES.values())
     chunks, vecs = current(spark, d), vectors(spark, d)
-    qv = vecs.join(q.select("query_id"), F.col("row_no") == F.col("query_id") - 7000).select("query_id", "embedding")
-    dh = dense_hits(spark, d, qv, most, vecs, chunks).join(side, F.col("query_id") == F.col("__q")).where("rank < fetch").withColumn("list_no", F.lit(0))
+    every = expanded(q)
+    # The queries of a question are searched at once, numbered by question and place.
+    qv = vecs.join(every.select("query_id", "place"), F.col("row_no") == F.col("query_id") - 7000 + F.col("place") - 1).select(
+        (F.col("query_id") * 16 + F.col("place") - 1).alias("query_id"), "embedding")
+    dh = dense_hits(spark, d, qv, most, vecs, chunks).withColumn("list_no", F.pmod("query_id", F.lit(16)).cast("int")).withColumn("query_id", F.shiftright("query_id", 4))
+    dh = fusion.within(dh.join(side, F.col("query_id") == F.col("__q")).where("rank < fetch"))
     meta = ("collection", "source", "page", "article")
-    x = chunks.select("id", "text", *meta)
-    # Both lists of a question in one search: its number is doubled, the list's added.
-    lists = [t.select((F.col("query_id") * 2 + i).alias("query_id"), "text") for i, t in enumerate((q, keyword_text(q)))]
-    lh = lexical.search(lists[0].unionByName(lists[1]), x, 2 * most, meta).where("collection IS NOT NULL")
+    lists = every.where("label IN ('original', 'id_keywords')").select((F.col("query_id") * 2 + F.when(F.col("label") == "original", 0).otherwise(1)).alias("query_id"), F.col("query").alias("text"))
+    lh = lexical.search(lists, index(spark, d), 2 * most).join(chunks.select("id", *meta).where("collection IS NOT NULL"), "id")
     lh = lh.withColumn("list_no", F.pmod("query_id", F.lit(2)).cast("int")).withColumn("query_id", F.shiftright("query_id", 1))
-    lh = lh.join(side, F.col("query_id") == F.col("__q")).where("rank < 2 * fetch")
+    lh = fusion.within(lh.join(side, F.col("query_id") == F.col("__q")).where("rank < 2 * fetch"))
     w = table(spark, d, "collection_weights")
     keep = ("intent", *meta)
     return fusion.fuse(fusion.weighted(dh, w, F.array("auto")), fusion.weighted(lh, w, F.array("auto")), keep)
@@ -212,29 +252,37 @@ def hybrid_retrieve(spark, d):
     return fusion.diversify(fusion.source_filter(fused(spark, d)).select("query_id", "id", "intent", "source", "article", "rrf", "eff")).select("query_id", "id", "pick")
 
 
-@query("rerank_diversity", MMR + """, cutp AS (SELECT *, CASE intent WHEN 'single_answer' THEN 8 WHEN 'article_lookup' THEN 12 WHEN 'hierarchy' THEN 18 WHEN 'comparison' THEN 20 WHEN 'case_application' THEN 18 ELSE 15 END AS top_k FROM picked WHERE pick <= 20),
- sc AS (SELECT *, CASE WHEN pick % 5 = 0 THEN 5.0::DOUBLE ELSE CAST((pick * 7 + query_id * 3) % 11 AS DOUBLE) END AS score, count(*) OVER (PARTITION BY query_id) <= top_k AS small FROM cutp),
+def scoring(prompt: str) -> str:
+    """A stand-in for a scoring model: scores that go by a row's place and the prompt, every fifth missing, text around them; to every third question no reply."""
+    question, *rows = re.split(r"\n\n\[\d+\] ", prompt)
+    n = len(question) - len("Question:\n")
+    if n % 3 == 0:
+        return "I can't tell."
+    scores = [{"idx": i, "score": (i * 7 + n) % 11, "reason": "x" * 300} for i in range(len(rows)) if i % 5 != 4]
+    return "Here you are:\n" + json.dumps({"scores": [*scores, {"idx": None}, {"score": 3}]}) + "\nDone."
+
+
+@query("rerank_diversity", MMR + r""", sized2 AS (SELECT p.*, q.text AS question, CASE p.intent WHEN 'single_answer' THEN 8 WHEN 'article_lookup' THEN 12 WHEN 'hierarchy' THEN 18 WHEN 'comparison' THEN 20 WHEN 'case_application' THEN 18 ELSE 15 END AS top_k,
+   count(*) OVER (PARTITION BY p.query_id) AS n, list_distinct(regexp_extract_all(lower(q.text), '\S+')) AS qw, list_distinct(regexp_extract_all(lower(coalesce(cur.text, '')), '\S+')) AS tw
+   FROM picked p JOIN q ON q.query_id = p.query_id JOIN cur ON cur.id = p.id),
+ crossed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n > 20 THEN -round(len(list_intersect(qw, tw)) / len(qw), 9) END, pick) AS k FROM sized2),
+ cutp AS (SELECT * FROM crossed WHERE k <= greatest(20, top_k)),
+ sc AS (SELECT *, CASE WHEN (k - 1) % 5 = 4 OR length(question) % 3 = 0 THEN 5.0::DOUBLE ELSE CAST(((k - 1) * 7 + length(question)) % 11 AS DOUBLE) END AS score, count(*) OVER (PARTITION BY query_id) <= top_k OR length(question) % 3 = 0 AS small FROM cutp),
  fac AS (SELECT *, CASE WHEN source = '' THEN 1.0::DOUBLE ELSE greatest(0.55::DOUBLE, 1 - 0.15::DOUBLE * (row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, eff, id) - 1)) END AS factor FROM sc),
  adj AS (SELECT *, CASE WHEN small THEN score ELSE round(score * round(factor, 6), 6) END AS adjusted FROM fac)
-SELECT query_id, id, score, adjusted, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN small THEN pick END, adjusted DESC, eff, id) AS place FROM adj) WHERE place <= top_k""")
+SELECT query_id, id, score, adjusted, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN small THEN k END, adjusted DESC, eff, id) AS place FROM adj) WHERE place <= top_k""")
 def rerank_diversity(spark, d):
-    """Reranking with set scores in place of a model's, every fifth missing."""
+    """Both stages: a cross-encoder's stand-in cuts the pool, a model's stand-in scores the rest."""
     pool = fusion.diversify(fusion.source_filter(fused(spark, d)).select("query_id", "id", "intent", "source", "article", "rrf", "eff"))
-    given = pool.where("pick % 5 <> 0").select("query_id", "id", ((F.col("pick") * 7 + F.col("query_id") * 3) % 11).cast("double").alias("score"))
-    return fusion.rerank(pool, given).select("query_id", "id", "score", "adjusted", "place")
+    ask = questions(spark, d).select(F.col("query_id").alias("__q"), F.col("text").alias("question"))
+    texts = current(spark, d, "id", F.col("text").alias("body"))
+    pool = pool.join(texts, "id").join(F.broadcast(ask), F.col("query_id") == F.col("__q")).drop("__q")  # one row per question
+    pool = cut(pool.withColumn("cross", models.cross_score(F.col("question"), F.col("body"), models.overlap_scorer)))
+    first = fusion.cross_cut(pool, F.col("cross"))
+    scores = models.rerank_scores(first.select("query_id", "question", (F.col("k") - 1).alias("idx"), "id", F.left("body", F.lit(C.TOOL_CHARS)).alias("block")), scoring)
+    return fusion.rerank(pool, scores, F.col("cross")).select("query_id", "id", "score", "adjusted", "place")
 
 
-@query("expanded_queries", r"""WITH q AS (SELECT item_id, list_filter(list_transform(string_split(text, '. '), lambda x: trim(x)), lambda x: true) AS s, trim(text) AS text FROM eval_items),
- u AS (SELECT item_id, 0 AS k, 'original' AS label, text AS query FROM q
-  UNION ALL SELECT item_id, i, 'sub_' || i, s[i] FROM q, (SELECT unnest(range(1, 5)) AS i) WHERE i <= len(s)
-  UNION ALL SELECT item_id, 5, 'id_keywords', array_to_string(list_slice(regexp_extract_all(lower(text), '[a-z가-힣]+|\d+(?:[/-]\d+)*'), 1, 6), ' ') FROM q
-  UNION ALL SELECT item_id, 5 + i, 'hyde_' || i, s[len(s) - i + 1] FROM q, (SELECT unnest(range(1, 4)) AS i) WHERE i <= len(s))
-SELECT item_id, label, query, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY k) AS place FROM u WHERE trim(query) <> '') WHERE place <= 10""")
+@query("expanded_queries", "WITH " + EXPANDED + " SELECT item_id, label, query, place FROM exp")
 def expanded_queries(spark, d):
-    from paperloom.models import expand
-
-    x = table(spark, d, "eval_items")
-    s = F.transform(F.split("text", r"\. "), F.trim)
-    analysis = x.select("item_id", F.trim("text").alias("text"), s.alias("sub_queries"), F.slice(tokens(F.col("text")), 1, 6).alias("id_keywords"),
-                        F.slice(F.reverse(s), 1, 3).alias("hyde"))
-    return expand(analysis, "item_id")
+    return expanded(table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "text")).withColumnRenamed("query_id", "item_id")

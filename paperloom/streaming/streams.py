@@ -14,13 +14,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paperloom import config as C
 from paperloom.operators.ingest import upsert
-from paperloom.session import ensure_checkpoint_dir
+from paperloom.session import shared_folder
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
+def new_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the checkpoint folder, which all executors share."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    return shared_folder(spark, f"{name}-{uuid.uuid4().hex}")
 
 
 def file_stream(spark: SparkSession, path: str, like: DataFrame, files_per_trigger: int | None = None) -> DataFrame:
@@ -117,7 +116,7 @@ def conversations(messages: DataFrame, idle_ms: int = 3_600_000, most: int = C.H
 def run_once(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a streaming aggregate over all that is there and give its last result as a table in the shared folder."""
     spark = stream.sparkSession
-    target = shared_folder(spark, "stream")
+    target = new_folder(spark, "stream")
 
     def batch(df: DataFrame, no: int) -> None:
         df.write.mode("overwrite").parquet(f"{target}/out")

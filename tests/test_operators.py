@@ -133,9 +133,9 @@ def test_upsert_is_idempotent(spark):
 def test_search_edges(spark):
     docs = spark.createDataFrame([("a", "satu dua"), ("b", None), ("c", ""), ("d", "dua tiga 13/2003")], "id string, text string")
     q = spark.createDataFrame([(1, "DUA 13/2003"), (2, None), (3, "")], "query_id int, text string")
-    got = lexical.search(q, docs).collect()
+    got = lexical.search(q, lexical.computed(docs)).collect()
     assert {r.query_id for r in got} == {1} and got[0].id in "ad"
-    assert lexical.search(q, docs.limit(0)).count() == 0
+    assert lexical.search(q, lexical.computed(docs.limit(0))).count() == 0
 
 
 def test_nearest_edges(spark):
