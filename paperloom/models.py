@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -36,14 +36,14 @@ class Completer(Protocol):
 
 
 def hashed_embedder(dim: int = 64) -> Embedder:
-    """Normalised counts of hashed words with a sign; a text without words gets the first unit vector."""
+    """Normalised counts of hashed words with a sign, of up to 256 dimensions; a text without words, or of which all cancel, gets the first unit vector."""
 
     def run(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), dtype=np.float32)
         for i, t in enumerate(texts):
-            for w in (t or "").lower().split():
-                h = xxhash.xxh64_intdigest(w)
-                out[i, h % dim] += 1 if h >> 63 else -1
+            for w in re.findall(r"\S+", (t or "").lower(), re.A):
+                h = hashlib.md5(w.encode(), usedforsecurity=False).digest()
+                out[i, h[0] % dim] += 1 if h[1] >> 7 else -1
             if not out[i].any():
                 out[i, 0] = 1
         return out / np.linalg.norm(out, axis=1, keepdims=True)

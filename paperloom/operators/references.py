@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom import config as C
 from paperloom.functions import text as T
+from paperloom.operators import keyed
 from paperloom.session import cut
 
 
@@ -69,13 +70,17 @@ def article_lookup(requests: DataFrame, chunks: DataFrame, strict: bool = False)
     of the source are looked at, in page order. An article fits if it is equal or starts so ('Pasal 7' also finds 'Pasal 71'),
     with ``strict`` only if equal.
     """
-    order = Window.partitionBy("request_id").orderBy("page", "idx", "id")
     r = requests.select("request_id", F.col("source").alias("__s"), "pasal")
-    rows = chunks.join(r, F.col("source") == F.col("__s")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= C.TOOL_SCAN)
+    # Sources are cut to their first chunks before they meet the requests, without text, which is fetched for the few that are given.
+    asked = chunks.select("id", "source", "page", "idx", "article").join(r.select("__s").distinct(), F.col("source") == F.col("__s"), "left_semi")
+    first = keyed.top_rows(asked, "source", [F.asc("page"), F.asc("idx"), F.asc("id")], C.TOOL_SCAN, rank="k")
+    rows = first.join(r, F.col("source") == F.col("__s"))
     art = F.trim(F.coalesce("article", F.lit("")))
     fits = (art == F.col("pasal")) if strict else (art != "") & art.startswith(F.col("pasal"))
     rows = rows.where(F.col("pasal").isNull() | fits).withColumn("place", F.row_number().over(Window.partitionBy("request_id").orderBy("k")).cast("long"))
-    return rows.where(F.col("place") <= C.TOOL_CHUNKS).select(
+    rows = rows.where(F.col("place") <= C.TOOL_CHUNKS).select("request_id", F.col("id").alias("__id"), F.col("source").alias("__source"), "place")
+    same = (F.col("id") == F.col("__id")) & (F.col("source") == F.col("__source"))
+    return rows.join(chunks.select("id", "source", "page", "article", "text"), same).select(
         "request_id", "id", F.coalesce("page", F.lit(0)).alias("page"), "article", F.substring(T.clean_chunk(F.col("text")), 1, C.TOOL_CHARS).alias("text"), "place")
 
 
@@ -119,6 +124,40 @@ def verify(cites: DataFrame, retrieved: DataFrame) -> DataFrame:
     return out.select(*ids, "raw", "pasal", "source", "page", status.alias("status"), reason.alias("reason"))
 
 
+#: An article as a citation names it, standing alone in lower-cased text.
+NAMED = r"(?<![\p{L}\p{N}_])pasal\s+[a-z0-9]+(?![\p{L}\p{N}_])"
+
+
+def verify_in_sources(cites: DataFrame, chunks: DataFrame) -> DataFrame:
+    """As :func:`verify`, for citations whose context is every chunk of the source that they name exactly; others are left out.
+
+    ``chunks`` holds (pos, source, page, article, text). Each chunk is looked at once, whoever cites it: a source becomes the sets of its articles, of its
+    pages and of the articles named in its text, with the first chunk for each, and citations meet these by equality. An article that only
+    begins as the cited one does is found by its beginnings, which are few.
+    """
+    key = lambda c: F.lower(T.strip(F.coalesce(c, F.lit(""))))
+    ids = ["answer_id", "pos"]
+    c = cites.withColumn("src", key(F.col("source"))).withColumn("art", T.strip(F.regexp_replace("pasal", r"(?i)\s+ayat.*", "")))
+    r = chunks.select(key(F.col("source")).alias("key"), F.col("pos").alias("__p"), F.nullif("page", F.lit(0)).alias("__page"), T.strip(F.coalesce("article", F.lit(""))).alias("__art"), "text").where("key <> ''")
+    asked = c.select(F.col("src").alias("key")).distinct()
+    r = r.join(asked, "key", "left_semi")
+    known = r.select("key").distinct().withColumn("found", F.lit(True))
+    starts = F.transform(F.sequence(F.lit(1), F.length("__art")), lambda n: F.substring(F.col("__art"), F.lit(1), n))
+    arts = r.where("__art <> ''").select("key", "__art").distinct().select("key", F.explode(starts).alias("art")).distinct().withColumn("art_ok", F.lit(True))
+    pages = r.where("__page IS NOT NULL").select("key", F.col("__page").alias("page")).distinct().withColumn("page_ok", F.lit(True))
+    named = r.select("key", "__p", "__page", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(NAMED), F.lit(0)))).alias("low"))
+    named = named.groupBy("key", "low").agg(F.min(F.struct("__p", "__page")).alias("body"))
+    c = c.withColumn("key", F.col("src")).withColumn("low", F.lower("art"))
+    out = c.join(known, "key").join(arts, ["key", "art"], "left").join(pages, ["key", "page"], "left").join(named, ["key", "low"], "left")
+    no = lambda x: F.coalesce(x, F.lit(False))
+    via_body = ~no(F.col("art_ok")) & F.col("body").isNotNull()
+    art_ok = no(F.col("art_ok")) | via_body
+    page_ok = no(F.col("page_ok")) | (via_body & no(F.col("body.__page") == F.col("page")))
+    status = F.when(art_ok & page_ok, "verified").when(art_ok, "page_mismatch").otherwise("article_mismatch")
+    reason = F.when(status == "verified", F.when(via_body, "body_fallback").otherwise("ok")).otherwise(status)
+    return out.select(*ids, "raw", "pasal", "source", "page", status.alias("status"), reason.alias("reason"))
+
+
 def citation_totals(verified: DataFrame) -> DataFrame:
     """(answer_id, total, verified, unverified); everything that isn't verified counts as unverified."""
     ok = F.count_if(F.col("status") == "verified")
@@ -146,6 +185,12 @@ def needs_second_opinion(confidence: Column, n_issues: Column, unverified: Colum
     return (confidence == "low") | ((confidence == "medium") & (n_issues >= 1)) | (F.coalesce(unverified, F.lit(0)) >= 1)
 
 
+def merged_issues(own: Column, second: Column) -> Column:
+    """The issues (type, description) of a critique and of a second opinion, with ``source``: null, or 'adversarial' for the latter."""
+    marked = lambda xs, s: F.transform(xs, lambda x: F.struct(x["type"].alias("type"), x["description"].alias("description"), F.lit(s).cast("string").alias("source")))
+    return F.concat(marked(own, None), marked(second, "adversarial"))
+
+
 def merged_confidence(first: Column, second: Column) -> Column:
     """The lower of two; an unknown first gives way to the second, an unknown second ranks lowest."""
     rank = F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv])

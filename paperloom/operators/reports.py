@@ -66,7 +66,9 @@ def sse_parse(streams: DataFrame, key: str, text: str) -> DataFrame:
     whole = F.slice(frames, F.lit(1), F.greatest(F.size(frames) - 1, F.lit(0)))
     x = streams.select(key, F.posexplode(whole).alias("seq", "frame"))
     event, data = F.regexp_extract("frame", r"(?m)^event: (.*)$", 1), F.regexp_extract("frame", r"(?m)^data: (.*)$", 1)
-    return x.select(key, "seq", event.alias("event"), data.alias("data")).where((F.col("event") != "") & F.try_parse_json("data").isNotNull())
+    # In brackets, as the parser overlooks what stands behind a value.
+    whole = F.try_parse_json("data").isNotNull() & (F.json_array_length(F.concat(F.lit("["), "data", F.lit("]"))) == 1)
+    return x.select(key, "seq", event.alias("event"), data.alias("data")).where((F.col("event") != "") & whole)
 
 
 def fold_events(events: DataFrame) -> DataFrame:
@@ -90,6 +92,23 @@ def runs(rows: DataFrame, key: str, order: list[str], ok: str) -> DataFrame:
     return r.groupBy(key, "run").agg(F.min("no").alias("start_no"), F.count(F.lit(1)).alias("length"), F.first(ok).alias("ok")).drop("run")
 
 
+# Failed probes in a row after which a service of each kind is started anew.
+PATIENCE = {"server": 5, "tunnel": 5, "store": 1}
+
+
+def restarts(service: Column, failed: Column) -> Column:
+    """How often a service was started anew during a run of failed probes: counting begins again with each start."""
+    patience = F.create_map(*[F.lit(x) for kv in PATIENCE.items() for x in kv])
+    return F.floor(failed / F.try_element_at(patience, service)).cast("long")
+
+
+def history_items(kept: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, place, id, a): the items of each kept history, a JSON array; text that is none gives no items."""
+    whole = F.when(F.try_parse_json(text).isNotNull(), F.col(text))
+    items = F.from_json(whole, "array<struct<id: bigint, a: string>>")
+    return kept.select(key, F.posexplode(items).alias("place", "item")).select(key, "place", "item.*")
+
+
 def markdown_item(no: Column, title: Column, scope: Column, sources: Column, elapsed: Column) -> Column:
     return F.concat(F.lit("## "), no, F.lit(". "), title, F.lit("\n\n- scope: "), scope, F.lit("\n- sources: "), sources, F.lit("\n- time: "), elapsed, F.lit(" ms\n"))
 

@@ -8,6 +8,7 @@ from paperloom.functions import text as T
 from paperloom.operators import references as R
 from paperloom.plans.base import CUR, current, sql_clean
 from paperloom.plans.registry import core
+from paperloom.session import cut
 from paperloom.sources.tables import table
 
 query = core.query
@@ -121,13 +122,12 @@ VERIFY = CUR + rf""", cites AS (SELECT *, lower(source) AS src, trim(regexp_repl
 
 def verified(spark, d):
     """Every document's citations against the chunks of the sources it cites and the chunk of its own number."""
-    cites = R.citations(answers(spark, d))
-    rows = current(spark, d, "line_no", "source", "page", "article", "text").where("source IS NOT NULL")
-    asked = cites.select("answer_id", F.lower("source").alias("src")).distinct()
-    by_source = asked.join(rows, F.lower(rows["source"]) == F.col("src")).drop("src")
-    by_number = cites.select("answer_id").distinct().join(rows, F.col("answer_id") == F.col("line_no"))
-    ctx = by_source.unionByName(by_number).withColumnRenamed("line_no", "pos").dropDuplicates(["answer_id", "pos"])
-    return R.verify(cites, ctx)
+    cites = cut(R.citations(answers(spark, d)))
+    rows = current(spark, d, F.col("line_no").alias("pos"), "source", "page", "article", "text").where("source IS NOT NULL")
+    exact = cut(R.verify_in_sources(cites, rows))
+    rest = cites.join(exact.select("answer_id", "pos"), ["answer_id", "pos"], "left_anti")
+    own = rest.select("answer_id").distinct().join(rows, F.col("answer_id") == F.col("pos"))
+    return exact.unionByName(R.verify(rest, own))
 
 
 @query("citation_verify", VERIFY + "SELECT * FROM verified")

@@ -9,6 +9,7 @@ from paperloom import config as C
 from paperloom.functions.text import clean_chunk
 from paperloom.operators import fusion
 from paperloom.operators import reports as R
+from paperloom.operators.references import merged_issues
 from paperloom.plans.base import CUR, current, sql_clean
 from paperloom.plans.registry import core
 from paperloom.plans.search_queries import MMR, fused
@@ -56,15 +57,26 @@ def stage_timing(spark, d):
     return by.crossJoin(F.broadcast(total)).select("stage", "n", F.round("t", 6).alias("total"), F.round("m", 6).alias("mean"), F.round(F.col("t") * 100 / F.col("all"), 4).alias("share"))
 
 
-@query("progress_rate", """SELECT user_id, event_id, CAST(k AS BIGINT) AS done, round(CASE WHEN k > 1 THEN 1 / greatest((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6::DOUBLE, 1) ELSE 0 END, 6) AS rate
-  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+@query("progress_rate", """SELECT user_id, event_id, CAST(k AS BIGINT) AS done, round(rate, 6) AS rate, CASE WHEN rate > 0 THEN CAST(floor((n - k) / rate) AS BIGINT) END AS eta FROM (
+  SELECT *, CASE WHEN k > 1 THEN 1 / greatest((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6::DOUBLE, 1) ELSE 0 END AS rate
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""")
 def progress_rate(spark, d):
-    """Rate between two log points of a worker."""
+    """Rate between two log points of a worker, and the seconds that the rest of its work takes at it."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     gap = (us - F.lag(us).over(w)) / 1e6
-    k = F.row_number().over(w)
-    return events(spark, d).select("user_id", "event_id", k.cast("long").alias("done"), F.round(F.when(k > 1, 1 / F.greatest(gap, F.lit(1.0))).otherwise(0.0), 6).alias("rate"))
+    x = events(spark, d).select("user_id", "event_id", F.row_number().over(w).alias("k"), F.count(F.lit(1)).over(Window.partitionBy("user_id")).alias("n"), gap.alias("gap"))
+    rate = F.when(F.col("k") > 1, 1 / F.greatest("gap", F.lit(1.0))).otherwise(0.0)
+    return x.select("user_id", "event_id", F.col("k").cast("long").alias("done"), F.round(rate, 6).alias("rate"), F.when(rate > 0, F.floor((F.col("n") - F.col("k")) / rate)).alias("eta"))
+
+
+@query("history_source", """SELECT doc_id % 50 AS client, count(*) AS items, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars FROM documents WHERE doc_id % 50 % 7 <> 3 GROUP BY 1""")
+def history_source(spark, d):
+    """Histories as clients keep them, one JSON text each, read back; some are broken and count as empty."""
+    x = table(spark, d, "documents").select((F.col("doc_id") % 50).alias("client"), F.struct(F.col("doc_id").alias("id"), F.col("text").alias("a")).alias("item"))
+    kept = x.groupBy("client").agg(F.to_json(F.collect_list("item")).alias("json"))  # a client's history is one text by its nature
+    kept = kept.withColumn("json", F.when(F.col("client") % 7 == 3, F.concat(F.lit("{"), "json")).otherwise(F.col("json")))
+    return R.history_items(kept, "client", "json").groupBy("client").agg(F.count(F.lit(1)).alias("items"), F.sum(F.length(F.coalesce("a", F.lit("")))).alias("chars"))
 
 
 HIST = """WITH h AS (SELECT doc_id AS id, coalesce(lang, '') AS q, text AS a, source, doc_kind AS category, nullif(n_chars, 0) AS elapsed, received_at AS ts, declared_chars IS NOT NULL AS starred FROM documents)"""
@@ -150,12 +162,13 @@ def turn_numbers(spark, d):
     return messages(spark, d).where("role = 'user'").select("conv_id", "turn", F.expr("(turn - 1) div 2 + 1").alias("turn_no"))
 
 
-KIND = "CASE event_type WHEN 'signup' THEN 'regenerating' WHEN 'purchase' THEN 'sources' WHEN 'error' THEN 'rate_limited' ELSE 'token' END"
+KIND = "CASE event_type WHEN 'signup' THEN 'regenerating' WHEN 'purchase' THEN 'sources' WHEN 'error' THEN CASE event_id % 2 WHEN 0 THEN 'rate_limited' ELSE 'error' END ELSE 'token' END"
 
 
 def sse_kind():
     e = F.col("event_type")
-    return F.when(e == "signup", "regenerating").when(e == "purchase", "sources").when(e == "error", "rate_limited").otherwise("token")
+    return F.when(e == "signup", "regenerating").when(e == "purchase", "sources").when(
+        e == "error", F.when(F.col("event_id") % 2 == 0, "rate_limited").otherwise("error")).otherwise("token")
 
 
 @query("sse_format", CONV + f"SELECT event_id, 'event: ' || {KIND} || chr(10) || 'data: ' || props || chr(10) || chr(10) AS frame FROM m")
@@ -163,17 +176,18 @@ def sse_format(spark, d):
     return messages(spark, d).select("event_id", R.sse_format(sse_kind(), F.col("props")).alias("frame"))
 
 
-@query("sse_parse", CONV + f"SELECT conv_id, turn - 1 AS seq, {KIND} AS event, props AS data FROM m")
+@query("sse_parse", CONV + f"SELECT conv_id, turn - 1 AS seq, {KIND} AS event, props AS data FROM m WHERE event_id % 11 <> 5")
 def sse_parse(spark, d):
-    """Every conversation's stream written as text, with an incomplete end, and read back."""
-    frames = messages(spark, d).select("conv_id", "turn", R.sse_format(sse_kind(), F.col("props")).alias("frame"))
+    """Every conversation's stream written as text, with some malformed events and an incomplete end, and read back."""
+    data = F.when(F.col("event_id") % 11 == 5, F.concat(F.col("props"), F.lit("}{"))).otherwise(F.col("props"))
+    frames = messages(spark, d).select("conv_id", "turn", R.sse_format(sse_kind(), data).alias("frame"))
     text = F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "frame"))), lambda x: x["frame"]), ""), F.lit("event: token\ndata: {"))
     streams = frames.groupBy("conv_id").agg(text.alias("stream"))  # a conversation is one text by its nature
     return R.sse_parse(streams, "conv_id", "stream").withColumn("seq", F.col("seq").cast("long"))
 
 
 @query("event_fold", CONV + f""", e AS (SELECT conv_id, turn AS seq, {KIND} AS event, props AS data FROM m), s AS (SELECT *, coalesce(max(CASE WHEN event = 'regenerating' THEN seq END) OVER (PARTITION BY conv_id), -1) AS since FROM e)
-SELECT conv_id, answer, coalesce(sources, '') AS sources, limited AND answer = '' AS failed FROM (SELECT conv_id, coalesce(string_agg(CASE WHEN event = 'token' AND seq > since THEN data END, '' ORDER BY seq), '') AS answer, arg_max(CASE WHEN event = 'sources' THEN data END, CASE WHEN event = 'sources' THEN seq END) AS sources, bool_or(event = 'rate_limited') AS limited FROM s GROUP BY conv_id)""")
+SELECT conv_id, answer, coalesce(sources, '') AS sources, error OR limited AND answer = '' AS failed FROM (SELECT conv_id, coalesce(string_agg(CASE WHEN event = 'token' AND seq > since THEN data END, '' ORDER BY seq), '') AS answer, arg_max(CASE WHEN event = 'sources' THEN data END, CASE WHEN event = 'sources' THEN seq END) AS sources, bool_or(event = 'rate_limited') AS limited, bool_or(event = 'error') AS error FROM s GROUP BY conv_id)""")
 def event_fold(spark, d):
     return R.fold_events(messages(spark, d).select("conv_id", F.col("turn").alias("seq"), sse_kind().alias("event"), F.col("props").alias("data")))
 
@@ -186,11 +200,14 @@ def probe_runs(spark, d):
 
 
 @query("restarts", """WITH p AS (SELECT user_id, event_type <> 'error' AS ok, row_number() OVER w AS no, CASE WHEN lag(event_type <> 'error') OVER w = (event_type <> 'error') THEN 0 ELSE 1 END AS turned FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
- r AS (SELECT *, sum(turned) OVER (PARTITION BY user_id ORDER BY no) AS run FROM p), l AS (SELECT user_id, count(*) AS length, any_value(ok) AS ok FROM r GROUP BY user_id, run) SELECT user_id, CAST(sum(length // 2) AS BIGINT) AS restarts FROM l WHERE NOT ok GROUP BY user_id""")
+ r AS (SELECT *, sum(turned) OVER (PARTITION BY user_id ORDER BY no) AS run FROM p), l AS (SELECT user_id, count(*) AS length, any_value(ok) AS ok FROM r GROUP BY user_id, run)
+SELECT user_id, CASE user_id % 3 WHEN 0 THEN 'server' WHEN 1 THEN 'tunnel' ELSE 'store' END AS service, CAST(sum(length // CASE WHEN user_id % 3 = 2 THEN 1 ELSE 5 END) AS BIGINT) AS restarts, max(length) AS longest FROM l WHERE NOT ok GROUP BY user_id""")
 def restarts(spark, d):
-    """A restart after every second failed probe in a row."""
+    """How often each probed service was started anew: after as many failed probes in a row as its kind allows."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in R.PATIENCE]), (F.col("user_id") % len(R.PATIENCE) + 1).cast("int"))
     p = events(spark, d).select("user_id", "ts", "event_id", (F.col("event_type") != "error").alias("ok"))
-    return R.runs(p, "user_id", ["ts", "event_id"], "ok").where("NOT ok").groupBy("user_id").agg(F.sum(F.expr("length div 2")).alias("restarts"))
+    failed = R.runs(p, "user_id", ["ts", "event_id"], "ok").where("NOT ok").withColumn("service", kind)
+    return failed.groupBy("user_id", "service").agg(F.sum(R.restarts(F.col("service"), F.col("length"))).alias("restarts"), F.max("length").alias("longest"))
 
 
 @query("context_blocks", CUR + f"""SELECT id, '[' || k || '] ' || coalesce(source, '') || ' p.' || coalesce(page, 0) || ' ' || coalesce(nullif(article, ''), '-') || chr(10) || substr(t, 1, 1500) || CASE WHEN length(t) > 1500 THEN '…' ELSE '' END AS block
@@ -223,14 +240,17 @@ def source_chips(spark, d):
     return c.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("query_id"))).where("k >= 2").drop("k")
 
 
-@query("issue_union", "SELECT doc_id, CAST(doc_id % 3 AS BIGINT) AS own, CAST(doc_id % 2 AS BIGINT) AS added, CAST(doc_id % 3 + doc_id % 2 AS BIGINT) AS total FROM documents")
+@query("issue_union", """SELECT doc_id, coalesce(CASE WHEN doc_id % 3 > 0 THEN 'missing:' || coalesce(lang, '-') || ':-' END, '') || CASE WHEN doc_id % 3 = 2 THEN ';bad_citation:' || coalesce(doc_kind, '-') || ':-' ELSE '' END
+  || CASE WHEN doc_id % 3 > 0 AND doc_id % 2 = 1 THEN ';' ELSE '' END || CASE WHEN doc_id % 2 = 1 THEN 'hallucination:' || coalesce(source, '-') || ':adversarial' ELSE '' END AS issues FROM documents""")
 def issue_union(spark, d):
-    """Two lists of issues put together, the second marked."""
-    issue = lambda s: F.struct(F.lit("missing").alias("type"), F.lit(s).cast("string").alias("source"))
+    """The issues of a critique and of a second opinion put together, the latter marked."""
+    dash = lambda c: F.coalesce(c, F.lit("-"))
+    issue = lambda kind, text: F.struct(F.lit(kind).alias("type"), dash(text).alias("description"))
     k = F.col("doc_id")
-    x = table(spark, d, "documents").select("doc_id", F.concat(F.array_repeat(issue(None), (k % 3).cast("int")), F.array_repeat(issue("adversarial"), (k % 2).cast("int"))).alias("i"))
-    added = F.size(F.filter("i", lambda x: x["source"] == "adversarial"))
-    return x.select("doc_id", (F.size("i") - added).cast("long").alias("own"), added.cast("long").alias("added"), F.size("i").cast("long").alias("total"))
+    own = F.slice(F.array(issue("missing", F.col("lang")), issue("bad_citation", F.col("doc_kind"))), F.lit(1), (k % 3).cast("int"))
+    second = F.slice(F.array(issue("hallucination", F.col("source"))), F.lit(1), (k % 2).cast("int"))
+    x = table(spark, d, "documents").select("doc_id", merged_issues(own, second).alias("i"))
+    return x.select("doc_id", F.array_join(F.transform("i", lambda i: F.concat_ws(":", i["type"], i["description"], dash(i["source"]))), ";").alias("issues"))
 
 
 @query("percent_scores", "SELECT doc_id, CAST(floor(least(greatest(coalesce(declared_chars, 0) / n_chars, 0), 1) * 100 + 0.5) AS BIGINT) AS percent FROM documents WHERE n_chars > 0")
@@ -250,15 +270,26 @@ def parsed_replies(spark, d):
     return x.select("item_id", "r.intent", F.size("r.sub_queries").alias("sub_queries"))
 
 
-@query("hashed_embeddings")
+@query("hashed_embeddings", r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\S+')) AS w FROM documents WHERE text IS NOT NULL),
+ h AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 2) AS BIGINT) % 64 AS b, CASE WHEN CAST('0x' || substr(md5(w), 3, 1) AS BIGINT) >= 8 THEN 1 ELSE -1 END AS s FROM w),
+ c AS (SELECT doc_id, b, sum(s) AS v FROM h GROUP BY ALL), u AS (SELECT doc_id, count(*) FILTER (WHERE v <> 0) > 0 AS any_ FROM c GROUP BY doc_id),
+ g AS (SELECT doc_id, b FROM documents, (SELECT unnest(range(64)) AS b) WHERE text IS NOT NULL)
+SELECT g.doc_id, string_agg(CASE WHEN NOT coalesce(any_, false) THEN CASE g.b WHEN 0 THEN '+' ELSE '0' END WHEN v > 0 THEN '+' WHEN v < 0 THEN '-' ELSE '0' END, '' ORDER BY g.b) AS signs, true AS unit
+  FROM g LEFT JOIN c ON c.doc_id = g.doc_id AND c.b = g.b LEFT JOIN u ON u.doc_id = g.doc_id GROUP BY g.doc_id""")
 def hashed_embeddings(spark, d):
-    """The embedding of every document without a model."""
+    """The embedding of every document without a model: the signs of its numbers, and whether its length is 1."""
     from paperloom.models import embed
 
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", embed(F.col("text")).alias("embedding"))
+    x = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", embed(F.col("text")).alias("e"))
+    sign = F.transform("e", lambda v: F.when(v > 0, "+").when(v < 0, "-").otherwise("0"))
+    length = F.aggregate("e", F.lit(0.0), lambda a, v: a + v.cast("double") * v)
+    return x.select("doc_id", F.array_join(sign, "").alias("signs"), (F.abs(length - 1) < 1e-5).alias("unit"))
 
 
-@query("extractive_answers")
+@query("extractive_answers", PICKED + rf""", firsts AS (SELECT query_id, pick, regexp_extract({sql_clean('text')}, '(?s)^(.*?[.!?])(\s|$)', 1) || ' (' || coalesce(nullif(cur.article, ''), '-') || ', 출처: ' || coalesce(cur.source, '') || ', p.' || coalesce(cur.page, 0) || ')' AS cited,
+   regexp_extract({sql_clean('text')}, '(?s)^(.*?[.!?])(\s|$)', 1) AS s FROM top JOIN cur USING (id)),
+ best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pick) AS k FROM firsts WHERE s <> '')
+SELECT query_id, string_agg(cited, ' ' ORDER BY k) AS answer FROM best WHERE k <= 3 GROUP BY query_id""")
 def extractive_answers(spark, d):
     from paperloom.models import extractive_answer
 
