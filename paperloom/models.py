@@ -125,6 +125,28 @@ def json_part(reply: Column) -> Column:
     return F.regexp_extract(reply, r"(?s)\{.*\}", 0)
 
 
+def critique(answers: DataFrame, completer: Completer) -> DataFrame:
+    """``answers`` (question, context, answer and others) with a model's verdict: confidence, verified_citations_count, issues (type, description), summary.
+
+    Blank answers aren't asked for. Where there is no answer to review, the call fails or its reply has no JSON, the verdict is unknown without issues, and
+    the summary says why. Contexts are cut at 30,000 characters, answers at 8,000.
+    """
+    issue = "array<struct<type: string, description: string>>"
+    blank = F.regexp_replace(F.coalesce("answer", F.lit("")), r"\s", "") == ""
+    prompt = F.concat(F.lit("Question:\n"), F.coalesce("question", F.lit("")), F.lit("\n\nContext:\n"), F.left(F.coalesce("context", F.lit("")), F.lit(30_000)),
+                      F.when(F.length("context") > 30_000, "…[truncated]").otherwise(""), F.lit("\n\nAnswer:\n"), F.left("answer", F.lit(8_000)))
+    x = answers.withColumn("__blank", blank).withColumn("__reply", complete(F.when(~blank, prompt), completer))
+    got = F.from_json(json_part(F.col("__reply")), f"confidence string, verified_citations_count int, issues {issue}, summary string")
+    x = x.withColumn("__v", got)
+    ok = F.col("__v").isNotNull() & (json_part(F.col("__reply")) != "")
+    why = F.when(F.col("__blank"), "not run").when(F.col("__reply").isNull(), "call failed").otherwise("no JSON")
+    return x.select(
+        *answers.columns, F.when(ok, F.coalesce("__v.confidence", F.lit("unknown"))).otherwise("unknown").alias("confidence"),
+        F.when(ok, F.coalesce("__v.verified_citations_count", F.lit(0))).otherwise(0).alias("verified_citations_count"),
+        F.when(ok, F.coalesce("__v.issues", F.array().cast(issue))).otherwise(F.array().cast(issue)).alias("issues"),
+        F.when(ok, F.left(F.coalesce("__v.summary", F.lit("")), F.lit(400))).otherwise(why).alias("summary"))
+
+
 def rerank_scores(pool: DataFrame, completer: Completer) -> DataFrame:
     """(query_id, id, score, reason) that a model gives to the rows of each query's pool, asked once for all of them.
 

@@ -114,14 +114,11 @@ def _sentence_runs(sentences: list[str], target: int, most: int, overlap: int) -
 
 
 def _chunks(df: DataFrame, key: str, cutter: Callable[[str], list[str]]) -> DataFrame:
-    kind = df.schema[key].dataType.simpleString()
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: cutter(t) if t is not None else [])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(k, i, c) for k, t in zip(b[key], b["text"]) for i, c in enumerate(cutter(t))]
-            yield pd.DataFrame(rows, columns=[key, "idx", "chunk"])
-
-    return df.where(F.col("text").isNotNull()).select(key, "text").mapInPandas(run, f"{key} {kind}, idx int, chunk string")
+    cut = F.pandas_udf(run, "array<string>")
+    return df.where(F.col("text").isNotNull()).select(key, F.posexplode(cut(F.col("text"))).alias("idx", "chunk"))
 
 
 def fixed_chunks(df: DataFrame, key: str) -> DataFrame:

@@ -38,6 +38,12 @@ def work_order(changes: DataFrame) -> DataFrame:
     return p.withColumn("k", F.row_number().over(local)).join(F.broadcast(before), ["__b", "__s"]).select("path", (F.col("k") + F.col("before")).alias("place"))
 
 
+def first_files(changes: DataFrame, n: int) -> DataFrame:
+    """(path, size) of the first ``n`` pending files in working order, by a heap per task."""
+    p = changes.where(F.col("status").isin(*PENDING))
+    return p.orderBy(F.when(F.col("status") == "added", 0).otherwise(1), "size", "path").limit(n).select("path", "size")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``old`` with the rows of ``new`` put in by key; ``new`` must hold a key once."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
@@ -47,6 +53,11 @@ def delete(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
+def replace(rows: DataFrame, new: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``rows`` without those of the keys in ``gone``, and the new ones, in one step: nothing is lost between a deletion and an insertion."""
+    return delete(rows, gone, [key]).unionByName(new)
+
+
 def apply_changes(manifest: DataFrame, disk: DataFrame, changes: DataFrame) -> DataFrame:
     """The manifest after a cycle: deleted paths gone, pending ones as on disk, touched ones with their new time."""
     st = changes.select("path", "status")

@@ -60,6 +60,25 @@ def sse_format(event: Column, data: Column) -> Column:
     return F.concat(F.lit("event: "), event, F.lit("\ndata: "), data, F.lit("\n\n"))
 
 
+#: The events of an answer in their order; tokens come between the sources and the critique.
+EVENTS = ("conversation", "retrieving", "intent", "sources", "token", "critique", "verifier", "done")
+
+
+def answer_events(answers: DataFrame) -> DataFrame:
+    """(conv_id, seq, event, data): what a client is sent while an answer is made, from (conv_id, intent, sources, tokens, critique, verifier, error).
+
+    An answer that failed ends with ``error`` in place of critique, verifier and done. Data are JSON; parts that are null are left out, ``seq`` counts from 0 without gaps.
+    """
+    event = lambda name, data: F.struct(F.lit(name).alias("event"), data.alias("data"))
+    obj = lambda name, c: F.when(F.col(c).isNotNull(), F.to_json(F.struct(F.col(c).alias(name))))
+    head = F.array(event("conversation", F.to_json(F.struct("conv_id"))), event("retrieving", F.lit("{}")), event("intent", obj("intent", "intent")), event("sources", obj("sources", "sources")))
+    tokens = F.transform(F.coalesce("tokens", F.array().cast("array<string>")), lambda t: F.struct(F.lit("token").alias("event"), F.to_json(F.struct(t.alias("text"))).alias("data")))
+    good = F.array(event("critique", obj("confidence", "critique")), event("verifier", obj("unverified", "verifier")), event("done", F.lit("{}")))
+    tail = F.when(F.col("error").isNotNull(), F.array(event("error", obj("message", "error")))).otherwise(good)
+    every = F.filter(F.concat(head, tokens, tail), lambda e: e["data"].isNotNull())
+    return answers.select("conv_id", F.posexplode(every).alias("seq", "e")).select("conv_id", "seq", "e.event", "e.data")
+
+
 def sse_parse(streams: DataFrame, key: str, text: str) -> DataFrame:
     """(key, seq, event, data): the complete, well-formed events of a stream; what follows the last blank line is not one."""
     frames = F.split(text, "\n\n", -1)

@@ -72,6 +72,12 @@ def ingest_order(spark, d):
     return ingest.work_order(changes(spark, d))
 
 
+@query("first_pending", STATES + "SELECT path, size FROM ch WHERE status IN ('added', 'modified', 'retried') ORDER BY CASE WHEN status = 'added' THEN 0 ELSE 1 END, size, path LIMIT 25")
+def first_pending(spark, d):
+    """A sample of a set size: the first pending files in working order."""
+    return ingest.first_files(changes(spark, d), 25)
+
+
 @query("ingest_batches", STATES + ", o AS (SELECT path, row_number() OVER (ORDER BY CASE WHEN status = 'added' THEN 0 ELSE 1 END, size, path) AS place FROM ch WHERE status IN ('added', 'modified', 'retried')) SELECT CAST((place - 1) // 200 AS BIGINT) AS batch, count(*) AS files, min(path) AS first_path FROM o GROUP BY 1")
 def ingest_batches(spark, d):
     """Pending files in batches of 200 in working order."""
@@ -96,14 +102,21 @@ def delete_propagation(spark, d):
     return ingest.delete(current(spark, d, "id", "file").distinct(), gone, ["file"]).groupBy("file").agg(F.count(F.lit(1)).alias("chunks"))
 
 
-@query("replace_chunks", STATES + """, ids AS (SELECT DISTINCT unnest(m.chunk_ids) AS id FROM manifest m JOIN ch USING (path) WHERE status = 'modified' AND m.sha256 = (SELECT any_value(sha256) FROM old WHERE old.path = m.path))
-  SELECT split_part(id, '-', 1) AS file, count(*) AS chunks FROM ids GROUP BY 1""")
+@query("replace_chunks", STATES + """, before AS (SELECT DISTINCT o.path, unnest(m.chunk_ids) AS id FROM manifest m JOIN old o ON o.path = m.path AND o.sha256 = m.sha256),
+ after_ AS (SELECT DISTINCT d.path, unnest(m.chunk_ids) AS id, d.sha256 AS made FROM manifest m JOIN disk d ON d.path = m.path AND d.sha256 = m.sha256 JOIN ch ON ch.path = d.path WHERE status IN ('added', 'modified', 'retried')),
+ kept AS (SELECT path, id, 'old' AS made FROM before WHERE path NOT IN (SELECT path FROM ch WHERE status IN ('deleted', 'modified', 'retried', 'added')))
+SELECT path, count(*) AS chunks, count(*) FILTER (WHERE made <> 'old') AS fresh, min(id) AS first_id, max(made) AS made FROM (SELECT * FROM kept UNION ALL SELECT path, id, made FROM after_) GROUP BY path""")
 def replace_chunks(spark, d):
-    """Ids of the chunks that a modified file's new version replaces, counted per file."""
+    """The chunks after a cycle: those of changed and deleted files are gone, those of the new versions there."""
     old, disk = old_and_disk(spark, d)
-    mod = ingest.detect_changes(disk, old).where("status = 'modified'").select("path").join(old.select("path", "sha256"), "path")
-    ids = manifest(spark, d).join(mod, ["path", "sha256"]).select(F.explode("chunk_ids").alias("id")).distinct()
-    return ids.groupBy(F.substring_index("id", "-", 1).alias("file")).agg(F.count(F.lit(1)).alias("chunks"))
+    ch = ingest.detect_changes(disk, old)
+    ids = manifest(spark, d).select("path", "sha256", "chunk_ids")
+    chunks = lambda entries: ids.join(entries.select("path", "sha256").distinct(), ["path", "sha256"]).select("path", F.explode("chunk_ids").alias("id"), "sha256").distinct()
+    pending = ch.where(F.col("status").isin(*ingest.PENDING)).select("path")
+    fresh = chunks(disk.join(pending, "path", "left_semi")).withColumnRenamed("sha256", "made")
+    gone = ch.where(F.col("status").isin("deleted", *ingest.PENDING))
+    after = ingest.replace(chunks(old).withColumn("made", F.lit("old")).drop("sha256").distinct(), fresh, gone, "path")
+    return after.groupBy("path").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("made") != "old").alias("fresh"), F.min("id").alias("first_id"), F.max("made").alias("made"))
 
 
 @query("doc_counts", NOW + "SELECT collection, count(*) AS documents FROM now_ WHERE collection IS NOT NULL AND coalesce(chunk_count, 0) > 0 GROUP BY collection")
@@ -177,14 +190,21 @@ def matrix_check(spark, d):
     return one.crossJoin(n).select("*", (F.col("rows_") == F.col("ids")).alias("aligned"))  # one row each
 
 
-@query("vector_upsert", CUR + """, v AS (SELECT id, row_no FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY row_no DESC) AS rn FROM chunk_vectors WHERE id IS NOT NULL AND embedding IS NOT NULL) WHERE rn = 1)
-SELECT collection, count(*) AS n, max(row_no) AS last_row, CAST(ceil(count(*) / 5000.0) AS BIGINT) AS calls FROM v JOIN cur USING (id) WHERE collection IS NOT NULL GROUP BY collection""")
+@query("vector_upsert", CUR + """, half AS (SELECT max(row_no) // 2 AS h FROM chunk_vectors), v AS (SELECT id, row_no, row_no > h AS new FROM chunk_vectors, half WHERE id IS NOT NULL AND embedding IS NOT NULL),
+ n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY row_no DESC) AS rn FROM v WHERE new) WHERE rn = 1), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY row_no DESC) AS rn FROM v WHERE NOT new) WHERE rn = 1),
+ u AS (SELECT * FROM o WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT * FROM n)
+SELECT collection, count(*) AS n, max(row_no) AS last_row, count(*) FILTER (WHERE new) AS fresh, CAST(sum(CASE WHEN new AND id IN (SELECT id FROM o) THEN 1 ELSE 0 END) AS BIGINT) AS replaced, CAST(ceil(count(*) / 5000.0) AS BIGINT) AS calls
+  FROM u JOIN cur USING (id) WHERE collection IS NOT NULL GROUP BY collection""")
 def vector_upsert(spark, d):
-    """What an upsert of all vectors writes per collection: one row per id, the last; in calls of 5,000."""
-    v = last_wins(table(spark, d, "chunk_vectors").where("id IS NOT NULL AND embedding IS NOT NULL"), "id", "row_no").select("id", "row_no")
-    old = v.limit(0)
-    new = ingest.upsert(old, v, ["id"]).join(current(spark, d, "id", "collection").where("collection IS NOT NULL"), "id")
-    return new.groupBy("collection").agg(F.count(F.lit(1)).alias("n"), F.max("row_no").alias("last_row"), F.ceil(F.count(F.lit(1)) / 5000).alias("calls"))
+    """The vector table per collection after the later half of the rows was put into the earlier half: one row per id; in calls of 5,000."""
+    v = table(spark, d, "chunk_vectors").where("id IS NOT NULL AND embedding IS NOT NULL").select("id", "row_no")
+    half = F.broadcast(table(spark, d, "chunk_vectors").agg(F.expr("max(row_no) div 2").alias("half")))  # one row
+    v = v.crossJoin(half).select("id", "row_no", (F.col("row_no") > F.col("half")).alias("new"))
+    old, new = (last_wins(x, "id", "row_no") for x in (v.where("NOT new"), v.where("new")))
+    before = old.select("id", F.lit(True).alias("before"))
+    after = ingest.upsert(old, new, ["id"]).join(before, "id", "left").join(current(spark, d, "id", "collection").where("collection IS NOT NULL"), "id")
+    replaced = F.sum(F.when(F.col("new") & F.col("before"), 1).otherwise(0))
+    return after.groupBy("collection").agg(F.count(F.lit(1)).alias("n"), F.max("row_no").alias("last_row"), F.count_if("new").alias("fresh"), replaced.alias("replaced"), F.ceil(F.count(F.lit(1)) / 5000).alias("calls"))
 
 
 @query("status_report", NOW + """SELECT coalesce(category, 'TOTAL') AS category, count(*) AS total, count(*) FILTER (WHERE coalesce(chunk_count, 0) > 0) AS ok, count(*) FILTER (WHERE coalesce(chunk_count, 0) = 0) AS failed,
@@ -203,11 +223,11 @@ def disk_vs_manifest(spark, d):
     return a.join(b, "category", "full").select("category", z("on_disk").alias("on_disk"), z("in_manifest").alias("in_manifest"), (z("on_disk") - z("in_manifest")).alias("missing"))
 
 
-@query("ghost_rows", STATES + "SELECT path FROM old EXCEPT SELECT path FROM disk")
+@query("ghost_rows", STATES + "SELECT path, chunk_count FROM now_ WHERE path NOT IN (SELECT path FROM disk)")
 def ghost_rows(spark, d):
-    """Manifest paths that aren't on disk."""
-    old, disk = old_and_disk(spark, d)
-    return old.select("path").join(disk.select("path"), "path", "left_anti")
+    """Entries of the current manifest that aren't on disk."""
+    _, disk = old_and_disk(spark, d)
+    return now(spark, d).select("path", "chunk_count").join(disk.select("path"), "path", "left_anti")
 
 
 @query("category_names", NOW + "SELECT category FROM now_ WHERE category IS NOT NULL UNION SELECT metadata.category FROM chunks WHERE metadata.category IS NOT NULL")

@@ -176,6 +176,19 @@ def sse_format(spark, d):
     return messages(spark, d).select("event_id", R.sse_format(sse_kind(), F.col("props")).alias("frame"))
 
 
+@query("answer_events", r"""WITH a AS (SELECT doc_id AS conv_id, doc_kind, source, CASE WHEN text IS NULL THEN []::VARCHAR[] ELSE list_slice(string_split(text, ' '), 1, 5) END AS ts, lang, CAST(doc_id % 3 AS INTEGER) AS un, CASE WHEN doc_id % 9 = 0 THEN 'limit' END AS err FROM documents),
+ e AS (SELECT conv_id, list_filter(list_concat([{'e': 'conversation', 'd': '{"conv_id":' || conv_id || '}'}, {'e': 'retrieving', 'd': '{}'}, {'e': 'intent', 'd': '{"intent":' || CAST(to_json(doc_kind) AS VARCHAR) || '}'}, {'e': 'sources', 'd': '{"sources":' || CAST(to_json(source) AS VARCHAR) || '}'}],
+   list_transform(ts, lambda t: {'e': 'token', 'd': '{"text":' || CAST(to_json(t) AS VARCHAR) || '}'}),
+   CASE WHEN err IS NOT NULL THEN [{'e': 'error', 'd': '{"message":"limit"}'}] ELSE [{'e': 'critique', 'd': '{"confidence":' || CAST(to_json(lang) AS VARCHAR) || '}'}, {'e': 'verifier', 'd': '{"unverified":' || un || '}'}, {'e': 'done', 'd': '{}'}] END), lambda x: x.d IS NOT NULL AND NOT contains(x.d, ':null}')) AS es FROM a)
+SELECT conv_id, CAST(i - 1 AS INTEGER) AS seq, es[i].e AS event, es[i].d AS data FROM (SELECT conv_id, es, unnest(range(1, len(es) + 1)) AS i FROM e)""")
+def answer_events(spark, d):
+    """What a client is sent for each document taken as an answer, the first five words as its tokens."""
+    x = table(spark, d, "documents").select(
+        F.col("doc_id").alias("conv_id"), F.col("doc_kind").alias("intent"), F.col("source").alias("sources"), F.slice(F.split("text", " "), 1, 5).alias("tokens"), F.col("lang").alias("critique"),
+        (F.col("doc_id") % 3).cast("int").alias("verifier"), F.when(F.col("doc_id") % 9 == 0, "limit").alias("error"))
+    return R.answer_events(x)
+
+
 @query("sse_parse", CONV + f"SELECT conv_id, turn - 1 AS seq, {KIND} AS event, props AS data FROM m WHERE event_id % 11 <> 5")
 def sse_parse(spark, d):
     """Every conversation's stream written as text, with some malformed events and an incomplete end, and read back."""

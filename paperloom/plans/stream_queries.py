@@ -44,5 +44,5 @@ def stream_ingest(spark, d):
     """Chunks upserted by a streaming query into a versioned table, then counted per file."""
     like = table(spark, d, "chunks").select("line_no", "id", "text")
     target = S.new_folder(spark, "ingest")
-    S.ingest_stream(S.file_stream(spark, f"{d}/chunks.parquet", like).where("id IS NOT NULL"), target, ["id"]).awaitTermination()
-    return S.read_versioned(spark, target).groupBy(F.substring_index("id", "-", 1).alias("file")).agg(F.count(F.lit(1)).alias("chunks"), F.max("line_no").alias("last_line"))
+    S.ingest_stream(S.file_stream(spark, f"{d}/chunks.parquet", like, files_per_trigger=4).where("id IS NOT NULL"), target, ["id"]).awaitTermination()
+    return S.read_versioned(spark, target, ["id"]).groupBy(F.substring_index("id", "-", 1).alias("file")).agg(F.count(F.lit(1)).alias("chunks"), F.max("line_no").alias("last_line"))

@@ -231,7 +231,9 @@ def _sql_fold(parts: str, limit: str, glue: str, full: str, then: str) -> str:
     return f"list_reduce({start}, lambda a, b: {step})"
 
 
-STRUCT_SQL = rf"""WITH t AS (SELECT doc_id, {sql_strip('text')} AS t FROM documents WHERE text IS NOT NULL),
+def struct_ctes(src: str) -> str:
+    """CTEs that cut ``src`` (doc_id, text) by structure; the last is chunked (doc_id, idx, chunk)."""
+    return rf"""t AS (SELECT doc_id, {sql_strip('text')} AS t FROM {src} WHERE text IS NOT NULL),
  sec AS (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS s FROM (SELECT doc_id, {_sql_parts('t', chr(92) + "n(" + chr(92) + "s*(?:BAB" + chr(92) + "s+[IVXLCDM]+|Pasal" + chr(92) + "s+" + chr(92) + "d+[A-Za-z]?|Bagian" + chr(92) + "s+[" + chr(92) + "p{L}" + chr(92) + "p{N}_]+|Pembukaan)" + chr(92) + "b)", chr(31) + chr(92) + "1").replace("'\\n(", "'(?i)\\n(")} AS p FROM t)),
  par AS (SELECT doc_id, i, 0 AS j, s FROM sec WHERE length(s) <= 1800
    UNION ALL SELECT doc_id, i, generate_subscripts(p, 1), unnest(p) FROM (SELECT doc_id, i, {_sql_parts('s', chr(92) + "n" + chr(92) + "s*" + chr(92) + "n", chr(31))} AS p FROM sec WHERE length(s) > 1800)),
@@ -239,11 +241,11 @@ STRUCT_SQL = rf"""WITH t AS (SELECT doc_id, {sql_strip('text')} AS t FROM docume
  cutr AS (SELECT doc_id, i, j, k, CASE WHEN length(r) <= 1800 THEN [r] ELSE list_transform(range(0, length(r), 1200), lambda q: substr(r, q + 1, 1200)) END AS cs FROM (SELECT doc_id, i, j, generate_subscripts(runs, 1) AS k, unnest(runs) AS r FROM run)),
  part AS (SELECT doc_id, i, j, 0 AS k, 0 AS m, s FROM par WHERE length(s) <= 1800 UNION ALL SELECT doc_id, i, j, k, generate_subscripts(cs, 1), unnest(cs) FROM cutr),
  lst AS (SELECT doc_id, list(s ORDER BY i, j, k, m) AS ps FROM part GROUP BY doc_id),
- merged AS (SELECT doc_id, list_filter(list_append(f.done, f.held), lambda c: length(c) >= 80) AS cs FROM (SELECT doc_id, {_sql_fold('ps', '1800', 'chr(10)', '1200', 'b.held')} AS f FROM lst))
-SELECT doc_id, CAST(idx - 1 AS INTEGER) AS idx, chunk FROM (SELECT doc_id, generate_subscripts(cs, 1) AS idx, unnest(cs) AS chunk FROM merged)"""
+ merged AS (SELECT doc_id, list_filter(list_append(f.done, f.held), lambda c: length(c) >= 80) AS cs FROM (SELECT doc_id, {_sql_fold('ps', '1800', 'chr(10)', '1200', 'b.held')} AS f FROM lst)),
+ chunked AS (SELECT doc_id, CAST(idx - 1 AS INTEGER) AS idx, chunk FROM (SELECT doc_id, generate_subscripts(cs, 1) AS idx, unnest(cs) AS chunk FROM merged))"""
 
 
-@query("struct_chunks", STRUCT_SQL)
+@query("struct_chunks", f"WITH {struct_ctes('documents')} SELECT doc_id, idx, chunk FROM chunked")
 def struct_chunks(spark, d):
     return chunking.structured_chunks(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 

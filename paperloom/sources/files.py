@@ -87,14 +87,16 @@ def extract_pages(files: DataFrame, parsers: list[Parser], few: int = 50) -> Dat
     return files.select("path", "content").mapInPandas(run, "path string, page int, text string, error string")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A manifest file of entries; lines that are no JSON or lack a path are left out, a missing file is an empty manifest."""
+def read_manifest(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """A manifest file of entries; lines that are no JSON or lack a path are left out, a missing file is an empty manifest. With ``strict`` such lines fail the read."""
     try:
         df = spark.read.schema(MANIFEST + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], MANIFEST)
+    if strict and df.select("path", "_bad").where("_bad IS NOT NULL OR path IS NULL").limit(1).count():
+        raise ValueError(f"{path} has lines that are no entries")
     return df.where("_bad IS NULL AND path IS NOT NULL").drop("_bad")
 
 
@@ -105,14 +107,20 @@ def save_manifest(df: DataFrame, path: str, version: int) -> str:
     return target
 
 
-def newest_manifest(spark: SparkSession, path: str) -> DataFrame:
+def newest_version(spark: SparkSession, path: str) -> int | None:
+    """The number of the newest finished version at ``path``."""
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(root):
-        return spark.createDataFrame([], MANIFEST)
+        return None
     done = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return read_manifest(spark, f"{path}/version={max(done)}") if done else spark.createDataFrame([], MANIFEST)
+    return max(done, default=None)
+
+
+def newest_manifest(spark: SparkSession, path: str) -> DataFrame:
+    n = newest_version(spark, path)
+    return read_manifest(spark, f"{path}/version={n}") if n is not None else spark.createDataFrame([], MANIFEST)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -122,13 +130,44 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_chunks(pages_or_chunks: DataFrame, path: str) -> dict[str, int]:
-    """Rows with an error go to ``path``/failed as TSV, the others to ``path``/chunks as JSONL; the counts come back."""
+    """Rows with an error go to ``path``/failed as TSV, the others to ``path``/chunks as JSONL; the counts come back, and are kept in ``path``/stats.
+
+    What an earlier run wrote is kept under the same names with ``.bak``.
+    """
+    spark = pages_or_chunks.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for part in ("chunks", "failed", "stats"):
+        at, old = (jvm.org.apache.hadoop.fs.Path(f"{path}/{part}{end}") for end in ("", ".bak"))
+        fs = at.getFileSystem(conf)
+        if fs.exists(at):
+            fs.delete(old, True)
+            fs.rename(at, old)
     ok = pages_or_chunks.where("error IS NULL").drop("error")
     bad = pages_or_chunks.where("error IS NOT NULL").select("path", "error").distinct()
     ok.write.mode("overwrite").json(f"{path}/chunks")
     bad.write.mode("overwrite").option("sep", "\t").csv(f"{path}/failed")
-    spark = pages_or_chunks.sparkSession
-    return {"chunks": spark.read.schema(ok.schema).json(f"{path}/chunks").count(), "failed": spark.read.schema("path string, error string").option("sep", "\t").csv(f"{path}/failed").count()}
+    out = {"chunks": spark.read.schema(ok.schema).json(f"{path}/chunks").count(), "failed": spark.read.schema("path string, error string").option("sep", "\t").csv(f"{path}/failed").count()}
+    spark.createDataFrame([tuple(out.values())], "chunks long, failed long").coalesce(1).write.mode("overwrite").json(f"{path}/stats")
+    return out
+
+
+class DocumentCounts:
+    """Documents per collection of the newest manifest at ``path``, counted once per version; while that can't be read the last counts stay."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path, self.version, self.counts = spark, path, None, {}
+
+    def __call__(self) -> dict[str, int]:
+        from paperloom.operators.ingest import documents_per_collection
+
+        try:
+            version = newest_version(self.spark, self.path)
+            if version is not None and version != self.version:
+                rows = documents_per_collection(read_manifest(self.spark, f"{self.path}/version={version}", strict=True)).collect()  # a row per collection
+                self.counts, self.version = {r[0]: r[1] for r in rows}, version
+        except Exception as e:  # noqa: BLE001 - whatever is wrong with the file, the last counts are better than none
+            self.error = e
+        return dict(self.counts)
 
 
 class UsageReport(DataSource):

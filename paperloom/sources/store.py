@@ -22,6 +22,37 @@ def read(spark: SparkSession, path: str, collections: list[str] | None = None) -
     return df.where(F.col("collection").isin(collections)) if collections else df
 
 
+class Catalog:
+    """Where the tables lie: below a folder (``files``) or in the session's catalog by name (``named``).
+
+    Any other mode is refused, and so is a folder that isn't there.
+    """
+
+    def __init__(self, spark: SparkSession, mode: str | None, root: str = "") -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+        self.mode = (mode or "files").strip().lower()
+        if self.mode not in ("files", "named"):
+            raise ValueError(f"mode must be 'files' or 'named', not {mode!r}")
+        if self.mode == "files":
+            at = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+                raise FileNotFoundError(f"no folder {self.root}; write the tables first or choose mode 'named'")
+
+    def table(self, name: str, collections: list[str] | None = None) -> DataFrame:
+        if self.mode == "files":
+            return read(self.spark, f"{self.root}/{name}", collections)
+        df = self.spark.table(name)
+        return df.where(F.col("collection").isin(collections)) if collections else df
+
+
+def save_vectors(vectors: DataFrame, path: str, model: str) -> DataFrame:
+    """Write (id, embedding, ...) by collection, and beside it what was written: model, rows, dimension. The description comes last: without it a load is not whole."""
+    rebuild(vectors, f"{path}/vectors")
+    n = vectors.sparkSession.read.parquet(f"{path}/vectors").agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("embedding")).alias("dim"))
+    n.select(F.lit(model).alias("model"), "rows", "dim").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+    return vectors.sparkSession.read.schema("model string, rows long, dim int").json(f"{path}/meta")
+
+
 def check_aligned(vectors: int, ids: int) -> None:
     """Vectors and ids that go together row by row must be as many."""
     if vectors != ids:

@@ -13,8 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paperloom import config as C
-from paperloom.operators.ingest import upsert
 from paperloom.session import shared_folder
+from paperloom.sources.tables import last_wins
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -37,35 +37,43 @@ def event_time(events: DataFrame, column: str = "ts") -> DataFrame:
 
 
 def ingest_stream(stream: DataFrame, target: str, keys: list[str], work: Callable[[DataFrame], DataFrame] = lambda x: x, order: str = "line_no",
-                  **trigger: Any) -> StreamingQuery:
+                  compact: int = 16, **trigger: Any) -> StreamingQuery:
     """Upsert every micro-batch into the table at ``target``; of the rows of a key the one highest in ``order`` stays, whenever it came.
 
-    A batch writes a new version folder and then the pointer to it, so that a batch that is lost halfway and repeated leaves the table as if it
-    had run once. Failed inputs come again with a later batch by their own rows; there is no state beside the table.
+    A batch writes its own rows alone, one per key, to a folder of its number, so that one that is lost halfway and repeated leaves the table as if it
+    had run once, and its cost goes by its own size. Readers take the newest row of each key over the folders. After every ``compact`` batches these are put together
+    to one, which counts for all up to its number; older folders stay for readers that have begun. Failed inputs come again with a later batch by their own rows.
     """
     spark = stream.sparkSession
 
     def batch(df: DataFrame, no: int) -> None:
-        new, old = work(df), read_versioned(spark, target, no)
-        if old is not None:
-            new = new.unionByName(old.join(new.select(*keys), keys, "left_semi"))
-        new = new.groupBy(*keys).agg(F.max_by(F.struct(*new.columns), order).alias("r")).select("r.*")
-        out = upsert(old, new, keys) if old is not None else new
-        out.write.mode("overwrite").parquet(f"{target}/v{no}")
-        spark.createDataFrame([(no,)], "version long").coalesce(1).write.mode("overwrite").json(f"{target}/pointer/v{no}")
+        newest(work(df), keys, order).write.mode("overwrite").parquet(f"{target}/deltas/version={no}")
+        if compact and no % compact == compact - 1:
+            read_versioned(spark, target, keys, order, upto=no).write.mode("overwrite").parquet(f"{target}/bases/version={no}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{target}/progress").trigger(**(trigger or {"availableNow": True})).start()
 
 
-def read_versioned(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """The table at its newest version (older than ``before``), None if there is none."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/pointer")
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    names = [int(s.getPath().getName()[1:]) for s in fs.listStatus(root) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    names = [n for n in names if before is None or n < before]
-    return spark.read.parquet(f"{target}/v{max(names)}") if names else None
+def newest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of the rows of each key one with the highest order; only keys and order are shuffled, but for keys that have several."""
+    if len(keys) == 1:
+        return last_wins(rows, keys[0], order).dropDuplicates([keys[0], order])
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+
+
+def read_versioned(spark: SparkSession, target: str, keys: list[str], order: str = "line_no", upto: int | None = None) -> DataFrame | None:
+    """The table of :func:`ingest_stream` after its newest finished batch, or that of number ``upto``; None if there is none."""
+    def done(kind: str) -> list[int]:
+        root = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{kind}")
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        found = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        return [n for n in found if upto is None or n <= upto]
+
+    base = max(done("bases"), default=-1)
+    parts = [f"{target}/deltas/version={n}" for n in sorted(done("deltas")) if n > base] + ([f"{target}/bases/version={base}"] if base >= 0 else [])
+    return newest(spark.read.parquet(*parts), keys, order) if parts else None
 
 
 def windowed_counts(events: DataFrame, length: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -88,29 +96,28 @@ def sessions(events: DataFrame, idle: str = C.SESSION_IDLE, late: str = "1 hour"
 
 
 def conversations(messages: DataFrame, idle_ms: int = 3_600_000, most: int = C.HISTORY_MESSAGES) -> DataFrame:
-    """Keyed state of a stream of (conv_id, turn, role): the last messages, dropped after the idle time without any.
+    """Keyed state of a stream of (conv_id, turn, role, text): the last messages, dropped after the idle time without any.
 
-    Every batch gives each touched conversation's kept turns as (conv_id, turns, first_role).
+    Every batch gives the kept messages of each conversation that it touches, as (conv_id, place, turn, role, text).
     """
+    fields = ["turn", "role", "text"]
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        turns, roles = state.get if state.exists else ([], [])
-        turns, roles = list(turns), list(roles)
-        new = pd.concat(list(batches)).sort_values("turn")
-        turns += new["turn"].astype(int).tolist()
-        roles += new["role"].tolist()
-        if len(turns) > most:
-            turns, roles = turns[-most:], roles[-most:]
-            if roles[0] == "assistant":
-                turns, roles = turns[1:], roles[1:]
-        state.update((turns, roles))
+        held = pd.DataFrame(dict(zip(fields, state.get)) if state.exists else {f: [] for f in fields})
+        kept = pd.concat([held, *(b[fields] for b in batches)]).drop_duplicates("turn", keep="last").sort_values("turn")
+        if len(kept) > most:
+            kept = kept.tail(most)
+            if kept["role"].iloc[0] == "assistant":
+                kept = kept.iloc[1:]
+        state.update((kept["turn"].astype(int).tolist(), kept["role"].tolist(), [None if pd.isna(x) else x for x in kept["text"]]))
         state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame({"conv_id": [key[0]], "turns": [len(turns)], "first_role": [roles[0] if roles else ""]})
+        yield kept.astype({"turn": "int64"}).assign(conv_id=key[0], place=range(1, len(kept) + 1))[["conv_id", "place", *fields]]
 
     return messages.groupBy("conv_id").applyInPandasWithState(
-        step, "conv_id long, turns long, first_role string", "turns array<long>, roles array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+        step, "conv_id long, place int, turn long, role string, text string", "turns array<long>, roles array<string>, texts array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def run_once(stream: DataFrame, mode: str = "complete") -> DataFrame:

@@ -2,10 +2,13 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from paperloom.sources import files
-from paperloom.streaming import streams
+from paperloom.caching import Cache
+from paperloom.settings import Question, Settings
+from paperloom.sources import files, store
+from paperloom.streaming import cycles, streams
 
 
 def test_discover_and_extract(spark, tmp_path):
@@ -57,13 +60,13 @@ def test_stream_ingest_over_batches(spark, tmp_path):
     streams.ingest_stream(streams.file_stream(spark, src, like), target, ["id"]).awaitTermination()
     make([("a", 2, "late"), ("c", 4, "y")])
     streams.ingest_stream(streams.file_stream(spark, src, like), target, ["id"]).awaitTermination()
-    assert sorted((r.id, r.text) for r in streams.read_versioned(spark, target).collect()) == [("a", "new"), ("b", "x"), ("c", "y")]
+    assert sorted((r.id, r.text) for r in streams.read_versioned(spark, target, ["id"]).collect()) == [("a", "new"), ("b", "x"), ("c", "y")]
 
 
 def test_conversation_state(spark, tmp_path):
     src = str(tmp_path / "in")
-    rows = [(1, t, "user" if t % 2 else "assistant") for t in range(1, 16)]
-    schema = "conv_id long, turn long, role string"
+    rows = [(1, t, "user" if t % 2 else "assistant", f"m{t}") for t in range(1, 16)]
+    schema = "conv_id long, turn long, role string, text string"
     spark.createDataFrame(rows[:6], schema).coalesce(1).write.mode("append").parquet(src)
     like = spark.read.parquet(src)
     seen = []
@@ -71,9 +74,75 @@ def test_conversation_state(spark, tmp_path):
         if part:
             spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
         out = streams.conversations(streams.file_stream(spark, src, like))
-        q = out.writeStream.outputMode("update").foreachBatch(lambda df, no: seen.extend(tuple(r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "p")).trigger(once=True).start()
+        seen.append([])
+        q = out.writeStream.outputMode("update").foreachBatch(lambda df, no: seen[-1].extend(tuple(r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "p")).trigger(once=True).start()
         assert q.awaitTermination(60)  # with a timer on its state, a query over all that is there wouldn't end by itself
-    assert seen[0] == (1, 6, "user") and seen[-1] == (1, 9, "user")
+    assert sorted(seen[0]) == [(1, t, t, "user" if t % 2 else "assistant", f"m{t}") for t in range(1, 7)]
+    assert [r[1:] for r in sorted(seen[1])] == [(k, t, "user" if t % 2 else "assistant", f"m{t}") for k, t in enumerate(range(7, 16), 1)]
+
+
+def test_stream_compacts(spark, tmp_path):
+    src, target = str(tmp_path / "in"), str(tmp_path / "t")
+    for i in range(5):
+        spark.createDataFrame([(f"k{i % 2}", i, str(i))], "id string, line_no long, text string").coalesce(1).write.mode("append").parquet(src)
+    like = spark.read.parquet(src)
+    streams.ingest_stream(streams.file_stream(spark, src, like, files_per_trigger=1), target, ["id"], compact=2).awaitTermination()
+    assert sorted(p.name for p in (tmp_path / "t" / "bases").iterdir()) == ["version=1", "version=3"]
+    assert sorted((r.id, r.text) for r in streams.read_versioned(spark, target, ["id"]).collect()) == [("k0", "4"), ("k1", "3")]
+
+
+def test_cycles_by_the_clock(spark, tmp_path):
+    disk = spark.createDataFrame([("a", 1, 1.0, "x"), ("b", 2, 1.0, "y")], "path string, size long, mtime double, sha256 string")
+    calls = []
+
+    def work(pending):
+        calls.append(1)
+        bad = F.col("path") == "b"
+        return pending.select("path", F.when(~bad, F.col("path")).alias("id"), F.when(bad, "no").alias("error"))
+
+    cycles.run(spark, str(tmp_path), lambda: disk, work, interval="1 second", duration=8)
+    assert len(calls) >= 2 and [tuple(r) for r in cycles.chunks(spark, str(tmp_path)).collect()] == [("a", "a")]
+    assert cycles.failures(spark, str(tmp_path)).first().tries == len(calls)
+    n = cycles.newest_version(spark, f"{tmp_path}/manifest")
+    assert cycles.cycle(spark, str(tmp_path), disk, work, number=n) == n and len(calls) == n  # a finished cycle isn't repeated
+
+
+def test_manifest_counts_survive_a_broken_version(spark, tmp_path):
+    counts = files.DocumentCounts(spark, str(tmp_path / "none"))
+    assert counts() == {}
+    with pytest.raises(ValueError):
+        store.Catalog(spark, "http", str(tmp_path))
+    with pytest.raises(FileNotFoundError):
+        store.Catalog(spark, None, str(tmp_path / "none"))
+
+
+def test_cache(spark):
+    now, made = [0.0], []
+    c = Cache(most=2, seconds=10, clock=lambda: now[0])
+    make = lambda k: lambda: made.append(k) or k
+    assert [c.get(k, make(k)) for k in "abab"] == list("abab") and made == ["a", "b"]
+    c.get("c", make("c"))
+    c.get("a", make("a"))  # the longest unused went
+    assert made == ["a", "b", "c", "a"]
+    now[0] = 11
+    c.get("c", make("c"))
+    c.get("c", make("c"), fingerprint=2)
+    assert made[4:] == ["c", "c"]
+    df = c.get("df", lambda: spark.range(3))
+    assert df.is_cached
+    c.drop("df")
+    assert not df.is_cached
+
+
+def test_settings():
+    assert Settings.read({}) == Settings()
+    s = Settings.read({"PAPERLOOM_CROSS_STAGE": "off", "PAPERLOOM_SECOND_OPINION": "YES", "PAPERLOOM_RERANK_CUT": "7"})
+    assert (s.cross_stage, s.second_opinion, s.rerank_cut) == (False, True, 7)
+    with pytest.raises(ValueError):
+        Settings.read({"PAPERLOOM_RERANK_CUT": "0"})
+    for bad in (("", 5), ("x", 0), ("x", 21)):
+        with pytest.raises(ValueError):
+            Question(*bad)
 
 
 def test_stream_equals_batch(spark, data, tmp_path):
