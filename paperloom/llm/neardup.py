@@ -12,7 +12,11 @@
    by prefix index. So every similar pair that shares a bucket is found; with the default 28 bands of 4 that is 0.9995
    of the pairs at similarity 0.7, and more above.
 
-Stars and leftovers of more than ``BLOCK`` classes are cut into blocks, and every two blocks meet in a task of their own.
+For groups, not pairs, the similarity of two texts that are both similar to a centre adds nothing, and is not looked for: a bucket of
+a hundred thousand variants of one form costs its stars.
+
+Stars and leftovers of more than ``BLOCK`` classes are not held by one task. Their members meet parts of the star with a copy of the centre, and the
+prefix index becomes a join on (star, rare shingle), so that what is shuffled grows with the shingles, and a pair meets only if it shares a rare one.
 """
 
 from __future__ import annotations
@@ -24,13 +28,13 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import WORD, Hasher, mix64
 from paperloom.session import cut
 
-#: Classes that one task compares with each other.
+#: Classes that one task compares with each other; larger groups are joined by their shingles.
 BLOCK = 1_000
 #: Class numbers up to this many are sent to every task; more are joined by a shuffle.
 BROADCAST_CLASSES = 200_000
@@ -134,76 +138,132 @@ def jaccard(a: frozenset, b: frozenset) -> float:
     return both / (len(a) + len(b) - both) if a or b else 0.0
 
 
-def similar_pairs(names: list[int], sets: list[frozenset], block: list[int], wanted: tuple[int, int], t: float) -> Iterator[tuple[int, int, float]]:
-    """Index pairs at similarity ``t`` or more, by a prefix index over the rarest shingles of the group.
+def prefix_size(size: int, t: float) -> int:
+    """How many of a set's shingles, in any common order, hold one of every set at similarity ``t``."""
+    return size - ceil(t * size - 1e-9) + 1
 
-    With two different blocks wanted only pairs across them are given; pairs within a block come from its own task.
-    """
+
+def similar_pairs(names: list[int], sets: list[frozenset], known: list[bool], t: float) -> Iterator[tuple[int, int, float]]:
+    """Index pairs at similarity ``t`` or more, by a prefix index over the rarest shingles of the group; pairs of two known ones are left out."""
     count = Counter(x for s in sets for x in s)
     index: dict[int, list[int]] = {}
-    across = wanted[0] != wanted[1]
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), names[i]))
-    for i in order:
+    for i in sorted(range(len(sets)), key=lambda i: (len(sets[i]), names[i])):
         s = sets[i]
-        prefix = sorted(s, key=lambda x: (count[x], x))[: len(s) - ceil(t * len(s) - 1e-9) + 1]
         seen = set()
-        for x in prefix:
+        for x in sorted(s, key=lambda x: (count[x], x))[: prefix_size(len(s), t)]:
             for j in index.get(x, ()):
                 if j not in seen:
                     seen.add(j)
-                    if not (across and block[i] == block[j]) and len(sets[j]) >= t * len(s) - 1e-9:
+                    if not (known[i] and known[j]) and len(sets[j]) >= t * len(s) - 1e-9:
                         sim = jaccard(s, sets[j])
                         if sim >= t - 1e-12:
                             yield i, j, sim
             index.setdefault(x, []).append(i)
 
 
-def compare(groups: DataFrame, sets: DataFrame, t: float, centred: bool) -> DataFrame:
+def unpacked(shingles: bytes) -> frozenset:
+    return frozenset(np.frombuffer(shingles, dtype=np.uint64).tolist())
+
+
+def compare(groups: DataFrame, sets: DataFrame, t: float, centred: bool, every: bool = True) -> DataFrame:
     """(a, b, similarity) of the similar pairs within each group, with a < b.
 
     ``groups`` holds (gid, copy); with ``centred`` the gid is the centre's copy and members under 1 - 2 (1 - t) to it are
-    left to step 5. The pairs of a group come from one task, those of a large one from a task for every two blocks.
+    left to step 5. Without ``every`` pairs of two members that are similar to the centre are left out.
     """
-    n = groups.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    big = n.where("blocks > 1")
-    loose = 1 - 2 * (1 - t)
-    dealt = groups.join(big, "gid", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn(
-        "mine", F.pmod(F.xxhash64("copy"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "gid", "copy", "mine", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"))
-    full = dealt.join(sets, "copy")
-    if centred:  # the centre's own set goes to each of its tasks, as a row of no block
-        parts = dealt.select("gid", "b1", "b2").distinct()
-        own = sets.select(F.col("copy").alias("gid"), F.col("shingles"))
-        centres = parts.join(own, "gid").select(F.col("gid").alias("copy"), "gid", F.lit(-1).alias("mine"), "b1", "b2", "shingles")
-        full = full.where("copy <> gid").unionByName(centres)
+    large = cut(groups.groupBy(F.col("gid").alias("__g")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK))
+    if not large.limit(1).count():
+        return _within_tasks(groups, sets, t, centred, every)
+    small = groups.join(large, F.col("gid") == F.col("__g"), "left_anti")
+    more = groups.join(large, F.col("gid") == F.col("__g")).drop("__g")
+    return _within_tasks(small, sets, t, centred, every).unionByName(_by_shingles(more, sets, t, centred, every))
+
+
+def _centres(parts: DataFrame, sets: DataFrame) -> DataFrame:
+    """A row with the centre's own set for each of ``parts`` (gid and others)."""
+    own = sets.select(F.col("copy").alias("gid"), "shingles")
+    return parts.join(own, "gid").withColumn("copy", F.col("gid")).withColumn("centre", F.lit(True))
+
+
+def _within_tasks(groups: DataFrame, sets: DataFrame, t: float, centred: bool, every: bool) -> DataFrame:
+    """:func:`compare` for groups that a task can hold."""
+    full = groups.join(sets, "copy").withColumn("centre", F.lit(False))
+    if centred:
+        full = full.where("copy <> gid").unionByName(_centres(groups.select("gid").distinct(), sets))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets_ = [frozenset(np.frombuffer(x, dtype=np.uint64).tolist()) for x in pdf["shingles"]]
-        names, block = pdf["copy"].tolist(), pdf["mine"].tolist()
-        wanted = (int(pdf["b1"].iloc[0]), int(pdf["b2"].iloc[0]))
-        keep = list(range(len(names)))
-        rows = []
+        centre = pdf["centre"].to_numpy()
+        sets_, names = [unpacked(x) for x in pdf["shingles"][~centre]], pdf["copy"][~centre].tolist()
+        rows, known = [], [False] * len(names)
         if centred:
-            c = block.index(-1)
-            sim = [jaccard(sets_[c], s) for s in sets_]
-            rows = [(names[c], names[i], sim[i]) for i in keep if i != c and sim[i] >= t - 1e-12]
-            keep = [i for i in keep if i != c and sim[i] >= loose - 1e-12]
-        sub = [sets_[i] for i in keep]
-        pairs = similar_pairs([names[i] for i in keep], sub, [block[i] for i in keep], wanted, t)
-        rows += [(names[keep[i]], names[keep[j]], s) for i, j, s in pairs]
-        return pd.DataFrame([(min(a, b), max(a, b), s) for a, b, s in rows], columns=["a", "b", "similarity"])
+            c, own = int(pdf["gid"].iloc[0]), unpacked(pdf["shingles"][centre].iloc[0])
+            sim = [jaccard(own, s) for s in sets_]
+            rows = [(c, n, x) for n, x in zip(names, sim) if x >= t - 1e-12]
+            keep = [i for i, x in enumerate(sim) if x >= 1 - 2 * (1 - t) - 1e-12]
+            names, sets_, known = [names[i] for i in keep], [sets_[i] for i in keep], [not every and sim[i] >= t - 1e-12 for i in keep]
+        rows += [(names[i], names[j], x) for i, j, x in similar_pairs(names, sets_, known, t)]
+        return pd.DataFrame([(min(a, b), max(a, b), x) for a, b, x in rows], columns=["a", "b", "similarity"])
+
+    return full.groupBy("gid").applyInPandas(run, "a long, b long, similarity double")
+
+
+def _by_shingles(groups: DataFrame, sets: DataFrame, t: float, centred: bool, every: bool) -> DataFrame:
+    """:func:`compare` for groups (gid, copy, n) of any size."""
+    pairs = "a long, b long, similarity double"
+    inner, stars = groups.select("gid", "copy", F.lit(False).alias("near")), None
+    if centred:
+        dealt = groups.where("copy <> gid").withColumn("part", F.pmod(F.xxhash64("copy"), F.ceil(F.col("n") / BLOCK)).cast("int")).drop("n")
+        full = dealt.join(sets, "copy").withColumn("centre", F.lit(False)).unionByName(_centres(dealt.select("gid", "part").distinct(), sets))
+
+        def score(pdf: pd.DataFrame) -> pd.DataFrame:
+            centre = pdf["centre"].to_numpy()
+            own = unpacked(pdf["shingles"][centre].iloc[0])
+            out = pdf.loc[~centre, ["gid", "copy"]]
+            return out.assign(similarity=[jaccard(own, unpacked(x)) for x in pdf["shingles"][~centre]])
+
+        scored = cut(full.groupBy("gid", "part").applyInPandas(score, "gid long, copy long, similarity double"))
+        near = F.col("similarity") >= t - 1e-12
+        stars = scored.where(near).select(F.least("gid", "copy").alias("a"), F.greatest("gid", "copy").alias("b"), "similarity")
+        inner = scored.where(F.col("similarity") >= 1 - 2 * (1 - t) - 1e-12).select("gid", "copy", near.alias("near"))
+        if not every:  # stars of which all are similar to the centre are done
+            inner = inner.join(inner.where("NOT near").select("gid").distinct(), "gid", "left_semi")
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            size = (b["shingles"].str.len() // 8).to_numpy()
+            yield pd.DataFrame({**{c: np.repeat(b[c].to_numpy(), size) for c in ("gid", "copy", "near")}, "size": np.repeat(size, size),
+                                "x": np.frombuffer(b"".join(b["shingles"]), dtype=np.int64)})
+
+    every_x = cut(inner.join(sets, "copy").select("gid", "copy", "near", "shingles").mapInPandas(spread, "gid long, copy long, near boolean, size int, x long"))
+    counts = every_x.groupBy("gid", "x").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    # Shingles that no other member has come first in the order and find nothing: only their number counts.
+    shared = every_x.join(counts, ["gid", "x"])
+    place = F.row_number().over(Window.partitionBy("gid", "copy").orderBy("k", "x")) + F.col("size") - F.count(F.lit(1)).over(Window.partitionBy("gid", "copy"))
+    prefix = shared.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * t - 1e-9) + 1).select("gid", "x", "copy", "near", "size")
+    l, r = prefix.alias("l"), prefix.alias("r")
+    meet = l.join(r, (F.col("l.gid") == F.col("r.gid")) & (F.col("l.x") == F.col("r.x")) & (F.col("l.copy") < F.col("r.copy"))
+                  & (F.least("l.size", "r.size") >= F.greatest("l.size", "r.size") * t - 1e-9) & (F.lit(every) | ~F.col("l.near") | ~F.col("r.near")))
+    meet = meet.select(F.col("l.copy").alias("a"), F.col("r.copy").alias("b")).distinct()
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["similarity"] = np.array([jaccard(unpacked(x), unpacked(y)) for x, y in zip(b["x"], b["y"])], dtype=float)
+            yield b[b["similarity"] >= t - 1e-12][["a", "b", "similarity"]]
 
-    return full.groupBy("gid", "b1", "b2").applyInPandas(run, "a long, b long, similarity double")
+    found = meet.join(sets.select(F.col("copy").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("copy").alias("b"), F.col("shingles").alias("y")), "b")
+    found = found.select("a", "b", "x", "y").mapInPandas(check, pairs)
+    return found.unionByName(stars) if stars is not None else found
 
 
 class Similar:
     """Classes of copies, and the similar pairs between classes.
 
-    members: (id, copy) for every text of at least ``words`` words; short: the same for the others, which are similar to none; pairs: (a, b, similarity) with a < b, class numbers.
+    members: (id, copy) for every text of at least ``words`` words; short: the same for the others, which are similar to none; pairs: (a, b, similarity) with a < b, class numbers:
+    all similar ones, or without ``every`` as many as connect what all of them connect.
     """
 
-    def __init__(self, df: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 28, rows: int = 4) -> None:
+    def __init__(self, df: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 28, rows: int = 4, every: bool = True) -> None:
+        self.every = every
         df = df.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", "text")
         sig = cut(signatures(df, words, bands, rows))
         self.short = sig.where(F.size("buckets") == 0).select("id", "copy")
@@ -230,7 +290,7 @@ class Similar:
         wanted = reps.join(F.broadcast(involved) if few else involved, "copy", "left_semi").select(F.col("id").alias("__id"))
         texts = df.join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("__id"), "left_semi")
         sets = cut(shingle_sets(texts, words).dropDuplicates(["copy"]))
-        found = cut(compare(edges, sets, threshold, centred=True))
+        found = cut(compare(edges, sets, threshold, centred=True, every=every))
         # Step 5: members of larger buckets that are not similar to the centre, where two or more are left.
         tight = found.select(F.col("a").alias("__c"), F.col("b").alias("__m")).unionByName(found.select("b", "a").toDF("__c", "__m"))
         left = stars.where("bucket IS NOT NULL").join(tight, (F.col("centre") == F.col("__c")) & (F.col("copy") == F.col("__m")), "left_anti")
@@ -275,7 +335,7 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def groups(found: Similar) -> DataFrame:
-    """One row per text that is not null: (id, class_id, group_id, links). Texts too short for a shingle are a class with
+    """One row per text that is not null: (id, class_id, group_id), and where all pairs were looked for links. Texts too short for a shingle are a class with
     their copies, but similar to none: they have no links, as they have no pairs.
 
     class_id is the least id of its copies, group_id the least id of the texts connected to it by similar pairs, links the number of
@@ -285,12 +345,12 @@ def groups(found: Similar) -> DataFrame:
     ends = found.pairs.select("a", "b").unionByName(found.pairs.select("b", "a").toDF("a", "b"))
     links = ends.join(sizes.select(F.col("copy").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("links"))
     labels = components(found.pairs)
-    per = (
-        sizes.join(links, sizes["copy"] == links["a"], "left").join(labels, sizes["copy"] == labels["node"], "left")
-        .select("copy", "class_id", F.coalesce("group", "copy").alias("group"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
-    )
+    per = sizes.join(labels, sizes["copy"] == labels["node"], "left").select("copy", "class_id", "n", F.coalesce("group", "copy").alias("group"))
     named = per.groupBy("group").agg(F.min("class_id").alias("group_id"))
-    long = found.members.distinct().join(per.join(named, "group").drop("group"), "copy").select("id", "class_id", "group_id", "links")
+    per = per.join(named, "group").drop("group")
     alone = found.short.groupBy("copy").agg(F.min("id").alias("class_id"))
-    return long.unionByName(found.short.distinct().join(alone, "copy").select(
-        "id", "class_id", F.col("class_id").alias("group_id"), F.lit(0).cast("long").alias("links")))
+    short = found.short.distinct().join(alone, "copy").select("id", "class_id", F.col("class_id").alias("group_id"))
+    if not found.every:
+        return found.members.distinct().join(per, "copy").select("id", "class_id", "group_id").unionByName(short)
+    per = per.join(links, per["copy"] == links["a"], "left").withColumn("links", F.coalesce("links", F.lit(0)) + F.col("n") - 1)
+    return found.members.distinct().join(per, "copy").select("id", "class_id", "group_id", "links").unionByName(short.withColumn("links", F.lit(0).cast("long")))

@@ -159,8 +159,8 @@ def p3_neighbours(spark, d):
         "row_no", "other", F.round("cosine", 6).alias("cosine"), "rank")
 
 
-def similar_chunks(spark, d):
-    return neardup.Similar(current(spark, d, "id", "text"), threshold=0.7, words=3)
+def similar_chunks(spark, d, every=True):
+    return neardup.Similar(current(spark, d, "id", "text"), threshold=0.7, words=3, every=every)
 
 
 P5_PAIRS = r"""
@@ -179,10 +179,19 @@ def p5_found(spark, d):
  edges AS (SELECT id_a AS a, id_b AS b FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),
  class AS (SELECT id, len(w) >= 3 AS long, min(id) OVER (PARTITION BY w) AS class_id FROM w),
  reach AS (SELECT id AS a, id AS b FROM w UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
- least_ AS (SELECT a AS id, min(b) AS group_id FROM reach GROUP BY a), n AS (SELECT a AS id, count(*) AS links FROM edges GROUP BY a)
-SELECT id, class_id, CASE WHEN long THEN group_id ELSE class_id END AS group_id, coalesce(links, 0) AS links FROM class JOIN least_ USING (id) LEFT JOIN n USING (id)""")
+ least_ AS (SELECT a AS id, min(b) AS group_id FROM reach GROUP BY a)
+SELECT id, class_id, CASE WHEN long THEN group_id ELSE class_id END AS group_id FROM class JOIN least_ USING (id)""")
 def p5_groups(spark, d):
-    return neardup.groups(similar_chunks(spark, d))
+    """Every text's class of copies and its group of near duplicates, without looking for the pairs within what a centre already connects."""
+    return neardup.groups(similar_chunks(spark, d, every=False))
+
+
+@query("p5_links", CURRENT + P5_PAIRS + """, pairs AS (SELECT id_a, id_b FROM both_ WHERE k * 10 >= (na + nb - k) * 7),
+ edges AS (SELECT id_a AS a FROM pairs UNION ALL SELECT id_b FROM pairs), n AS (SELECT a AS id, count(*) AS links FROM edges GROUP BY a)
+SELECT id, coalesce(links, 0) AS links FROM w LEFT JOIN n USING (id)""")
+def p5_links(spark, d):
+    """To how many other texts each is similar."""
+    return neardup.groups(similar_chunks(spark, d)).select("id", "links")
 
 
 @query("p9_found")

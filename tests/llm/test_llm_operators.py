@@ -256,6 +256,37 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert sum(r.links for r in rows) == 2 * len(got)
     label = {r.id: r.group_id for r in rows}
     assert all(label[a] == label[b] for a, b in got)
+    few = neardup.Similar(df, 0.7, 3, every=False)
+    assert {tuple(r) for r in neardup.groups(few).collect()} == {(r.id, r.class_id, r.group_id) for r in rows}
+
+
+@pytest.mark.parametrize("every", [True, False])
+def test_forms_in_one_bucket(spark, monkeypatch, every):
+    """Many variants of one form, and some that are similar to each other but not to the form, in buckets larger than a task takes."""
+    monkeypatch.setattr(neardup, "BLOCK", 20)
+    rng = random.Random(15)
+    form = [rng.choice(WORDS) + str(rng.randrange(9)) for _ in range(80)]
+    texts = []
+    for i in range(150):
+        t = list(form)
+        for _ in range(2 if i % 30 else 12):
+            t[rng.randrange(80)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+        if i % 10 == 0:
+            t[rng.randrange(80)] = "lain"
+            texts.append(" ".join(t))
+    s = neardup.Similar(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), 0.7, 3, every=every)
+    want = brute(texts, 0.7, 3)
+    if every:
+        got = {tuple(r) for r in neardup.id_pairs(s).collect()}
+        assert got <= want and len(got) >= 0.995 * len(want)
+    else:
+        assert s.pairs.count() < len(want) / 2  # stars, and what is not similar to their centres
+    label = list(range(len(texts)))
+    for _ in texts:
+        for a, b in want:
+            label[a] = label[b] = min(label[a], label[b])
+    assert sum(r.group_id == label[r.id] for r in neardup.groups(s).collect()) >= len(texts) - 1
 
 
 def test_groups_of_short_texts(spark):
