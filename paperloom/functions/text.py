@@ -76,7 +76,7 @@ def clean_page_old(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Search terms, lower-cased: runs of Latin letters or Hangul, numbers with their slashes and dashes; [] for null."""
-    return F.coalesce(F.transform(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)), F.lower), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
 def article_old(c: Column) -> Column:

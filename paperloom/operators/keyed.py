@@ -1,8 +1,9 @@
 """Per-key results when a few keys hold most rows.
 
 Nothing here gathers the rows of a key. Every result is algebraic: each task reduces its rows to one
-small state per key (Spark's hash aggregate, which falls back to sorting and spilling when its table
-is full), and only those states are shuffled. For the k highest rows per key the state is the k rows:
+small state per key, and only those states are shuffled. Where the state is of fixed width that is Spark's hash aggregate, which
+falls back to sorting and spilling when its table is full; a state that holds text (``max_by`` of an entry) takes its sort aggregate, which sorts a
+task's rows by key, spills, and combines them in one pass. For the k highest rows per key the state is the k rows:
 each task cuts its part of a key to k before the shuffle, so that a key with a third of all rows sends
 k rows per task, not a third of the table.
 """

@@ -1,7 +1,8 @@
 """Term statistics and BM25 over all documents, for a set of queries at once, from an index that is stored and read back.
 
-An index is three tables: postings (bucket, term, id, tf, dl), partitioned by a hash of the term, so that a search reads the buckets of its
-terms alone; terms (term, df, idf) in the same buckets; one row of statistics. It lies in a folder named by its fingerprint, which tells the
+An index is three tables: occurrences (bucket, term, id, dl), partitioned by a hash of the term, so that a search reads the buckets of its
+terms alone; terms (term, df, idf) in the same buckets; one row of statistics. Occurrences lie sorted, so that repeats take next to no room and nothing
+is aggregated when the index is built; how often a document has a term is counted for the terms of a search. The index lies in a folder named by its fingerprint, which tells the
 rows it was built from: an index with another fingerprint is never read, and goes once the new one is finished.
 """
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from paperloom import config as C
 from paperloom.functions.text import tokens
+from paperloom.session import cut
 
 #: Query terms up to this many are sent to every task, and their buckets read alone; with more all buckets are read and joined by a shuffle.
 BROADCAST_TERMS = 200_000
@@ -21,7 +23,7 @@ BUCKETS = 32
 
 
 class Index(NamedTuple):
-    postings: DataFrame  # bucket, term, id, tf, dl
+    occurrences: DataFrame  # bucket, term, id, dl: as often as the document has the term
     terms: DataFrame  # bucket, term, df, idf
     stats: DataFrame  # one row: n, avgdl
 
@@ -30,11 +32,16 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(bucket, term, id, tf, dl) of (id, text); null texts have no terms. Terms of a document are counted on the map side."""
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(bucket, term, id, dl) of (id, text), a row per token; null texts have none."""
     toks = docs.select("id", tokens(F.col("text")).alias("t"))
-    found = toks.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    return found.select(bucket(F.col("term")).alias("bucket"), "term", "id", "tf", "dl")
+    found = toks.select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    return found.select(bucket(F.col("term")).alias("bucket"), "term", "id", "dl")
+
+
+def postings(found: DataFrame) -> DataFrame:
+    """(term, id, dl, tf) of occurrences."""
+    return found.groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -42,18 +49,22 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def inverse_frequencies(found: DataFrame, stats: DataFrame) -> DataFrame:
-    """(bucket, term, df, idf) of postings; a negative idf (a term in more than half the documents) becomes a quarter of the mean over all terms."""
-    df, n = found.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")), F.broadcast(stats.select("n"))  # one row
-    raw = df.crossJoin(n).select("bucket", "term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
+def inverse_frequencies(docs: DataFrame, stats: DataFrame) -> DataFrame:
+    """(bucket, term, df, idf); a negative idf (a term in more than half the documents) becomes a quarter of the mean over all terms.
+
+    A document is reduced to its distinct terms in place, so that the shuffle carries one count per term and task.
+    """
+    own = docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    df, n = own.groupBy("term").agg(F.count(F.lit(1)).alias("df")), F.broadcast(stats.select("n"))  # one row
+    raw = df.crossJoin(n).select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     mean = F.broadcast(raw.agg((F.avg("raw") * C.BM25_EPSILON).alias("floor")))  # one row
-    return raw.crossJoin(mean).select("bucket", "term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    return raw.crossJoin(mean).select(bucket(F.col("term")).alias("bucket"), "term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
 def computed(docs: DataFrame) -> Index:
     """The index of (id, text), not stored."""
-    found, stats = postings(docs), corpus_stats(docs)
-    return Index(found, inverse_frequencies(found, stats), stats)
+    stats = corpus_stats(docs)
+    return Index(occurrences(docs), inverse_frequencies(docs, stats), stats)
 
 
 def load(spark: SparkSession, path: str, fingerprint: str) -> Index | None:
@@ -71,9 +82,9 @@ def stored(docs: DataFrame, path: str, fingerprint: str) -> Index:
     ready = load(spark, path, fingerprint)
     if ready is None:
         at = f"{path}/{fingerprint}"
-        postings(docs).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings")
-        found, stats = spark.read.parquet(f"{at}/postings"), corpus_stats(docs)
-        inverse_frequencies(found, stats).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/terms")
+        occurrences(docs).repartition("bucket").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/occurrences")
+        stats = cut(corpus_stats(docs))
+        inverse_frequencies(docs, stats).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/terms")
         stats.write.mode("overwrite").parquet(f"{at}/stats")
         ready = load(spark, path, fingerprint)
         root = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -91,12 +102,12 @@ def search(queries: DataFrame, index: Index, n: int | None = None) -> DataFrame:
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     terms = asked.select("term").distinct().select(bucket(F.col("term")).alias("__bucket"), F.col("term").alias("__term"))
-    found, known = index.postings, index.terms
+    found, known = index.occurrences, index.terms
     if terms.count() <= BROADCAST_TERMS:
         wanted = [r[0] for r in terms.select("__bucket").distinct().collect()]  # at most BUCKETS
         found, known = (t.where(F.col("bucket").isin(wanted)) for t in (found, known))
         terms = F.broadcast(terms)
-    tf = found.join(terms, F.col("term") == F.col("__term"), "left_semi").drop("bucket")
+    tf = postings(found.join(terms, F.col("term") == F.col("__term"), "left_semi"))
     weight = asked.join(known.join(terms, F.col("term") == F.col("__term"), "left_semi").select("term", "idf"), "term")
     k1, b = C.BM25_K1, C.BM25_B
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))

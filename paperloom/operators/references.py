@@ -20,15 +20,16 @@ def parse_reference(refs: DataFrame) -> DataFrame:
 
     A number and year are needed unless it is the constitution, of which a year anywhere will do. Errors: empty, type, number.
     """
-    ref = T.strip(F.coalesce("reference", F.lit("")))
-    kind = _none(F.regexp_extract(ref, T.LAW_TYPE, 1))
-    category = T.law_category(kind)
-    num, year = _none(F.regexp_extract(ref, T.NUMBER_YEAR, 1)), _none(F.regexp_extract(ref, T.NUMBER_YEAR, 2))
-    any_year = F.when(category == "constitution", _none(F.regexp_extract(ref, T.YEAR, 1)))
-    error = F.when(ref == "", "empty").when(kind.isNull(), "type").when((category != "constitution") & num.isNull(), "number")
-    return refs.select(
-        "ref_id", F.col("reference"), kind.alias("type"), category.alias("category"), num.alias("num"), F.coalesce(year, any_year).alias("year"),
-        F.concat(F.lit("Pasal "), _none(F.regexp_extract(ref, T.CITED_ARTICLE, 1))).alias("pasal"), error.alias("error"))
+    # In steps, so that each pattern is tried once for a phrase.
+    x = refs.select("ref_id", "reference", T.strip(F.coalesce("reference", F.lit(""))).alias("__ref"))
+    x = x.withColumns({"type": _none(F.regexp_extract("__ref", T.LAW_TYPE, 1)), "__found": F.regexp_extract("__ref", T.NUMBER_YEAR, 0)})
+    x = x.withColumns({"__type": F.lower("type"), "num": _none(F.regexp_extract("__found", T.NUMBER_YEAR, 1)), "year": _none(F.right("__found", F.lit(4)))})
+    x = x.withColumn("category", T.law_category(F.col("__type")))
+    any_year = F.when(F.col("category") == "constitution", _none(F.regexp_extract("__ref", T.YEAR, 1)))
+    error = F.when(F.col("__ref") == "", "empty").when(F.col("type").isNull(), "type").when((F.col("category") != "constitution") & F.col("num").isNull(), "number")
+    return x.select(
+        "ref_id", "reference", "type", "category", "num", F.coalesce("year", any_year).alias("year"),
+        F.concat(F.lit("Pasal "), _none(F.regexp_extract("__ref", T.CITED_ARTICLE, 1))).alias("pasal"), error.alias("error"))
 
 
 def parse_source(sources: DataFrame) -> DataFrame:

@@ -82,8 +82,8 @@ def bm25_terms(spark, d):
 
 @query("bm25_postings", BM25 + "SELECT term, id, CAST(dl AS BIGINT) AS dl, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM toks) GROUP BY ALL")
 def bm25_postings(spark, d):
-    """The postings as they are read back."""
-    return index(spark, d).postings.select("term", "id", F.col("dl").cast("long").alias("dl"), "tf")
+    """The postings of the occurrences as they are read back."""
+    return lexical.postings(index(spark, d).occurrences).select("term", "id", F.col("dl").cast("long").alias("dl"), "tf")
 
 
 @query("bm25_topk", BM25 + "SELECT query_id, id, score, rank FROM hits WHERE list_no = 0 AND rank < 40")

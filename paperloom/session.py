@@ -24,6 +24,7 @@ def build_session(cpus: int | str | None = None, **conf: str) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -58,7 +59,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder; survives the loss of executors."""
+    """Materialise ``df`` in the shared checkpoint folder; survives the loss of executors. The files go with the last reference to the result
+    where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as in :func:`build_session`."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.session import cut
+
 #: Superseded rows up to this many are sent to every task; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -27,13 +29,13 @@ def chunks_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     """Of the rows of each ``key`` those with the highest ``order``, without shuffling the wide columns.
 
-    Only ``(key, order)`` is shuffled, to find the superseded rows. They are normally few: up to
+    Only ``(key, order)`` is shuffled, once, to find the keys with superseded rows. They are normally few: up to
     ``BROADCAST_ROWS`` (counted first) go to every task as a hash set, beyond that the rows are joined.
     Rows whose key or order is null are no current row of anything and left out. Rows that repeat the
     highest order of their key are all kept.
     """
-    newest = df.select(key, order).where(F.col(key).isNotNull()).groupBy(key).agg(
-        F.max(order).alias("__newest"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    newest = cut(df.select(key, order).where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.max(order).alias("__newest"), F.min(order).alias("__oldest")).where("__oldest < __newest").drop("__oldest"))
     n = newest.count()
     df = df.where(F.col(key).isNotNull() & F.col(order).isNotNull())
     if n == 0:

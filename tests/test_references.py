@@ -35,6 +35,23 @@ def test_citations(spark):
     assert totals[5] == (3, 3, 0) and totals[1] == (1, 0, 1) and 99 not in totals
 
 
+def test_sources_at_once_equal_each_answer(spark):
+    """What the sets of a source say is what its chunks say for every answer."""
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    arts, bodies = ["Pasal 3", "Pasal 3A", "Pasal 30", "BAB I", "", None], ["lihat Pasal 3 dan pasal 7A.", "Pasal 30x; PASAL  3", "tanpa", None]
+    rows = [(i, rng.choice(["A.pdf", "b.PDF", " c.pdf ", None, ""]), rng.choice([1, 2, 0, None]), rng.choice(arts), rng.choice(bodies)) for i in range(60)]
+    cites = [(k, 0, "x", p, s, n) for k, (p, s, n) in enumerate(itertools.product(["Pasal 3", "Pasal 3 ayat (2)", "Pasal 7A", "Pasal 30", "Pasal  3"], ["a.pdf", "B.pdf", "c.pdf", "d.pdf"], [1, 2, 3, None]))]
+    C = spark.createDataFrame(cites, "answer_id int, pos int, raw string, pasal string, source string, page int")
+    R_ = spark.createDataFrame(rows, "pos int, source string, page int, article string, text string")
+    every = C.select("answer_id", F.lower("source").alias("s")).join(R_, F.lower(F.trim(R_["source"])) == F.col("s")).drop("s")
+    want = {tuple(r) for r in R.verify(C, every).where("reason <> 'source_not_in_context'").collect()}
+    got = {tuple(r) for r in R.verify_in_sources(C, R_).collect()}
+    assert got == want and {r[6] for r in got} == {"verified", "page_mismatch", "article_mismatch"}
+
+
 @pytest.mark.parametrize(("confidence", "issues", "unverified", "retry", "reason"), [
     ("unknown", [], None, False, "ok"), ("high", [], 2, True, "verifier_unverified=2"), ("low", [], 0, True, "confidence=low"),
     ("medium", ["hallucination"], 0, True, "serious_issues=1"), ("medium", ["missing"] * 2, 0, True, "medium+issues=2"), ("high", ["missing"], 0, False, "ok")])
