@@ -107,10 +107,11 @@ def split_items(packed: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataF
 
 
 def checked(packed: DataFrame, capacity: int = 4096, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row on a packing: items, parts and their sizes in all; whether no container is over its capacity, every item that was not split is in
-    one container, and at least 98 per cent of the room is filled."""
-    rooms = packed.groupBy("container").agg(F.sum("size").alias("used")).agg(F.max("used").alias("most"), F.count(F.lit(1)).alias("containers"))
+    """One row on a packing, none for an empty one: items, parts and their sizes in all; whether no container is over its capacity, every item that was not split is in
+    one container, and at least 98 per cent of the room is filled, but for one container of each share, which may be the rest."""
+    rooms = packed.groupBy("container").agg(F.sum("size").alias("used")).agg(
+        F.max("used").alias("most"), F.count(F.lit(1)).alias("containers"), F.countDistinct(F.substring_index("container", "-", 1)).alias("shares"))
     items = packed.groupBy(*keep).agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("size"), F.max("is_split").alias("split"))
     items = items.agg(F.count(F.lit(1)).alias("items"), F.sum("parts").alias("parts"), F.sum("size").alias("total"), F.bool_and(F.col("split") | (F.col("parts") == 1)).alias("whole"))
-    return items.crossJoin(rooms).select(  # one row each
-        "items", "parts", "total", (F.col("most") <= capacity).alias("within"), "whole", (F.col("total") >= F.col("containers") * capacity * 0.98).alias("filled"))
+    return items.where("items > 0").crossJoin(rooms).select(  # one row each
+        "items", "parts", "total", (F.col("most") <= capacity).alias("within"), "whole", (F.col("total") >= (F.col("containers") - F.col("shares")) * capacity * 0.98).alias("filled"))
