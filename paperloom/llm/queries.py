@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperloom.llm import boilerplate, leakage, neardup, neighbours, packing, scans, splitting, truncation
+from paperloom.operators import dense
 from paperloom.plans.registry import Registry
 from paperloom.sources.tables import chunks_flat, last_wins, table
 
@@ -159,6 +161,21 @@ def p3_neighbours(spark, d):
         "row_no", "other", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+@query("p3_recall", """SELECT count(DISTINCT row_no) AS queries, true AS enough FROM chunk_vectors WHERE row_no % 50 = 0 AND len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 HAVING count(*) > 0""")
+def p3_recall(spark, d):
+    """Whether the search form finds nine in ten of the exact neighbours: its queries against all rows, in blocks."""
+    v = table(spark, d, "chunk_vectors")
+    rows = v.where(F.col("row_no").isNotNull() & neighbours.valid(F.col("embedding"), 64)).dropDuplicates(["row_no"]).select(F.col("row_no").alias("id"), "embedding")
+    asked = rows.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    exact = dense.nearest(asked, rows, 6).where("id <> query_id")
+    w = Window.partitionBy("query_id").orderBy("dist", "id")
+    exact = exact.withColumn("k", F.row_number().over(w)).where("k <= 5").select(F.col("query_id").alias("row_no"), F.col("id").alias("other"))
+    found = p3_neighbours(spark, d).select("row_no", "other", F.lit(1).alias("hit"))
+    share = exact.join(found, ["row_no", "other"], "left").agg(F.countDistinct("row_no").alias("queries"), (F.coalesce(F.sum("hit"), F.lit(0)) >= F.count(F.lit(1)) * 0.9).alias("enough"))
+    return share.where("queries > 0")
+
+
 def similar_chunks(spark, d, every=True):
     return neardup.Similar(current(spark, d, "id", "text"), threshold=0.7, words=3, every=every)
 
