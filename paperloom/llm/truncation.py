@@ -2,7 +2,8 @@
 
 Intact values of a bounded sample are cut at random places, or at the length where their source cuts, and give the
 positives; as they are they give the negatives. A logistic regression over hashed features is trained on them: closing characters
-and words, the form of the last lines, the length against the source's limits and the announced length. Then every record is scored.
+and words, the form of the last lines, the length against the source's limits and the announced length. Then every record is scored. A source with
+a limit has no intact value beyond it to cut there, so a share of the cuts (``LIMITED``) is made as if the place were a limit.
 
 A source's limits are counted over all of its records: a length, in characters or bytes, that at least two per cent
 of them and at least five have.
@@ -27,6 +28,8 @@ TAIL = 300
 SHORT = 120
 #: Limits of up to this many sources are sent to every task; more are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
+#: Share of the artificial cuts that stand at a limit.
+LIMITED = 0.3
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 CLOSED = re.compile(r"[.!?。][\"'”’)\]]*\s*$")
 STOP = re.compile(r"[.!?。][\"'”’)\]]*(?=\s|$)")
@@ -142,7 +145,8 @@ def examples(rows: DataFrame, seed: int) -> DataFrame:
                     u = rng.random()
                     s = s.rstrip() + "…" if u < 0.06 else s + "\ufffd" if u < 0.08 else s
                     declared = off if rng.random() < 0.4 else None
-                    out.append((1, features(s[-TAIL:], len(s), s.count("\n"), declared, at_limit(at, len(s.encode()), r.char_limits, r.byte_limits))))
+                    limited = rng.random() < LIMITED or at_limit(at, len(s.encode()), r.char_limits, r.byte_limits)
+                    out.append((1, features(s[-TAIL:], len(s), s.count("\n"), declared, limited)))
                     break
             yield pd.DataFrame(out, columns=["label", "features"])
 
