@@ -28,8 +28,9 @@ TAIL = 300
 SHORT = 120
 #: Limits of up to this many sources are sent to every task; more are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
-#: Share of the artificial cuts that stand at a limit.
-LIMITED = 0.3
+#: Share of the artificial cuts that stand at a limit, and of those that a sender marked, with what.
+LIMITED, MARKED = 0.3, 0.2
+MARKS = ("…", " …", "...", " ...", "\ufffd")
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 CLOSED = re.compile(r"[.!?。][\"'”’)\]]*\s*$")
 STOP = re.compile(r"[.!?。][\"'”’)\]]*(?=\s|$)")
@@ -120,7 +121,7 @@ def at_limit(chars: int, size: int, char_limits, byte_limits) -> bool:
 
 
 def examples(rows: DataFrame, seed: int) -> DataFrame:
-    """(label, features) from rows that are intact as far as one can tell: the announced length holds, or a final stop."""
+    """(label, features) from rows that are intact as far as one can tell: the announced length holds, or a final stop; no mark of a cut."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -142,15 +143,15 @@ def examples(rows: DataFrame, seed: int) -> DataFrame:
                     inside = t[at - 1].isalnum() and t[at].isalnum()
                     if not rest.strip() or CLOSED.search(s) or not inside and len(s.rpartition("\n")[2].split()) < 2:
                         continue
-                    u = rng.random()
-                    s = s.rstrip() + "…" if u < 0.06 else s + "\ufffd" if u < 0.08 else s
+                    if rng.random() < MARKED:
+                        s = s.rstrip() + MARKS[int(rng.integers(len(MARKS)))]
                     declared = off if rng.random() < 0.4 else None
                     limited = rng.random() < LIMITED or at_limit(at, len(s.encode()), r.char_limits, r.byte_limits)
                     out.append((1, features(s[-TAIL:], len(s), s.count("\n"), declared, limited)))
                     break
             yield pd.DataFrame(out, columns=["label", "features"])
 
-    intact = rows.where(r"declared = chars OR text RLIKE '[.!?。][\"”’)\\]]*\\s*$'")
+    intact = rows.where(r"(declared = chars OR text RLIKE '[.!?。][\"”’)\\]]*\\s*$') AND NOT text RLIKE '(\\.\\.\\.|…|\ufffd)\\s*$'")
     return intact.mapInPandas(run, "label int, features array<int>")
 
 
